@@ -1,0 +1,36 @@
+"""Cutting lineage, so that work which must not be repeated is not repeated."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
+
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Only where
+    neither that nor a folder on the context is set, as in local tests, a
+    temporary one is made.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
+    if current:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="tallymark-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Compute a table once: into ``path`` as Parquet, or into a checkpoint."""
+    if path is not None:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
