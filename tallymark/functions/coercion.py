@@ -74,9 +74,20 @@ def text_or_empty(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def round_half_even(value: Column, places: int) -> Column:
+    """Scale, round half to even, scale back, all in DOUBLE.
+
+    This is how array libraries round; ``bround`` goes through the shortest
+    decimal text of the number and differs on near ties such as the mean of
+    0.7419 and 0.7368.
+    """
+    scale = F.lit(float(10**places))
+    return F.rint(value * scale) / scale
+
+
 def round4(value: Column) -> Column:
-    """The four-place, half-even rounding every reported rate uses."""
-    return F.bround(value, 4)
+    """The four-place rounding of every reported rate."""
+    return round_half_even(value, 4)
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .coercion import round_half_even
+
 Pricing = Mapping[str, Mapping[str, float | None]]
 
 # USD per million tokens, by model key.
@@ -60,7 +62,7 @@ def estimate_cost(
         prompt_tokens.cast("double") / million * rates["input_per_million"]
         + completion_tokens.cast("double") / million * rates["output_per_million"]
     )
-    return F.coalesce(F.bround(cost, precision), F.lit(0.0))
+    return F.coalesce(round_half_even(cost, precision), F.lit(0.0))
 
 
 def total_tokens(total: Column, prompt: Column, completion: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coercion import safe_number, text_or_empty, to_binary_int
+from ..functions.coercion import round_half_even, safe_number, text_or_empty, to_binary_int
 
 ID = "VolumeName"
 ORDER = "_ord"
@@ -138,7 +138,7 @@ def normalize_run_rows(
         if name in RUN_INTEGERS:
             return number(name).cast("bigint")
         if name == "estimated_cost_usd":
-            return F.bround(number(name), cost_precision)
+            return round_half_even(number(name), cost_precision)
         if name in RUN_DOUBLES:
             return number(name)
         return text_or_empty(col(name)) if name in df.columns else F.lit("")

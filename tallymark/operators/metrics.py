@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coercion import parse_number, ratio, round4
+from ..functions.coercion import parse_number, ratio, round4, round_half_even
 from .align import IN_LEFT, IN_RIGHT, WEIGHT
 from .columns import ID, binary, col
 from .votes import PATTERN_COLUMNS, confusion_cells, vote_counts
@@ -252,7 +252,7 @@ def evaluation_summary(
         return F.count_if(col("status") == status)
 
     counted = rows.agg(
-        F.coalesce(F.bround(F.sum(cost_column), 6), F.lit(0.0)).alias("total_estimated_cost_usd"),
+        F.coalesce(round_half_even(F.sum(cost_column), 6), F.lit(0.0)).alias("total_estimated_cost_usd"),
         F.coalesce(round4(F.avg("latency_seconds")), F.lit(0.0)).alias("average_latency_seconds"),
         F.count("*").alias("total_reports"),
         having("success").alias("labeled_reports"),
@@ -260,7 +260,7 @@ def evaluation_summary(
         having("error").alias("error_reports"),
     ).withColumn(
         "coverage_percent",
-        F.bround(ratio(col("labeled_reports"), col("total_reports")) * 100.0, 2),
+        round_half_even(ratio(col("labeled_reports"), col("total_reports")) * 100.0, 2),
     )
     macro = metrics.where(col("label") == MACRO).select(
         col("f1").alias("macro_f1"),
@@ -290,7 +290,7 @@ def run_totals(rows: DataFrame, resumed: Column | None = None, cost_precision: i
         F.count_if(F.lit(False) if resumed is None else resumed).alias("resumed_reports"),
         total("prompt_tokens").alias("prompt_tokens"),
         total("completion_tokens").alias("completion_tokens"),
-        F.coalesce(F.bround(F.sum("estimated_cost_usd"), cost_precision), F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(round_half_even(F.sum("estimated_cost_usd"), cost_precision), F.lit(0.0)).alias("total_cost_usd"),
         mean("latency_seconds").alias("average_latency_seconds"),
         mean("retry_count").alias("average_attempts"),
         F.count_if(status == "success").alias("success"),

@@ -11,12 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.prompts import PromptSpec
 from ..operators.columns import ORDER, col, run_columns
-from ..operators.labeling import ModelFactory
+from ..operators.labeling import ModelFactory, label_reports
 from ..plans.label import resume_batch
-from ..operators.labeling import label_reports
 from ..sources.durable import materialise
 
 BATCH = "batch_id"
+# Finished batches are listed here; readers of the output skip underscore folders.
+LEDGER = "_batches"
 
 
 def incremental_label(
@@ -38,7 +39,11 @@ def incremental_label(
     (``batch_id=<n>``): a replayed batch that was finished is left alone, an
     unfinished one is written again, so rows never double. What a crash can
     repeat is the calls of one batch; bound it with the source's
-    ``maxFilesPerTrigger``.
+    ``maxFilesPerTrigger``. Batch numbers come from ``checkpoint``, so an
+    output belongs to one checkpoint.
+
+    ``order_by`` names a unique, stable column; without one the batch is
+    written out once to fix the order of its rows.
 
     A report with an ID already in the output is dropped; one with a known text
     under a new ID gets the known labels without a call.
@@ -46,12 +51,10 @@ def incremental_label(
 
     def label_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{output}/{BATCH}={batch_id}"
-        if _finished(spark, target):
+        if _finished(spark, output, batch_id):
             return
         done = _earlier(spark, output, batch_id)
-        # The batch is read several times below; its rows need one fixed order.
-        ordered = materialise(_ordered(batch, order_by))
+        ordered = _ordered(batch, order_by)
         if done is None:
             rows = label_reports(ordered, prompt, model_factory, keep_order=True, **options)
             rows = rows.withColumn("reuse", F.lit("none"))
@@ -59,24 +62,26 @@ def incremental_label(
             chosen = {"cut": materialise, **(matching or {}), "order_by": ORDER}
             rows, _ = resume_batch(ordered, done, prompt, model_factory, matching=chosen, **options)
         new = rows.where(col("reuse") != "id").select(*[col(c) for c in run_columns(prompt.labels)])
-        new.write.mode("overwrite").parquet(target)
+        new.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
+        ledger = spark.createDataFrame([(batch_id,)], f"{BATCH} bigint")
+        ledger.coalesce(1).write.mode("append").parquet(f"{output}/{LEDGER}")
 
     writer = reports.writeStream.foreachBatch(label_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _ordered(batch: DataFrame, order_by: str | None) -> DataFrame:
-    order = F.monotonically_increasing_id() if order_by is None else col(order_by)
-    return batch.withColumn(ORDER, order.cast("bigint"))
+    if order_by is not None:
+        return batch.withColumn(ORDER, col(order_by).cast("bigint"))
+    return materialise(batch.withColumn(ORDER, F.monotonically_increasing_id()))
 
 
-def _finished(spark: SparkSession, target: str) -> bool:
-    """Whether a batch folder was committed (an empty commit has no part files)."""
+def _finished(spark: SparkSession, output: str, batch_id: int) -> bool:
     try:
-        marker = spark.read.format("binaryFile").load(f"{target}/_SUCCESS")
-        return bool(marker.select("path").take(1))
+        ledger = spark.read.parquet(f"{output}/{LEDGER}")
     except AnalysisException:
         return False
+    return not ledger.where(col(BATCH) == batch_id).isEmpty()
 
 
 def _earlier(spark: SparkSession, output: str, batch_id: int) -> DataFrame | None:
