@@ -46,8 +46,9 @@ def to_binary_int(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
         return F.coalesce(value.cast("int"), F.lit(0))
     if isinstance(dtype, T.LongType):
-        held = F.greatest(F.least(value, F.lit(_INT_MAX)), F.lit(_INT_MIN))
-        return F.coalesce(held.cast("int"), F.lit(0))
+        # least and greatest ignore nulls, so those go first.
+        known = F.coalesce(value, F.lit(0))
+        return F.greatest(F.least(known, F.lit(_INT_MAX)), F.lit(_INT_MIN)).cast("int")
     if isinstance(dtype, T.StringType):
         number = parse_number(value)
     elif isinstance(dtype, T.NumericType):
