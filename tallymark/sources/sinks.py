@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-_CSV = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+_CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    # The writer trims values unless told not to.
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_labels(df: DataFrame, path: str) -> None:
