@@ -214,13 +214,13 @@ def combine_meta(calls: DataFrame, keys: Sequence[str], position: Column, values
     lists are as long as the label list. ``values`` are further aggregates.
     """
 
-    def listed(name: str) -> Column:
-        entry = F.struct(position.alias("p"), col(name).alias("v"))
-        kept = F.collect_list(F.when(F.coalesce(col(name), F.lit("")) != "", entry))
-        return F.transform(F.array_sort(kept), lambda e: e["v"])
+    named = ("error_message", "request_id", "model_version")
+    call = F.struct(position.alias("p"), *[F.nullif(col(n), F.lit("")).alias(n) for n in named])
 
-    def joined(values: Column) -> Column:
-        return F.array_join(values, SEPARATOR)
+    def joined(name: str, distinct: bool) -> Column:
+        texts = col("_calls")[name]
+        # array_join leaves nulls out.
+        return F.array_join(F.array_distinct(texts) if distinct else texts, SEPARATOR).alias(name)
 
     def total(name: str, kind: str) -> Column:
         return F.sum(F.coalesce(col(name), F.lit(0))).cast(kind).alias(name)
@@ -228,7 +228,7 @@ def combine_meta(calls: DataFrame, keys: Sequence[str], position: Column, values
     known = F.coalesce(col("status"), F.lit("")) != ""
     any_error = F.coalesce(F.bool_or(col("status") == "error"), F.lit(False))
     all_skipped = F.coalesce(F.bool_and(F.when(known, col("status") == "skipped")), F.lit(False))
-    return calls.groupBy(*keys).agg(
+    grouped = calls.groupBy(*keys).agg(
         total("prompt_tokens", "bigint"),
         total("completion_tokens", "bigint"),
         total("total_tokens", "bigint"),
@@ -238,13 +238,18 @@ def combine_meta(calls: DataFrame, keys: Sequence[str], position: Column, values
         .when(all_skipped, F.lit("skipped"))
         .otherwise(F.lit("success"))
         .alias("status"),
-        joined(F.array_distinct(listed("error_message"))).alias("error_message"),
-        joined(listed("request_id")).alias("request_id"),
-        joined(F.array_distinct(listed("model_version"))).alias("model_version"),
         F.coalesce(F.min(F.nullif(col("started_at_utc"), F.lit(""))), F.lit("")).alias("started_at_utc"),
         F.coalesce(F.max(F.nullif(col("ended_at_utc"), F.lit(""))), F.lit("")).alias("ended_at_utc"),
+        F.sort_array(F.collect_list(call)).alias("_calls"),
         *values,
     )
+    others = [col(name) for name in grouped.columns if name != "_calls"]
+    return grouped.select(
+        *others,
+        joined("error_message", True),
+        joined("request_id", False),
+        joined("model_version", True),
+    )
 
 
 def collect_labels(

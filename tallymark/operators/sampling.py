@@ -18,6 +18,8 @@ from .columns import binary, col, require_columns
 BUCKETS = 65536
 # The cut list has at most one row per sampled row; up to this many are broadcast.
 BROADCAST_ROWS = 1_000_000
+# Samples up to this size are taken as a top-n.
+TOP_ROWS = 10_000
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -107,7 +109,7 @@ def stratified_sample(
         *[binary(df, label).alias(name) for label, name in zip(labels, strata)],
         digest.alias("_hash"),
     )
-    marked = marked.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
+    marked = marked.withColumn("_bucket", _hash_bucket())
     counts = marked.groupBy(*strata, "_bucket").agg(F.count("*").alias("count"))
     combos = counts.groupBy(*strata).agg(F.sum("count").alias("count"))
     quota = allocate_samples(combos, strata, n).where("quota > 0").select(*strata, "quota")
@@ -120,8 +122,7 @@ def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42)
     """Fill a short sample up to ``n`` with rows of ``df`` it does not hold yet."""
     digest = seeded_hash(col(key), seed)
     rest = df.join(sampled.select(col(key)), key, "left_anti").select("*", digest.alias("_hash"))
-    bucket = F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-    rest = rest.withColumn("_all", F.lit(1)).withColumn("_bucket", bucket)
+    rest = rest.withColumn("_all", F.lit(1)).withColumn("_bucket", _hash_bucket())
     short = sampled.agg((F.lit(n) - F.count("*")).alias("quota")).withColumn("_all", F.lit(1))
     order = [F.asc("_hash"), F.asc(_quoted(key))]
     filling = take_first(rest, ["_all"], "_bucket", order, short, n)
@@ -129,9 +130,18 @@ def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42)
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` random rows (all of them when the table is smaller)."""
-    digest = seeded_hash(col(key), seed)
-    return df.orderBy(digest, col(key)).limit(n)
+    """``n`` random rows (all of them when the table is smaller).
+
+    A few rows come from a top-n; a large sample is cut by hash bucket instead,
+    so that no single task has to merge it.
+    """
+    marked = df.withColumn("_hash", seeded_hash(col(key), seed))
+    order = [F.asc("_hash"), F.asc(_quoted(key))]
+    if n <= TOP_ROWS:
+        return marked.orderBy(*order).limit(n).drop("_hash")
+    marked = marked.withColumns({"_all": F.lit(1), "_bucket": _hash_bucket()})
+    quota = df.sparkSession.createDataFrame([(1, n)], "_all int, quota bigint")
+    return take_first(marked, ["_all"], "_bucket", order, quota, n).drop("_all", "_bucket", "_hash")
 
 
 def label_prevalence(tables: Mapping[str, DataFrame], labels: Sequence[str]) -> DataFrame:
@@ -157,5 +167,10 @@ def label_prevalence(tables: Mapping[str, DataFrame], labels: Sequence[str]) ->
     return result
 
 
+def _hash_bucket() -> Column:
+    """Leading 16 bits of ``_hash``."""
+    return F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

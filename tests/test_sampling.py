@@ -118,3 +118,13 @@ def test_example_blocks(spark):
     assert got[2]["block"] == '  - report: |\n    output: {"Lung \\u00fc": 0, "absent": 0}\n'
     assert ops.format_examples(df, ["absent"], n=2).count() == 2
     assert ops.format_examples(df, ["absent"], n=20).count() == 3
+
+
+def test_large_samples_equal_a_full_sort(spark, rows, monkeypatch):
+    from tallymark.operators import sampling
+
+    df = labelled(spark, 400)
+    plain = rows(ops.sample_rows(df, 150, "id"))
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    assert rows(ops.sample_rows(df, 150, "id")) == plain and len(plain) == 150
+    assert ops.sample_rows(df, 1000, "id").count() == 400
