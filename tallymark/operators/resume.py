@@ -57,8 +57,8 @@ def resume_match(
     * Rows with a status in ``retry_status`` are not reused.
 
     The order columns must identify a row on either side and be stable across
-    reads. ``cut`` is an optional function applied to the slim match table, for
-    instance to write it out before it is used several times.
+    reads. ``cut`` is an optional function applied to the slim match tables, for
+    instance to write them out before they are used several times.
     """
     named = canonical_id(reports, id_col)
     require_columns(named, [ID, text_col])
@@ -67,7 +67,8 @@ def resume_match(
     )
     prior = canonical_id(history)
     prior = prior.select(
-        order_column(prior, history_order).alias(PRIOR), *[col(c) for c in prior.columns if c != ORDER]
+        order_column(prior, history_order).alias(PRIOR),
+        *[col(c) for c in prior.columns if c not in (ORDER, PRIOR, REUSE)],
     )
     new = ordered.select(ORDER, col(ID).cast("string").alias(ID), report_hash(col(text_col)).alias("_hash"))
     has_status = "status" in prior.columns
@@ -80,11 +81,10 @@ def resume_match(
         F.coalesce(retry, F.lit(False)).alias("_retry"),
     )
 
-    by_id = _match_ids(new, old, require_same_hash)
+    settle = cut if cut is not None else (lambda df: df)
+    by_id = settle(_match_ids(new, old, require_same_hash))
     by_hash, buckets = _match_hashes(new, old, by_id)
-    matches = by_id.unionByName(by_hash)
-    if cut is not None:
-        matches = cut(matches)
+    matches = settle(by_id.unionByName(by_hash))
 
     carried = [col(c) for c in prior.columns if c not in (PRIOR, ID)]
     taken = matches.select(ORDER, PRIOR, REUSE, col(ID).alias("_new_id"))

@@ -36,20 +36,30 @@ def combo_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def take_first(
-    df: DataFrame, groups: Sequence[str], bucket: str, order: Sequence[Column], quota: DataFrame, total: int
+    df: DataFrame,
+    groups: Sequence[str],
+    bucket: str,
+    order: Sequence[Column],
+    quota: DataFrame | Column,
+    total: int,
 ) -> DataFrame:
     """Exactly the first ``quota`` rows of every group, by ``order``.
 
-    ``bucket`` must not decrease along ``order``. Bucket counts (combined map
-    side) show in which bucket each quota ends; later buckets are dropped by a
-    join before anything else moves, and rows are ranked within single buckets.
-    A group holding most of the table is thus never gathered in one task.
-    ``total`` bounds the sum of the quotas.
+    ``quota`` is a table (groups, quota), or one number when there are no
+    groups. ``bucket`` must not decrease along ``order``. Bucket counts
+    (combined map side) show in which bucket each quota ends; later buckets are
+    dropped by a join before anything else moves, and rows are ranked within
+    single buckets. A group holding most of the table is thus never gathered in
+    one task. ``total`` bounds the sum of the quotas.
     """
     counts = df.groupBy(*groups, bucket).agg(F.count("*").alias("_rows"))
+    # At most BUCKETS rows per group.
     running = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_rows").over(running), F.lit(0))
-    cuts = counts.withColumn("_before", before).join(quota, list(groups))
+    cuts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
+    if isinstance(quota, Column):
+        cuts = cuts.withColumn("quota", quota)
+    else:
+        cuts = cuts.join(quota, list(groups))
     cuts = cuts.where(col("_before") < col("quota"))
     cuts = cuts.select(*groups, bucket, (col("quota") - col("_before")).alias("_room"))
     if total <= BROADCAST_ROWS:
@@ -77,10 +87,10 @@ def allocate_samples(counts: DataFrame, labels: Sequence[str], n: int) -> DataFr
     )
     # Larger remainders get lower buckets.
     bucket = F.expr(f"((_size - 1 - _remainder) * {BUCKETS - 1}L) div _size")
-    shares = shares.withColumn("_all", F.lit(1)).withColumn("_bucket", bucket)
-    left_over = shares.groupBy("_all").agg((F.max("_want") - F.sum("_floor")).alias("quota"))
+    shares = shares.withColumn("_bucket", bucket)
+    left_over = shares.agg((F.max("_want") - F.sum("_floor")).alias("quota")).scalar()
     order = [F.desc("_remainder"), F.desc("count"), *[F.asc(_quoted(label)) for label in labels]]
-    lucky = take_first(shares, ["_all"], "_bucket", order, left_over, n)
+    lucky = take_first(shares, [], "_bucket", order, left_over, n)
     names = [col(label) for label in labels]
     extra = lucky.select(*names, F.lit(1).cast("bigint").alias("_extra"))
     placed = shares.join(extra, list(labels), "left")
@@ -122,10 +132,10 @@ def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42)
     """Fill a short sample up to ``n`` with rows of ``df`` it does not hold yet."""
     digest = seeded_hash(col(key), seed)
     rest = df.join(sampled.select(col(key)), key, "left_anti").select("*", digest.alias("_hash"))
-    rest = rest.withColumn("_all", F.lit(1)).withColumn("_bucket", _hash_bucket())
-    short = sampled.agg((F.lit(n) - F.count("*")).alias("quota")).withColumn("_all", F.lit(1))
+    rest = rest.withColumn("_bucket", _hash_bucket())
+    short = sampled.agg((F.lit(n) - F.count("*")).alias("quota")).scalar()
     order = [F.asc("_hash"), F.asc(_quoted(key))]
-    filling = take_first(rest, ["_all"], "_bucket", order, short, n)
+    filling = take_first(rest, [], "_bucket", order, short, n)
     return sampled.unionByName(filling.select(*[col(name) for name in df.columns]))
 
 
@@ -139,9 +149,8 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     order = [F.asc("_hash"), F.asc(_quoted(key))]
     if n <= TOP_ROWS:
         return marked.orderBy(*order).limit(n).drop("_hash")
-    marked = marked.withColumns({"_all": F.lit(1), "_bucket": _hash_bucket()})
-    quota = df.sparkSession.createDataFrame([(1, n)], "_all int, quota bigint")
-    return take_first(marked, ["_all"], "_bucket", order, quota, n).drop("_all", "_bucket", "_hash")
+    marked = marked.withColumn("_bucket", _hash_bucket())
+    return take_first(marked, [], "_bucket", order, F.lit(n), n).drop("_bucket", "_hash")
 
 
 def label_prevalence(tables: Mapping[str, DataFrame], labels: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
 from ..functions.prompts import PromptSpec
-from ..operators.columns import ORDER, col, normalize_run_rows, order_column
+from ..operators.columns import ORDER, col, normalize_run_rows, order_column, run_columns
 from ..operators.labeling import ModelFactory, label_reports
 from ..operators.metrics import run_totals
 from ..operators.resume import resume_match
@@ -62,13 +62,15 @@ def generate_labels(
     ordered = reports.withColumn(ORDER, order_column(reports, (matching or {}).get("order_by")))
     settings = {"model": model, "pricing": pricing, "cost_precision": cost_precision, **options}
     if history is None:
-        rows = label_reports(ordered, prompt, model_factory, keep_order=True, **settings)
-        rows, stats = rows.withColumn("reuse", F.lit("none")), None
+        rows, stats = label_reports(ordered, prompt, model_factory, **settings), None
     else:
         chosen = {"cut": materialise, **(matching or {}), "order_by": ORDER}
         rows, stats = resume_batch(
             ordered, history, prompt, model_factory, matching=chosen, **settings
         )
-    done = materialise(rows, output)
-    totals = run_totals(done, col("reuse") != "none", cost_precision)
-    return LabelRun(done.drop(ORDER, "reuse"), totals, stats)
+    done = materialise(rows.select(*[col(c) for c in run_columns(prompt.labels)]), output)
+    totals = run_totals(done, cost_precision=cost_precision)
+    if stats is not None:
+        reused = stats.select(col("matched_by_id") + col("matched_by_hash")).scalar()
+        totals = totals.withColumn("resumed_reports", reused)
+    return LabelRun(done, totals, stats)

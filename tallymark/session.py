@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Reports can be long; keep the batches sent to Python small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # A second copy of a labelling task would pay for its calls again.
     "spark.speculation": "false",
 }

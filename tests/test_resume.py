@@ -137,6 +137,21 @@ def test_batch_labels_only_the_rest(spark, calls):
     assert (totals["total_reports"], totals["resumed_reports"], totals["error"]) == (3, 2, 1)
 
 
+def test_output_of_a_run_is_the_history_of_the_next(spark, tmp_path, calls):
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    rows = [("a", "one"), ("b", "two")]
+    model = counting_model(str(calls))
+    plans.generate_labels(reports(spark, *rows), PROMPT, model, output=first)
+    assert spark.read.parquet(first).columns == ops.run_columns(["L"])
+    again = plans.generate_labels(
+        reports(spark, *rows, ("c", "three")), PROMPT, model, history=spark.read.parquet(first), output=second
+    )
+    assert again.run_summary.first()["resumed_reports"] == 2
+    assert len(list(calls.iterdir())) == 3
+    marked = spark.read.parquet(second).selectExpr("*", "'id' AS reuse", "0L AS _prior_ord")
+    assert len(reused(ops.resume_match(reports(spark, *rows), marked))) == 2
+
+
 SCHEMA = "VolumeName string, report_text string, o bigint"
 
 
