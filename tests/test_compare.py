@@ -115,6 +115,18 @@ def test_first_row_of_an_id_is_kept(spark, rows):
     assert rows(ops.keep_last(named.drop("t"), order_by="o")) == [("a", 1, 5), ("b", 1, 2)]
 
 
+def test_hot_id_collapses_to_its_first_row(spark):
+    """A third of all rows share one ID on either side."""
+    df = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, 'hot_1.nii', concat('v_', id, '_1')) AS VolumeName",
+        "cast(id >= 6 AS int) AS L",
+        "2999 - id AS _ord",
+    )
+    aligned = ops.align_pair(df, df.repartition(7), ["L"])
+    assert aligned.count() == 2001
+    assert aligned.where("VolumeName = 'hot'").first()["true_L"] == 1
+
+
 def test_null_ids_match_each_other(spark):
     df = spark.createDataFrame([(None, 1, 0), ("nan", 0, 1)], "VolumeName string, L int, _ord int")
     assert ops.align_pair(df, df, ["L"]).count() == 1

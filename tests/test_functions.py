@@ -66,8 +66,10 @@ def test_first_listed_suffix_is_dropped_once(spark):
 
 
 def test_id_rule(spark):
-    values = ["scan_1.nii.gz", "scan_12", "scan_a", "scan_1_2.nii", None, "scan_1\n"]
-    assert evaluate(spark, values, IdRule().apply) == ["scan", "scan", "scan_a", "scan_1", "nan", "scan_1\n"]
+    values = ["scan_1.nii.gz", "scan_12", "scan_a", "scan_1_2.nii", None, "scan_1\n", "_5", "a_", "5", "é_07"]
+    assert evaluate(spark, values, IdRule().apply) == [
+        "scan", "scan", "scan_a", "scan_1", "nan", "scan_1\n", "", "a_", "5", "é",
+    ]
     kept = IdRule(keep_reconstruction_suffix=True)
     assert evaluate(spark, values[:2], kept.apply) == ["scan_1", "scan_12"]
 
