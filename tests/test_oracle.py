@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 from workload.check import difference, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,9 +15,9 @@ def connection():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
-    query, sql = entry_module.queries()[name], entry_module.oracle_sql()[name]
+    query, sql = QUERIES[name], ORACLE[name]
     assert difference(spark, connection, SF, query, sql) == ""
 
 
