@@ -85,7 +85,7 @@ def blocks(rows: DataFrame, keys: Sequence[str], of: Column, size: int) -> DataF
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(size)).cast("int")
     dealt = rows.join(counts, list(keys)).withColumn("_parts", parts)
-    dealt = dealt.withColumn("chunk", F.expr("cast(0 as int)") + F.pmod(F.xxhash64(of), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(of), F.col("_parts")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     return dealt.select(
         *[F.col(f"`{c}`") for c in rows.columns],

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import drop_shared_lines
+from .packing import pack
+from .sharding import shard_documents
+from .simhash_dedup import simhash_classes
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer of the packing query lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +25,36 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 24 shards of nearly equal bytes."""
+    dealt = shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select(
+        "row.doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, ids as a checksum."""
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of 3-word shingles and component within 3 bits of every document."""
+    return simhash_classes(table(spark, sf_dir, "documents"), words=3, reach=3)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sharding": op2_sharding,
+    "op7_packing": op7_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLE = {
