@@ -10,6 +10,7 @@ from .line_dedup import drop_shared_lines
 from .packing import pack
 from .sharding import shard_documents
 from .simhash_dedup import simhash_classes
+from .toxicity import score_toxicity
 
 
 def tokenizer_path() -> str:
@@ -50,11 +51,19 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), words=3, reach=3)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels that are not held out."""
+    judged = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return judged.select("row.doc_id", "held_out", "score", predicted)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op7_packing": op7_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
