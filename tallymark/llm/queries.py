@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .line_dedup import drop_shared_lines
 from .packing import pack
+from .quality import score_quality
 from .sharding import shard_documents
 from .simhash_dedup import simhash_classes
 from .toxicity import score_toxicity
@@ -51,6 +52,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), words=3, reach=3)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labels that are not held out."""
+    judged = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels that are not held out."""
     judged = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -63,6 +70,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op7_packing": op7_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 
