@@ -27,8 +27,9 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-#: Costs in nats: a letter written as a sign, letters repeated, a separator put between letters.
-SIGN, REPEAT, SPACE = 2.5, 1.0, 0.5
+#: Costs in nats: a letter written as a sign, letters repeated, and for separators
+#: between single letters, that they are noise and that they are not.
+SIGN, REPEAT, NOISE, GAP = 2.5, 1.0, 0.1, 1.5
 
 #: The language model's symbols: 0 word boundary, 1-26 the letters a-z, 27 any other letter.
 SYMBOLS, ORDER = 28, 4
@@ -126,7 +127,7 @@ class Letters:
         run = 1
         while at + run < len(span) and span[at + run] == char:
             run += 1
-        edges = [(1, char, 0.0)]
+        edges = [(1, char, GAP if char in " ._*-" else 0.0)]
         letters = char if char.isalpha() else LEET.get(char, "")
         for letter in letters:
             sign = 0.0 if letter == char else SIGN
@@ -137,7 +138,7 @@ class Letters:
             if run > 2:
                 edges.append((run, letter * 2, sign + REPEAT))
         if char in " ._*-" and 0 < at < len(span) - 1:
-            edges.append((1, "", SPACE))
+            edges.append((1, "", NOISE))
         return edges
 
 
