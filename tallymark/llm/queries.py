@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import drop_shared_lines
+from .mixing import plan_mixture
 from .packing import pack
 from .quality import score_quality
 from .sharding import shard_documents
@@ -41,6 +42,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a mixture of all sources in which none is passed more than twice."""
+    mixture = plan_mixture(table(spark, sf_dir, "documents"), max_repeats=2.0)
+    drawn = mixture.draws(mixture.sizes, F.col("id"), F.col("source"))
+    return drawn.select(
+        F.col("row.id").alias("doc_id"),
+        "row.source",
+        "row.tokens",
+        F.round("weight", 9).alias("weight"),
+        "block",
+        F.round("place", 9).alias("place"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, ids as a checksum."""
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096)
@@ -68,6 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
     "op7_packing": op7_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
@@ -95,4 +111,43 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op3_mixing": """
+        WITH RECURSIVE sizes AS (
+            SELECT doc_id, source,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS tokens
+            FROM documents
+        ), totals AS (
+            SELECT source, sum(tokens)::BIGINT AS tokens FROM sizes GROUP BY source
+        ), shares AS (
+            SELECT source, tokens, tokens / (SELECT sum(tokens)::DOUBLE FROM totals) AS share FROM totals
+        ), ends AS (
+            SELECT min(share) AS least, max(share) AS most FROM shares
+        ), halved AS (
+            SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+            UNION ALL
+            SELECT step + 1,
+                   CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 2 THEN low ELSE (low + high) / 2 END,
+                   CASE WHEN pow(least / most, (low + high) / 2 - 1) <= 2 THEN (low + high) / 2 ELSE high END
+            FROM halved, ends WHERE step < 40
+        ), exponent AS (
+            SELECT CASE WHEN pow(least / most, -1) <= 2 THEN 0.0 ELSE high END AS a
+            FROM halved, ends WHERE step = 40
+        ), amounts AS (
+            SELECT source, tokens, pow(share, a) / sum(pow(share, a)) OVER () AS weight,
+                   pow(share / most, a - 1) AS passes,
+                   floor(pow(share / most, a - 1) * tokens + 0.5)::BIGINT AS budget
+            FROM shares, ends, exponent
+        ), keyed AS (
+            SELECT s.*, weight, passes, budget, budget // a.tokens AS whole,
+                   budget - (budget // a.tokens) * a.tokens AS remaining,
+                   ('0x' || substr(md5(s.doc_id || chr(31) || (budget // a.tokens) || chr(31) || '42'), 1, 15))::BIGINT AS key
+            FROM sizes s JOIN amounts a ON s.source = a.source
+        ), counted AS (
+            SELECT *, whole + (sum(tokens) OVER (PARTITION BY source ORDER BY key) <= remaining)::INT AS times FROM keyed
+        ), drawn AS (
+            SELECT *, unnest(range(times)) AS block FROM counted
+        )
+        SELECT doc_id, source, tokens, round(weight, 9) AS weight, block::INT AS block,
+               round((block + ('0x' || substr(md5(doc_id || chr(31) || block || chr(31) || '42'), 1, 15))::BIGINT / 1152921504606846976.0) / passes, 9) AS place
+        FROM drawn""",
 }
