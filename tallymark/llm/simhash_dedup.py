@@ -15,8 +15,9 @@ from .components import connect, merge
 SEED = 42
 #: The tree is fitted on at most this many fingerprints, and on one in four at most.
 SAMPLE = 16_384
-#: Fingerprints in a shard, about, and at most in one block of a shard.
-SHARD, BLOCK = 4_000, 8_000
+#: Fingerprints in a shard, about, and at most in one block of a shard. A task
+#: holds 16 bytes for each and splits them further with a tree of its own.
+SHARD, BLOCK = 100_000, 200_000
 #: Fingerprints that are compared with each other directly.
 LEAF = 512
 
@@ -75,7 +76,7 @@ class VantageTree:
                 counts = np.bincount(np.bitwise_count(points ^ vantage), minlength=65 + self.reach)
                 within = np.cumsum(counts)
                 overlap = np.append(within[self.reach :], [within[-1]] * self.reach) - within
-                middle = np.flatnonzero((within >= len(points) * 0.25) & (within <= len(points) * 0.75))
+                middle = np.flatnonzero((within >= len(points) * 0.3) & (within <= len(points) * 0.7))
                 if not len(middle):
                     continue
                 radius = int(middle[np.argmin(overlap[middle])])
@@ -131,7 +132,9 @@ def near_classes(prints: DataFrame, reach: int = 3) -> DataFrame:
     size = classes.count()
     some = classes.where(F.pmod(F.xxhash64("print"), F.lit(max(4, -(-size // SAMPLE)))) == 0)
     sample = np.array([r[0] for r in some.select("print").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    leaf = max(8, SHARD * len(sample) // max(1, size))
+    # Few large shards, as every cut copies rows, but enough for all cores.
+    target = min(SHARD, size // (2 * prints.sparkSession.sparkContext.defaultParallelism))
+    leaf = max(8, target * len(sample) // max(1, size))
     tree = VantageTree(np.sort(sample), leaf, reach)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
