@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
+from .embedding_dedup import near_vectors
 from .line_dedup import drop_shared_lines
 from .mixing import plan_mixture
 from .packing import pack
@@ -56,6 +58,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other rows of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, between equal labels at cosine 0.93 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93).select("row.vec_id", "n_links", "component_id", "kept")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, ids as a checksum."""
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096)
@@ -84,6 +97,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op4_approximate_nearest_neighbours": op4_approximate_nearest_neighbours,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_packing": op7_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
