@@ -13,7 +13,9 @@ END = 2
 #: Documents in a group, about. A group is packed by itself, so it bounds a task.
 GROUP_DOCS = 2000
 #: Words whose ids a worker keeps. Frequent words come first and stay.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Characters that are split into words at once.
+AT_ONCE = 1 << 20
 _PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 _workers: dict[str, "WordIds"] = {}
@@ -124,14 +126,16 @@ def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _word_ids(path)
         for frame in frames:
-            rows: list[tuple] = []
-            for key, mixed, ids in zip(frame["id"], frame["spread"], words.encode(frame["text"].tolist())):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, len(ids), width):
-                    rows.append((key, start // 4, total, ids[start : start + width], mixed))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "doc_tokens", "ids", "spread"])
-            yield out.astype({"doc_id": frame["id"].dtype})
+            sizes = frame["text"].str.len().to_numpy()
+            for _, part in frame.groupby((np.cumsum(sizes) - sizes) // AT_ONCE, sort=False):
+                rows: list[tuple] = []
+                for key, mixed, ids in zip(part["id"], part["spread"], words.encode(part["text"].tolist())):
+                    ids += end
+                    total = len(ids) // 4
+                    for start in range(0, len(ids), width):
+                        rows.append((key, start // 4, total, ids[start : start + width], mixed))
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "doc_tokens", "ids", "spread"])
+                yield out.astype({"doc_id": frame["id"].dtype})
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.col(f"`{id_col}`").cast("string")  # text, so that null ids survive pandas
