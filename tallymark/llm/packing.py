@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ class WordIds:
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
-        plain: dict[bytes, list[bytes]] = {}
+        plain: dict[bytes, None] = {}  # in order of first sight
         whole: set[bytes] = set()
         tails: dict[bytes, tuple[bytes, bytes]] = {}
         for word in words:
@@ -114,6 +115,11 @@ def _word_ids(path: str) -> WordIds:
     return _workers[path]
 
 
+def _mixed(value: int, turn: int) -> int:
+    """Another signed 64-bit value for every turn; the value itself at turn 0."""
+    return (value + turn * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``length`` ids of every document, end id included.
 
@@ -124,7 +130,7 @@ def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id
     end = np.array([END], "<u4").tobytes()
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _word_ids(path)
+        words, times = _word_ids(path), Counter()
         for frame in frames:
             sizes = frame["text"].str.len().to_numpy()
             for _, part in frame.groupby((np.cumsum(sizes) - sizes) // AT_ONCE, sort=False):
@@ -132,6 +138,8 @@ def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id
                 for key, mixed, ids in zip(part["id"], part["spread"], words.encode(part["text"].tolist())):
                     ids += end
                     total = len(ids) // 4
+                    # Repeated rows go to different groups.
+                    mixed, times[mixed] = _mixed(mixed, times[mixed]), times[mixed] + 1
                     for start in range(0, len(ids), width):
                         rows.append((key, start // 4, total, ids[start : start + width], mixed))
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "doc_tokens", "ids", "spread"])
