@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .embedding_dedup import near_vectors
+from .licenses import scan_licenses
 from .line_dedup import drop_shared_lines
 from .mixing import plan_mixture
 from .packing import pack
@@ -64,6 +65,18 @@ def op4_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, in order, and how many known sentences they hold."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id",
+        F.size("identifiers").cast("long").alias("n_known"),
+        F.array_join("identifiers", " ").alias("identifiers"),
+        F.array_join("licenses", " ").alias("licenses"),
+        F.size("unmatched").cast("long").alias("n_unmatched"),
+    )
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector, between equal labels at cosine 0.93 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93).select("row.vec_id", "n_links", "component_id", "kept")
@@ -98,6 +111,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_approximate_nearest_neighbours": op4_approximate_nearest_neighbours,
+    "op5_license_scan": op5_license_scan,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_packing": op7_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
