@@ -44,7 +44,9 @@ class Mixture:
         times = (F.col("whole") + last).cast("int")
         drawn = met.where(times > 0).withColumn("block", F.explode(F.sequence(F.lit(0), times - 1)))
         along = order_key(F.col("id"), F.col("block"), self.seed) / F.lit(float(1 << KEY_BITS))
-        return drawn.select("row", "block", "weight", ((F.col("block") + along) / F.col("passes")).alias("place"))
+        # The last block can end a little beyond its part of the keys.
+        place = F.least(F.lit(1.0), (F.col("block") + along) / F.col("passes"))
+        return drawn.select("row", "block", "weight", place.alias("place"))
 
 
 def order_key(doc_id: Column, block: Column, seed: int) -> Column:

@@ -177,6 +177,7 @@ ORACLE = {
             SELECT *, unnest(range(times)) AS block FROM counted
         )
         SELECT doc_id, source, tokens, round(weight, 9) AS weight, block::INT AS block,
-               round((block + ('0x' || substr(md5(doc_id || chr(31) || block || chr(31) || '42'), 1, 15))::BIGINT / 1152921504606846976.0) / passes, 9) AS place
+               round(least(1, (block + ('0x' || substr(md5(doc_id || chr(31) || block || chr(31) || '42'), 1, 15))::BIGINT
+                               / 1152921504606846976.0) / passes), 9) AS place
         FROM drawn""",
 }

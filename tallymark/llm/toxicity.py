@@ -235,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, letters: Letters, most: int = SAMPLE
                 if label:
                     toxic.update(found)
         names = list(seen)
-        yield pd.DataFrame({"name": names, "n": list(seen.values()), "toxic": [toxic[f] for f in names]}).astype({"n": "int64", "toxic": "int64"})
+        if names:
+            yield pd.DataFrame({"name": names, "n": list(seen.values()), "toxic": [toxic[f] for f in names]}).astype({"n": "int64", "toxic": "int64"})
 
     sizes = restored.agg(F.count("*"), F.sum("label")).first()
     if not sizes[0]:
