@@ -1,6 +1,6 @@
 """Schema-level helpers: name resolution, label discovery, row normalisation.
 
-Everything here looks at schemas only; no function starts a job.
+Everything here looks at schemas only; only ``fix_order`` can start a job.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialise
 from ..functions.coercion import round_half_even, safe_number, text_or_empty, to_binary_int
 
 ID = "VolumeName"
@@ -103,6 +104,20 @@ def order_column(df: DataFrame, order_by: str | None) -> Column:
     return F.monotonically_increasing_id()
 
 
+def fix_order(df: DataFrame, order_by: str | None = None, name: str = ORDER) -> DataFrame:
+    """``df`` with an order column ``name`` that is the same in every read.
+
+    A named column, or the ``_ord`` of a scan, is data and stays as it is.
+    Without either the rows are numbered as they are read and written out once:
+    numbers worked out anew in each branch of a plan would not agree.
+    """
+    rest = [col(c) for c in df.columns if c != name]
+    given = order_by if order_by is not None else ORDER if ORDER in df.columns else None
+    if given is not None:
+        return df.select(col(given).alias(name), *rest)
+    return materialise(df.select(F.monotonically_increasing_id().alias(name), *rest))
+
+
 def binary(df: DataFrame, name: str) -> Column:
     """A label column of ``df`` coerced to INT."""
     return to_binary_int(col(name), df.schema[name].dataType)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coercion import strip_space
 from .columns import ID, ORDER, binary, col
-from .sampling import seeded_hash
+from .sampling import sample_hash
 
 # Line boundaries of a text, and the layout of a block.
 _LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -30,8 +30,7 @@ def take_positions(
     spark = df.sparkSession
     wanted = [(rank, int(position)) for rank, position in enumerate(positions)]
     listed = spark.createDataFrame(wanted, "rank int, _position bigint")
-    # The list comes from the caller's arguments, so it is as small as they are.
-    return df.join(F.broadcast(listed), col(position_by) == col("_position")).drop("_position")
+    return df.join(listed, col(position_by) == col("_position")).drop("_position")
 
 
 def example_block(df: DataFrame, labels: Sequence[str], text: str = "report_text") -> Column:
@@ -61,12 +60,12 @@ def format_examples(
     if positions:
         chosen = take_positions(df, positions, position_by)
     else:
-        digest = seeded_hash(col(key), seed)
-        few = df.withColumn("_hash", digest).orderBy("_hash", col(key)).limit(n)
-        # At most n rows are left here, so the unpartitioned rank is small.
-        fields = F.struct("_hash", col(key).alias("_key"), F.struct(*[col(c) for c in df.columns]).alias("_row"))
-        rows = few.agg(F.sort_array(F.collect_list(fields)).alias("_rows"))
-        chosen = rows.select(F.posexplode("_rows").alias("rank", "_item")).select("rank", "_item._row.*")
+        needed = [c for c in dict.fromkeys((key, ID, "report_text", *labels)) if c in df.columns]
+        few = df.select(*[col(c) for c in needed], sample_hash(df, key, seed).alias("_hash"))
+        # A top n; the rank then runs over these n rows, one after the other.
+        few = few.orderBy("_hash", col(key)).limit(n)
+        rank = F.row_number().over(Window.orderBy("_hash", col(key))) - 1
+        chosen = few.withColumn("rank", rank)
     return chosen.select("rank", col(ID), example_block(chosen, labels).alias("block"))
 
 

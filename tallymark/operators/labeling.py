@@ -5,7 +5,7 @@ runs in Python, once per row, inside ``mapInPandas``; the part of the prompt
 that never changes is added there, so it is not shipped with every row.
 
 Calls are paid for and not repeatable: write the result (see
-``sources.durable``) before using it twice.
+``durable.materialise``) before using it twice.
 """
 
 from __future__ import annotations

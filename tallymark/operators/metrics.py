@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.coercion import parse_number, ratio, round4, round_half_even
 from .align import IN_LEFT, IN_RIGHT, WEIGHT
 from .columns import ID, binary, col
-from .votes import PATTERN_COLUMNS, confusion_cells, vote_counts
+from .votes import confusion_cells
 
 # Names of the summary rows.
 MACRO = "MACRO_AVERAGE"
@@ -50,37 +50,36 @@ def _same_raw(df: DataFrame, left: str, right: str) -> Column:
 
 
 def pair_patterns(aligned: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Coerced votes, exact-match flag and weight of every aligned row.
-
-    With few labels the rows are counted by pattern, giving a small table from
-    which all metrics and the run summary can be derived without going back to
-    the data. With many labels the rows stay as they are.
-    """
+    """Coerced votes, exact-match flag and weight of every aligned row."""
     sides = [name for name in (IN_LEFT, IN_RIGHT) if name in aligned.columns]
     exact = F.lit(True)
     for label in labels:
         exact = exact & _same_raw(aligned, f"true_{label}", f"pred_{label}")
     votes = [f"{side}_{label}" for side in ("true", "pred") for label in labels]
-    rows = aligned.select(
+    return aligned.select(
         *[col(name) for name in sides],
         exact.alias(EXACT),
         *[binary(aligned, name).alias(name) for name in votes],
         _weight(aligned).alias(WEIGHT),
     )
-    if len(votes) > PATTERN_COLUMNS:
-        return rows
-    keys = [col(name) for name in (*sides, EXACT, *votes)]
-    return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias(WEIGHT))
 
 
 def confusion_counts(aligned: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Rows (label_pos, label, tp, fp, fn, tn) from one pass over the input."""
+    """Rows (label_pos, label, tp, fp, fn, tn) from one pass over the input.
+
+    One aggregate without keys has four sums per label; its single row is then
+    laid out as one row per label.
+    """
     matched = _matched(aligned)
-    votes = [[binary(matched, f"true_{x}"), binary(matched, f"pred_{x}")] for x in labels]
-    counted = vote_counts(matched, labels, votes, _weight(matched))
-    return counted.groupBy("label_pos", "label").agg(
-        *confusion_cells(col("v0"), col("v1"), col("n"))
-    )
+    sums = []
+    for i, x in enumerate(labels):
+        cells = confusion_cells(binary(matched, f"true_{x}"), binary(matched, f"pred_{x}"), _weight(matched))
+        sums += [F.coalesce(cell, F.lit(0)).cast("bigint").alias(f"_{name}{i}") for name, cell in zip(CELLS, cells)]
+    per_label = [
+        F.struct(F.lit(i).alias("label_pos"), F.lit(x).alias("label"), *[col(f"_{c}{i}").alias(c) for c in CELLS])
+        for i, x in enumerate(labels)
+    ]
+    return matched.agg(*sums).select(F.inline(F.array(*per_label)))
 
 
 def _matched(aligned: DataFrame) -> DataFrame:
@@ -152,7 +151,10 @@ def compare_metrics(aligned: DataFrame, labels: Sequence[str], micro: bool = Tru
 def discrepancies(
     aligned: DataFrame, labels: Sequence[str], report_column: str | None = None
 ) -> DataFrame:
-    """One row per ID and label whose coerced prediction differs from the truth."""
+    """One row per ID and label whose coerced prediction differs from the truth.
+
+    A table with weights gives a ``Count`` of the row pairs such a row stands for.
+    """
     matched = _matched(aligned)
     cells = F.array(
         *[
@@ -168,11 +170,9 @@ def discrepancies(
     kept = [col(ID)]
     if report_column is not None:
         kept.append(col(report_column).alias("Report"))
-    if WEIGHT not in matched.columns:
-        return matched.select(*kept, F.inline(wrong)).select(*_discrepancy_columns(report_column))
-    repeated = matched.select(*kept, F.inline(wrong), col(WEIGHT))
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), col(WEIGHT))).alias("_copy")
-    return repeated.select("*", copies).select(*_discrepancy_columns(report_column))
+    counted = [col(WEIGHT).alias("Count")] if WEIGHT in matched.columns else []
+    listed = matched.select(*kept, *counted, F.inline(wrong))
+    return listed.select(*_discrepancy_columns(report_column), *["Count"] * len(counted))
 
 
 def _discrepancy_columns(report_column: str | None) -> list[str]:

@@ -6,14 +6,15 @@ that leaves the reports still to be labelled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialise
 from ..functions.text import report_hash
-from .columns import ID, ORDER, canonical_id, col, order_column, require_columns
+from .columns import ID, ORDER, canonical_id, col, fix_order, require_columns
 
 PRIOR = "_prior_ord"
 REUSE = "reuse"
@@ -45,7 +46,7 @@ def resume_match(
     history_order: str | None = None,
     require_same_hash: bool = False,
     retry_status: Sequence[str] = (),
-    cut=None,
+    cut: Callable[[DataFrame], DataFrame] = materialise,
 ) -> Resume:
     """Match reports with an earlier run, by ID first and by text hash second.
 
@@ -57,19 +58,14 @@ def resume_match(
     * Rows with a status in ``retry_status`` are not reused.
 
     The order columns must identify a row on either side and be stable across
-    reads. ``cut`` is an optional function applied to the slim match tables, for
-    instance to write them out before they are used several times.
+    reads; a side without one is written out once. ``cut`` is applied to the slim
+    tables of keys and matches, which are used several times: by default they go
+    to a checkpoint, so either input is read twice, and its texts are hashed once.
     """
     named = canonical_id(reports, id_col)
     require_columns(named, [ID, text_col])
-    ordered = named.select(
-        order_column(named, order_by).alias(ORDER), *[col(c) for c in named.columns if c != ORDER]
-    )
-    prior = canonical_id(history)
-    prior = prior.select(
-        order_column(prior, history_order).alias(PRIOR),
-        *[col(c) for c in prior.columns if c not in (ORDER, PRIOR, REUSE)],
-    )
+    ordered = fix_order(named, order_by)
+    prior = fix_order(canonical_id(history), history_order, PRIOR).drop(ORDER, REUSE)
     new = ordered.select(ORDER, col(ID).cast("string").alias(ID), report_hash(col(text_col)).alias("_hash"))
     has_status = "status" in prior.columns
     retry = col("status").isin(*retry_status) if has_status and retry_status else F.lit(False)
@@ -81,10 +77,11 @@ def resume_match(
         F.coalesce(retry, F.lit(False)).alias("_retry"),
     )
 
-    settle = cut if cut is not None else (lambda df: df)
-    by_id = settle(_match_ids(new, old, require_same_hash))
-    by_hash, buckets = _match_hashes(new, old, by_id)
-    matches = settle(by_id.unionByName(by_hash))
+    new, old = cut(new), cut(old)
+    by_id = cut(_match_ids(new, old, require_same_hash))
+    buckets = cut(_match_hashes(new, old, by_id))
+    by_hash = buckets.where(col("_offered") == 1).select(ORDER, PRIOR, F.lit("hash").alias(REUSE), ID)
+    matches = cut(by_id.unionByName(by_hash))
 
     carried = [col(c) for c in prior.columns if c not in (PRIOR, ID)]
     taken = matches.select(ORDER, PRIOR, REUSE, col(ID).alias("_new_id"))
@@ -111,7 +108,7 @@ def _match_ids(new: DataFrame, old: DataFrame, require_same_hash: bool) -> DataF
     return both.select(ORDER, PRIOR, F.lit("id").alias(REUSE), ID)
 
 
-def _match_hashes(new: DataFrame, old: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _match_hashes(new: DataFrame, old: DataFrame, by_id: DataFrame) -> DataFrame:
     new_left = new.where(col("_hash") != "").join(by_id.select(ORDER), ORDER, "left_anti")
     old_left = old.where((col("_hash") != "") & ~col("_retry")).join(
         by_id.select(PRIOR), PRIOR, "left_anti"
@@ -121,9 +118,7 @@ def _match_hashes(new: DataFrame, old: DataFrame, by_id: DataFrame) -> tuple[Dat
         F.min(ORDER).alias(ORDER), F.min_by(ID, ORDER).alias(ID), F.count("*").alias("_asking")
     )
     offered = old_left.groupBy("_hash").agg(F.max(PRIOR).alias(PRIOR), F.count("*").alias("_offered"))
-    buckets = asking.join(offered, "_hash")
-    by_hash = buckets.where(col("_offered") == 1).select(ORDER, PRIOR, F.lit("hash").alias(REUSE), ID)
-    return by_hash, buckets
+    return asking.join(offered, "_hash")
 
 
 def _stats(new: DataFrame, old: DataFrame, matches: DataFrame, buckets: DataFrame) -> DataFrame:

@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.coercion import ratio
 from .columns import binary, col, require_columns
 
-# Hash buckets per stratum. Only the bucket a quota ends in is ranked row by row.
+# Buckets a group's order is cut into at each level. Only the bucket a quota ends
+# in is cut again, and only the last one is ranked row by row.
 BUCKETS = 65536
-# The cut list has at most one row per sampled row; up to this many are broadcast.
-BROADCAST_ROWS = 1_000_000
-# Samples up to this size are taken as a top-n.
-TOP_ROWS = 10_000
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -27,6 +24,17 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
+def row_text(df: DataFrame) -> Column:
+    """All columns of a row as one text, to tell rows apart that share a key."""
+    cells = [F.coalesce(col(name).cast("string"), F.lit("\\N")) for name in df.columns]
+    return F.concat_ws("\x1f", *cells)
+
+
+def sample_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """Seeded hash of the key, or of the whole row where the key is null."""
+    return seeded_hash(F.coalesce(col(key).cast("string"), row_text(df)), seed)
+
+
 def combo_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """How often each combination of (coerced) label values occurs."""
     require_columns(df, labels)
@@ -38,35 +46,57 @@ def combo_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 def take_first(
     df: DataFrame,
     groups: Sequence[str],
-    bucket: str,
+    levels: Sequence[tuple[str, Column]],
     order: Sequence[Column],
     quota: DataFrame | Column,
-    total: int,
 ) -> DataFrame:
     """Exactly the first ``quota`` rows of every group, by ``order``.
 
     ``quota`` is a table (groups, quota), or one number when there are no
-    groups. ``bucket`` must not decrease along ``order``. Bucket counts
-    (combined map side) show in which bucket each quota ends; later buckets are
-    dropped by a join before anything else moves, and rows are ranked within
-    single buckets. A group holding most of the table is thus never gathered in
-    one task. ``total`` bounds the sum of the quotas.
+    groups. ``levels`` names buckets that do not decrease along ``order``, coarse
+    first. Bucket counts (combined map side) show in which bucket each quota ends;
+    later buckets are dropped by a join, earlier ones are taken whole, and that
+    one is cut by the next level. Rows are ranked within single buckets of the
+    last level, so neither a group holding most of the table nor a key that
+    repeats often is gathered in one task. Rows alike in all columns are ranked
+    together.
     """
-    counts = df.groupBy(*groups, bucket).agg(F.count("*").alias("_rows"))
-    # At most BUCKETS rows per group.
-    running = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
-    if isinstance(quota, Column):
-        cuts = cuts.withColumn("quota", quota)
-    else:
-        cuts = cuts.join(quota, list(groups))
-    cuts = cuts.where(col("_before") < col("quota"))
-    cuts = cuts.select(*groups, bucket, (col("quota") - col("_before")).alias("_room"))
-    if total <= BROADCAST_ROWS:
-        cuts = F.broadcast(cuts)
-    candidates = df.join(cuts, [*groups, bucket])
-    rank = F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(*order))
-    return candidates.withColumn("_rank", rank).where(col("_rank") <= col("_room")).drop("_rank", "_room")
+    names, taken, current = [], None, df
+    for name, bucket in levels:
+        names.append(name)
+        current = current.withColumn(name, bucket)
+        keys = [*groups, *names]
+        carried = [F.max("_room").alias("_room")] if len(names) > 1 else []
+        counts = current.groupBy(*keys).agg(F.count("*").alias("_rows"), *carried)
+        running = Window.partitionBy(*groups, *names[:-1]).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
+        if not carried:
+            counts = counts.withColumn("_room", quota) if isinstance(quota, Column) else counts.join(
+                quota.withColumnRenamed("quota", "_room"), list(groups)
+            )
+        room = col("_room") - col("_before")
+        cuts = counts.where(room > 0).select(*keys, (col("_rows") <= room).alias("_whole"), room.alias("_left"))
+        met = current.drop("_room").join(cuts, keys).withColumnRenamed("_left", "_room")
+        whole = met.where("_whole").select(*[col(c) for c in df.columns])
+        taken = whole if taken is None else taken.union(whole)
+        current = met.where("NOT _whole").drop("_whole")
+    rank = F.row_number().over(Window.partitionBy(*groups, *names).orderBy(*order))
+    ranked = current.withColumn("_rank", rank).where(col("_rank") <= col("_room"))
+    return taken.union(ranked.select(*[col(c) for c in df.columns]))
+
+
+def draw_first(df: DataFrame, groups: Sequence[str], key: str, quota: DataFrame | Column) -> DataFrame:
+    """The first ``quota`` rows of every group by ``_hash``, then by a digest of the whole row.
+
+    The digest is only worked out in the bucket of ``_hash`` a quota ends in.
+    """
+
+    def leading(digest: Column) -> Column:
+        return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+
+    digest = F.md5(row_text(df))
+    levels = [("_bucket", leading(col("_hash"))), ("_fine", leading(digest))]
+    return take_first(df, groups, levels, [F.asc("_hash"), digest.asc(), F.asc(_quoted(key))], quota)
 
 
 def allocate_samples(counts: DataFrame, labels: Sequence[str], n: int) -> DataFrame:
@@ -85,12 +115,11 @@ def allocate_samples(counts: DataFrame, labels: Sequence[str], n: int) -> DataFr
         F.expr(f"cast(({product}) div cast(_size as decimal(18,0)) as bigint)").alias("_floor"),
         F.expr(f"cast(({product}) % cast(_size as decimal(18,0)) as bigint)").alias("_remainder"),
     )
-    # Larger remainders get lower buckets.
+    # Larger remainders get lower buckets; there are as many rows here as combinations.
     bucket = F.expr(f"((_size - 1 - _remainder) * {BUCKETS - 1}L) div _size")
-    shares = shares.withColumn("_bucket", bucket)
     left_over = shares.agg((F.max("_want") - F.sum("_floor")).alias("quota")).scalar()
     order = [F.desc("_remainder"), F.desc("count"), *[F.asc(_quoted(label)) for label in labels]]
-    lucky = take_first(shares, [], "_bucket", order, left_over, n)
+    lucky = take_first(shares, [], [("_bucket", bucket)], order, left_over)
     names = [col(label) for label in labels]
     extra = lucky.select(*names, F.lit(1).cast("bigint").alias("_extra"))
     placed = shares.join(extra, list(labels), "left")
@@ -108,49 +137,45 @@ def stratified_sample(
 ) -> DataFrame:
     """``n`` rows with label combinations in proportion; all rows when n is larger.
 
-    ``key`` must identify a row. Label values count as in ``combo_counts``; the
-    columns come out as they went in.
+    Rows are drawn by a hash of ``key``; rows that share one by the rest of the
+    row, and rows without a key like any other. Label values count as in
+    ``combo_counts``; the columns come out as they went in.
     """
     require_columns(df, [*labels, key])
     strata = [f"_stratum_{i}" for i in range(len(labels))]
-    digest = seeded_hash(col(key), seed)
     marked = df.select(
         "*",
         *[binary(df, label).alias(name) for label, name in zip(labels, strata)],
-        digest.alias("_hash"),
+        sample_hash(df, key, seed).alias("_hash"),
     )
-    marked = marked.withColumn("_bucket", _hash_bucket())
-    counts = marked.groupBy(*strata, "_bucket").agg(F.count("*").alias("count"))
-    combos = counts.groupBy(*strata).agg(F.sum("count").alias("count"))
+    combos = marked.groupBy(*strata).agg(F.count("*").alias("count"))
     quota = allocate_samples(combos, strata, n).where("quota > 0").select(*strata, "quota")
-    order = [F.asc("_hash"), F.asc(_quoted(key))]
-    chosen = take_first(marked, strata, "_bucket", order, quota, n)
+    chosen = draw_first(marked, strata, key, quota)
     return chosen.select(*[col(name) for name in df.columns])
 
 
 def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Fill a short sample up to ``n`` with rows of ``df`` it does not hold yet."""
-    digest = seeded_hash(col(key), seed)
-    rest = df.join(sampled.select(col(key)), key, "left_anti").select("*", digest.alias("_hash"))
-    rest = rest.withColumn("_bucket", _hash_bucket())
+    """Fill a short sample up to ``n`` with rows of ``df`` it does not hold yet.
+
+    A row is held if its key is; rows without a key are told apart by all columns.
+    """
+    def identity(rows: DataFrame) -> Column:
+        whole = F.concat(F.lit("row "), row_text(rows.select(*[col(c) for c in df.columns])))
+        return F.coalesce(F.concat(F.lit("key "), col(key).cast("string")), whole)
+
+    held = sampled.select(identity(sampled).alias("_is"))
+    rest = df.select("*", identity(df).alias("_is")).join(held, "_is", "left_anti").drop("_is")
     short = sampled.agg((F.lit(n) - F.count("*")).alias("quota")).scalar()
-    order = [F.asc("_hash"), F.asc(_quoted(key))]
-    filling = take_first(rest, [], "_bucket", order, short, n)
+    marked = rest.withColumn("_hash", sample_hash(rest, key, seed))
+    filling = draw_first(marked, [], key, short)
     return sampled.unionByName(filling.select(*[col(name) for name in df.columns]))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` random rows (all of them when the table is smaller).
-
-    A few rows come from a top-n; a large sample is cut by hash bucket instead,
-    so that no single task has to merge it.
-    """
-    marked = df.withColumn("_hash", seeded_hash(col(key), seed))
-    order = [F.asc("_hash"), F.asc(_quoted(key))]
-    if n <= TOP_ROWS:
-        return marked.orderBy(*order).limit(n).drop("_hash")
-    marked = marked.withColumn("_bucket", _hash_bucket())
-    return take_first(marked, [], "_bucket", order, F.lit(n), n).drop("_bucket", "_hash")
+    """``n`` random rows (all of them when the table is smaller), one way for every n."""
+    marked = df.withColumn("_hash", sample_hash(df, key, seed))
+    drawn = draw_first(marked, [], key, F.lit(n))
+    return drawn.select(*[col(name) for name in df.columns])
 
 
 def label_prevalence(tables: Mapping[str, DataFrame], labels: Sequence[str]) -> DataFrame:
@@ -176,10 +201,5 @@ def label_prevalence(tables: Mapping[str, DataFrame], labels: Sequence[str]) ->
     return result
 
 
-def _hash_bucket() -> Column:
-    """Leading 16 bits of ``_hash``."""
-    return F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

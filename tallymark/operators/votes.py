@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from .columns import col
 
-# Up to this many vote columns the rows are first counted by their whole
-# pattern: with 0/1 votes at most 2**14 groups per task, whatever the row count.
-PATTERN_COLUMNS = 14
-
 
 def vote_counts(
     df: DataFrame, labels: Sequence[str], votes: Sequence[Sequence[Column]], weight: Column | None = None
@@ -24,11 +20,8 @@ def vote_counts(
     """
     width = len(votes[0])
     flat = [v.alias(f"_l{i}_{j}") for i, per_label in enumerate(votes) for j, v in enumerate(per_label)]
-    names = [f"_l{i}_{j}" for i in range(len(labels)) for j in range(width)]
     weight = F.lit(1).cast("bigint") if weight is None else weight
     rows = df.select(*flat, weight.alias("_n"))
-    if len(names) <= PATTERN_COLUMNS:
-        rows = rows.groupBy(*names).agg(F.sum("_n").alias("_n"))
     per_label = F.array(
         *[
             F.struct(

@@ -17,7 +17,7 @@ from ..operators.agreement import (
 from ..operators.align import align_runs
 from ..operators.columns import DEFAULT_EXCLUDE, ID, shared_labels
 from ..operators.consensus import STRATEGIES, consensus, consensus_summary, vote_threshold
-from ..sources.durable import materialise
+from ..durable import materialise
 from .results import Agreement, Ensemble
 
 

@@ -17,8 +17,7 @@ from ..operators.metrics import (
     pair_patterns,
     with_averages,
 )
-from ..operators.votes import PATTERN_COLUMNS
-from ..sources.durable import materialise
+from ..durable import materialise
 from .results import Comparison
 
 
@@ -38,8 +37,8 @@ def compare_runs(
 ) -> Comparison:
     """Metrics, discrepancies and summary, the left table being the truth.
 
-    The data is aligned once for the metrics and the summary, which share the
-    pattern table, and once more if the discrepancies are read.
+    The tables are aligned once, into a checkpoint of IDs and labels that the
+    metrics, the summary and the discrepancies are read from.
     """
     names = pair_labels(left, right, labels, exclude)
     sides = {"left_id": left_id, "right_id": right_id, "rule": rule}
@@ -49,9 +48,8 @@ def compare_runs(
         missing = unmatched_ids(left, right, **sides)
     else:
         table = pair_table(left, right, names, left_order=left_order, right_order=right_order, **sides)
+    table = materialise(table)
     patterns = pair_patterns(table, names)
-    if 2 * len(names) <= PATTERN_COLUMNS:
-        patterns = materialise(patterns)
     metrics = with_averages(binary_metrics(confusion_counts(patterns, names)))
     summary = compare_summary(patterns, names, left_name, right_name, missing)
     return Comparison(metrics, discrepancies(table, names), summary)

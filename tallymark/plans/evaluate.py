@@ -16,7 +16,7 @@ from ..operators.columns import (
     binary,
     canonical_id,
     col,
-    order_column,
+    fix_order,
     require_columns,
     resolve_column,
 )
@@ -28,7 +28,7 @@ from ..operators.metrics import (
     evaluation_summary,
     with_averages,
 )
-from ..sources.durable import materialise
+from ..durable import materialise
 from .label import resume_batch
 from .results import Evaluation
 
@@ -53,7 +53,7 @@ def evaluate_prompt(
     require_columns(reports, prompt.labels)
     named = canonical_id(reports)
     named = named.withColumnRenamed(resolve_column(named, "report_text", "first"), "report_text")
-    ordered = named.withColumn(ORDER, order_column(named, order_by))
+    ordered = fix_order(named, order_by)
     asked = ordered.select(ORDER, ID, "report_text")
     settings = {"model": model, "pricing": pricing, **options}
     if history is None:
@@ -63,8 +63,7 @@ def evaluate_prompt(
         for label in prompt.labels:
             if f"pred_{label}" in prior.columns:
                 prior = prior.withColumnRenamed(f"pred_{label}", label)
-        matching = {"order_by": ORDER, "cut": materialise}
-        rows, _ = resume_batch(asked, prior, prompt, model_factory, matching=matching, **settings)
+        rows, _ = resume_batch(asked, prior, prompt, model_factory, matching={"order_by": ORDER}, **settings)
     counted = total_tokens(col("total_tokens"), col("prompt_tokens"), col("completion_tokens"))
     cost = estimate_cost(F.lit(model), col("prompt_tokens"), col("completion_tokens"), pricing)
     metadata = {name: col(name) for name in RUN_METADATA}

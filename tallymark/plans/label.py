@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialise, path_exists
 from ..functions.costs import Pricing
 from ..functions.prompts import PromptSpec
-from ..operators.columns import ORDER, col, normalize_run_rows, order_column, run_columns
+from ..operators.columns import ORDER, col, fix_order, normalize_run_rows, run_columns
 from ..operators.labeling import ModelFactory, label_reports
 from ..operators.metrics import run_totals
 from ..operators.resume import resume_match
-from ..sources.durable import materialise
 from .results import LabelRun
 
+SLICE = "slice"
+# Finished slices are listed here; readers of the output skip underscore folders.
+SLICE_LEDGER = "_slices"
+
 
 def resume_batch(
     reports: DataFrame,
@@ -50,6 +57,7 @@ def generate_labels(
     cost_precision: int = 8,
     history: DataFrame | None = None,
     output: str | None = None,
+    slices: int = 1,
     matching: dict[str, Any] | None = None,
     **options: Any,
 ) -> LabelRun:
@@ -58,19 +66,65 @@ def generate_labels(
     Every row is computed once: into ``output`` or into a checkpoint. Rows of
     ``history`` that match no report are not carried over. ``output`` must not
     be the folder ``history`` is read from.
+
+    With ``slices`` > 1 the rows are labelled and committed to ``output`` in that
+    many parts, dealt by a hash of report ID and text. A part that was finished
+    is not labelled again when the same call is repeated after a crash, so a
+    crash costs the calls of one part. Rows that hold ID and text alike go to
+    one part; reports are read once for each part.
     """
-    ordered = reports.withColumn(ORDER, order_column(reports, (matching or {}).get("order_by")))
+    if output is not None and history is not None:
+        _refuse_same_folder(history, output)
+    if slices > 1 and output is None:
+        raise ValueError("Slices are committed to output; name one.")
+    ordered = fix_order(reports, (matching or {}).get("order_by"))
     settings = {"model": model, "pricing": pricing, "cost_precision": cost_precision, **options}
     if history is None:
-        rows, stats = label_reports(ordered, prompt, model_factory, **settings), None
+        todo, reused, stats = ordered, None, None
+    else:
+        match = resume_match(ordered, history, **{**(matching or {}), "order_by": ORDER})
+        todo, stats = match.todo, match.stats
+        reused = normalize_run_rows(match.reused, prompt.labels, cost_precision)
+    columns = [col(c) for c in run_columns(prompt.labels)]
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return label_reports(part, prompt, model_factory, **settings).select(*columns)
+
+    if slices <= 1:
+        rows = labelled(todo)
+        done = materialise(rows if reused is None else reused.select(*columns).unionByName(rows), output)
     else:
-        chosen = {"cut": materialise, **(matching or {}), "order_by": ORDER}
-        rows, stats = resume_batch(
-            ordered, history, prompt, model_factory, matching=chosen, **settings
-        )
-    done = materialise(rows.select(*[col(c) for c in run_columns(prompt.labels)]), output)
+        done = _commit_slices(todo, labelled, reused, output, slices).select(*columns)
     totals = run_totals(done, cost_precision=cost_precision)
     if stats is not None:
         reused = stats.select(col("matched_by_id") + col("matched_by_hash")).scalar()
         totals = totals.withColumn("resumed_reports", reused)
     return LabelRun(done, totals, stats)
+
+
+def _refuse_same_folder(history: DataFrame, output: str) -> None:
+    """Raise if ``history`` is read from ``output``, which is about to be replaced."""
+
+    def bare(path: str) -> str:
+        return re.sub(r"^\w+:/*", "/", unquote(path)).rstrip("/") + "/"
+
+    if any(bare(file).startswith(bare(output)) for file in history.inputFiles()):
+        raise ValueError(f"history is read from the output folder {output!r}; write the run elsewhere.")
+
+
+def _commit_slices(
+    todo: DataFrame, labelled: Callable[[DataFrame], DataFrame], reused: DataFrame | None, output: str, slices: int
+) -> DataFrame:
+    """Label and write one slice after the other, then list it as finished."""
+    spark = todo.sparkSession
+    names = {c.lower(): c for c in todo.columns}
+    identity = [col(names[c]).cast("string") for c in ("volumename", "report_text") if c in names]
+    slice_of = F.pmod(F.xxhash64(*identity), F.lit(slices))
+    for number in range(slices + (reused is not None)):
+        if path_exists(spark, f"{output}/{SLICE_LEDGER}/{number}"):
+            continue
+        part = labelled(todo.where(slice_of == number)) if number < slices else reused
+        part.write.mode("overwrite").parquet(f"{output}/{SLICE}={number}")
+        ledger = spark.createDataFrame([(number,)], f"{SLICE} bigint")
+        ledger.coalesce(1).write.mode("overwrite").parquet(f"{output}/{SLICE_LEDGER}/{number}")
+    return spark.read.parquet(output)

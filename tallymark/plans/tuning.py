@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.columns import ID
 from ..operators.sampling import label_prevalence, stratified_sample
-from ..sources.durable import materialise
+from ..durable import materialise
 from .results import TuningSet
 
 

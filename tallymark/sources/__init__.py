@@ -1,6 +1,6 @@
 """Sources and sinks."""
 
-from .durable import checkpoint_folder, materialise
+from ..durable import checkpoint_folder, materialise
 from .sinks import append_labels, write_labels, write_summary, write_table
 from .tables import NA_TOKENS, list_files, read_metrics, read_reports, read_table
 

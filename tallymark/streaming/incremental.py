@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +12,8 @@ from ..functions.prompts import PromptSpec
 from ..operators.columns import ORDER, col, run_columns
 from ..operators.labeling import ModelFactory, label_reports
 from ..plans.label import resume_batch
-from ..sources.durable import materialise
+from ..sources.tables import read_table
+from ..durable import materialise, path_exists
 
 BATCH = "batch_id"
 # Finished batches are listed here; readers of the output skip underscore folders.
@@ -59,7 +59,7 @@ def incremental_label(
             rows = label_reports(ordered, prompt, model_factory, keep_order=True, **options)
             rows = rows.withColumn("reuse", F.lit("none"))
         else:
-            chosen = {"cut": materialise, **(matching or {}), "order_by": ORDER}
+            chosen = {**(matching or {}), "order_by": ORDER, "history_order": ORDER}
             rows, _ = resume_batch(ordered, done, prompt, model_factory, matching=chosen, **options)
         new = rows.where(col("reuse") != "id").select(*[col(c) for c in run_columns(prompt.labels)])
         new.write.mode("overwrite").parquet(f"{output}/{BATCH}={batch_id}")
@@ -77,18 +77,18 @@ def _ordered(batch: DataFrame, order_by: str | None) -> DataFrame:
 
 
 def _finished(spark: SparkSession, output: str, batch_id: int) -> bool:
-    try:
-        ledger = spark.read.parquet(f"{output}/{LEDGER}")
-    except AnalysisException:
+    if not path_exists(spark, f"{output}/{LEDGER}"):
         return False
+    ledger = spark.read.parquet(f"{output}/{LEDGER}")
     return not ledger.where(col(BATCH) == batch_id).isEmpty()
 
 
 def _earlier(spark: SparkSession, output: str, batch_id: int) -> DataFrame | None:
-    """Rows of earlier batches in arrival order, None before the first batch."""
-    try:
-        rows = spark.read.parquet(output)
-    except AnalysisException:
+    """Rows of earlier batches in arrival order, None before the first batch.
+
+    Rows are numbered by batch, file and place in the file, so every read agrees.
+    """
+    if not path_exists(spark, f"{output}/{LEDGER}"):
         return None
-    rows = rows.where(col(BATCH) < batch_id)
-    return rows.withColumn(ORDER, F.monotonically_increasing_id())
+    rows = read_table(spark, output, order_files=BATCH)
+    return rows.where(col(BATCH) < batch_id)

@@ -120,11 +120,25 @@ def test_example_blocks(spark):
     assert ops.format_examples(df, ["absent"], n=20).count() == 3
 
 
-def test_large_samples_equal_a_full_sort(spark, rows, monkeypatch):
-    from tallymark.operators import sampling
-
+def test_samples_equal_a_full_sort(spark, rows):
     df = labelled(spark, 400)
-    plain = rows(ops.sample_rows(df, 150, "id"))
-    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
-    assert rows(ops.sample_rows(df, 150, "id")) == plain and len(plain) == 150
+    ranked = df.withColumn("h", F.md5(F.concat(F.col("id").cast("string"), F.lit(":42")))).orderBy("h").collect()
+    for n in (1, 150, 399):
+        assert {r["id"] for r in ops.sample_rows(df, n, "id").collect()} == {r["id"] for r in ranked[:n]}
     assert ops.sample_rows(df, 1000, "id").count() == 400
+
+
+@pytest.mark.parametrize("n", [1, 40, 150, 299, 300, 500])
+def test_null_and_repeated_keys_are_drawn_like_others(spark, n):
+    """A third of the rows has no key, a third one and the same, some rows are alike in all columns."""
+    key = F.when(F.col("id") % 3 == 1, F.lit(7)).when(F.col("id") % 3 == 2, F.col("id"))
+    df = spark.range(300).select(key.alias("k"), F.floor(F.col("id") / 2).alias("v"), (F.col("id") % 2).cast("int").alias("a"))
+    drawn = ops.sample_rows(df, n, "k")
+    assert drawn.count() == min(n, 300) and drawn.exceptAll(df).count() == 0
+    strata_of = ops.stratified_sample(df, ["a"], n, "k")
+    assert strata_of.count() == min(n, 300) and strata_of.exceptAll(df).count() == 0
+    if n == 150:
+        counts = {r["kind"]: r["count"] for r in drawn.groupBy(F.coalesce(F.col("k") == 7, F.lit(None)).alias("kind")).count().collect()}
+        assert counts[None] > 20 and counts[False] > 20
+    full = ops.top_up(df, df.where("v < 10"), n, "k")
+    assert full.count() >= min(n, 20) and full.exceptAll(df).count() == 0
