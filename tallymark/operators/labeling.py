@@ -52,6 +52,7 @@ def call_model(
     retry_on: tuple[type[BaseException], ...] = (OSError,),
     wait_seconds: tuple[float, float] = (1.0, 4.0),
     partitions: int | None = None,
+    side_by_side: int = 1,
     keep_request: bool = False,
 ) -> DataFrame:
     """Run the model over reports; one row per call, plus one per blank report.
@@ -65,8 +66,11 @@ def call_model(
     attempts with a doubling wait. Any other error ends the row's attempts at
     once. Errors are returned in the row; they never fail the task.
 
-    ``partitions`` sets how many calls run side by side. ``keep_request`` keeps
-    the user message with the call, for a log that includes texts.
+    ``partitions`` sets how many tasks make calls (by default two for every core,
+    however the table is stored), and ``side_by_side`` how many calls a task has
+    under way at once; a call function must then allow several threads. Results
+    keep the row order. ``keep_request`` keeps the user message with the call, for
+    a log that includes texts.
     """
     named = canonical_id(reports, id_col)
     require_columns(named, [ID, text_col])
@@ -77,9 +81,10 @@ def call_model(
         report_hash(col(text_col)).alias("report_hash"),
         F.when(~blank, col(text_col)).alias("_text"),
     )
-    if partitions is not None:
-        # The row order is unique, so a hot ID or a hot text cannot pile up.
-        rows = rows.repartition(partitions, ORDER)
+    if partitions is None:
+        partitions = 2 * reports.sparkSession.sparkContext.defaultParallelism
+    # The row order is unique, so a hot ID or a hot text cannot pile up.
+    rows = rows.repartition(partitions, ORDER)
     single = prompt.mode == "single"
     if single:
         pieces = F.array(
@@ -97,17 +102,20 @@ def call_model(
     leads = {name: leading_messages(prompt, [name]) for name in prompt.labels} if single else {}
     if not single:
         leads[""] = leading_messages(prompt, list(prompt.labels))
-    runner = _partition_runner(model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request)
+    runner = _partition_runner(
+        model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request, side_by_side
+    )
     return requests.mapInPandas(runner, _CALL_SCHEMA)
 
 
 def _partition_runner(
-    model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request
+    model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request, side_by_side
 ):
     """The function each task runs. It closes over plain values only."""
 
     def run(batches):
         import time
+        from concurrent.futures import ThreadPoolExecutor
         from datetime import datetime, timezone
 
         def now():
@@ -130,40 +138,39 @@ def _partition_runner(
                     return None, failure, tries
                 time.sleep(min(max(2.0 ** (tries - 1), wait_seconds[0]), wait_seconds[1]))
 
+        def ask(label, user):
+            """One row's outcome."""
+            if user is None:
+                return {"outcome": "skipped", "messages_count": 0}
+            messages = [*leads[label], {"role": "user", "content": user}]
+            started, clock = now(), time.perf_counter()
+            answer, failure, tries = attempt_call(messages)
+            row = {
+                "latency_seconds": time.perf_counter() - clock,
+                "messages_count": len(messages),
+                "retry_count": tries,
+                "started_at_utc": started,
+                "ended_at_utc": now(),
+                "model_version": model,
+            }
+            if answer is None:
+                return row | {"outcome": "failed", "call_error": failure}
+            return row | {
+                "outcome": "answered",
+                "content": str(answer["content"]),
+                "prompt_tokens": answer.get("prompt_tokens") or 0,
+                "completion_tokens": answer.get("completion_tokens") or 0,
+                "reported_total": answer.get("total_tokens") or 0,
+                "request_id": answer.get("request_id") or "",
+                "model_version": answer.get("model_version") or model,
+                "finish_reason": answer.get("finish_reason") or "",
+                "tool_calls_present": bool(answer.get("tool_calls_present")),
+            }
+
         call = model_factory()
-        for batch in batches:
-            results = []
-            for label, user in zip(batch["label"], batch["_user"]):
-                if user is None:
-                    results.append({"outcome": "skipped", "messages_count": 0})
-                    continue
-                messages = [*leads[label], {"role": "user", "content": user}]
-                started, clock = now(), time.perf_counter()
-                answer, failure, tries = attempt_call(messages)
-                row = {
-                    "latency_seconds": time.perf_counter() - clock,
-                    "messages_count": len(messages),
-                    "retry_count": tries,
-                    "started_at_utc": started,
-                    "ended_at_utc": now(),
-                    "model_version": model,
-                }
-                if answer is None:
-                    row |= {"outcome": "failed", "call_error": failure}
-                else:
-                    row |= {
-                        "outcome": "answered",
-                        "content": str(answer["content"]),
-                        "prompt_tokens": answer.get("prompt_tokens") or 0,
-                        "completion_tokens": answer.get("completion_tokens") or 0,
-                        "reported_total": answer.get("total_tokens") or 0,
-                        "request_id": answer.get("request_id") or "",
-                        "model_version": answer.get("model_version") or model,
-                        "finish_reason": answer.get("finish_reason") or "",
-                        "tool_calls_present": bool(answer.get("tool_calls_present")),
-                    }
-                results.append(row)
-            yield _assemble(batch, results)
+        with ThreadPoolExecutor(side_by_side) as pool:
+            for batch in batches:
+                yield _assemble(batch, list(pool.map(ask, batch["label"], batch["_user"])))
 
     def _assemble(batch, results):
         import pandas as pd

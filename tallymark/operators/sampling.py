@@ -26,7 +26,7 @@ def seeded_hash(key: Column, seed: int) -> Column:
 
 def row_text(df: DataFrame) -> Column:
     """All columns of a row as one text, to tell rows apart that share a key."""
-    cells = [F.coalesce(col(name).cast("string"), F.lit("\\N")) for name in df.columns]
+    cells = [F.coalesce(col(name).cast("string"), F.lit("<null>")) for name in df.columns]
     return F.concat_ws("\x1f", *cells)
 
 

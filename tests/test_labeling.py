@@ -1,5 +1,6 @@
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +260,53 @@ def test_evaluate_prompt_end_to_end(spark, rows):
     assert again.run_summary.first()["total_estimated_cost_usd"] == summary["total_estimated_cost_usd"]
     with pytest.raises(ValueError, match="Label_B"):
         plans.evaluate_prompt(df.drop("Label_B"), MULTI, model)
+
+
+def test_calls_run_side_by_side(spark):
+    """Calls wait for each other, so they only end if several are under way at once."""
+
+    def factory():
+        import threading
+
+        meet = threading.Barrier(4, timeout=20)
+
+        def call(messages):
+            meet.wait()
+            return {"content": '{"a": 1}', "request_id": messages[-1]["content"][-1:]}
+
+        return call
+
+    df = spark.createDataFrame([(i, f"v{i}", f"text {i}") for i in range(8)], "_ord bigint, VolumeName string, report_text string")
+    calls = ops.call_model(df, PromptSpec("Decide.", ("a",)), factory, partitions=1, side_by_side=4, max_retries=1)
+    got = calls.collect()
+    assert sorted(r["_ord"] for r in got) == list(range(8)) and {r["outcome"] for r in got} == {"answered"}
+
+
+def test_finished_slices_are_not_labelled_again(spark, tmp_path):
+    """A run that ended after its first part, started again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def call(messages):
+            asked.add(1)
+            return {"content": '{"a": 1}'}
+
+        return call
+
+    df = spark.createDataFrame([(i, f"v{i}", f"text {i}") for i in range(30)], "_ord bigint, VolumeName string, report_text string")
+    settings = {"output": str(tmp_path / "out"), "slices": 3, "matching": {"order_by": "_ord"}, "partitions": 1}
+    prompt = PromptSpec("Decide.", ("a",))
+    sizes = df.groupBy(F.pmod(F.xxhash64("VolumeName", "report_text"), F.lit(3)).alias("s")).count().collect()
+    assert len(sizes) == 3
+    first = plans.generate_labels(df.where(F.pmod(F.xxhash64("VolumeName", "report_text"), F.lit(3)) == 0), prompt, factory, **settings)
+    # Only the first part had rows; forget the two empty ones, as a crash would.
+    for part in (1, 2):
+        shutil.rmtree(tmp_path / "out" / "_slices" / str(part))
+    before = asked.value
+    assert before == first.labels.count()
+    run = plans.generate_labels(df, prompt, factory, **settings)
+    assert run.labels.count() == 30 and asked.value == 30
+    with pytest.raises(ValueError, match="output"):
+        plans.generate_labels(df, prompt, factory, history=spark.read.parquet(str(tmp_path / "out")), output=str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        plans.generate_labels(df, prompt, factory, slices=2)

@@ -186,6 +186,20 @@ def _block(text: str) -> str:
     '    output: {{"quality": ', coalesce(quality, 0), ', "toxic": ', coalesce(toxic, 0), E'}}\\n')"""
 
 
+def _row_text(columns: list[str]) -> str:
+    return f"concat_ws(chr(31), {', '.join(f"coalesce({c}::VARCHAR, '<null>')" for c in columns)})"
+
+
+def _draw(columns: list[str]) -> str:
+    """Hash order of rows whose key may be missing or repeat."""
+    return f"md5(concat(coalesce(key::VARCHAR, {_row_text(columns)}), ':42')), md5({_row_text(columns)})"
+
+
+HALF_KEYED = """half AS (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS key, doc_id, quality, toxic FROM labels)"""
+HALF = ["key", "doc_id", "quality", "toxic"]
+MANY = [f"l{i}" for i in range(2, 20)]
+
+
 LABELLED = """labelled AS (SELECT d.doc_id, concat('doc_', d.doc_id) AS VolumeName, text, quality, toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -400,7 +414,7 @@ ORACLE = {
       SELECT rank, VolumeName, {_block('text')} AS block FROM few WHERE rank < 3""",
     "format_examples_at": f"""WITH {LABELLED}, wanted AS (SELECT * FROM (VALUES (0, 42), (1, 7), (2, 1000000000000), (3, 7)) v(rank, doc_id))
       SELECT rank::INT AS rank, VolumeName, {_block('text')} AS block FROM wanted JOIN labelled USING (doc_id)""",
-    "report_hash": f"WITH {ASKED_PARTLY} SELECT VolumeName, coalesce(sha256(report), '') AS report_hash FROM asked",
+    "report_hash": f"WITH {ASKED} SELECT VolumeName, coalesce(sha256(report), '') AS report_hash FROM asked",
     "prompt_messages": _messages(
         "- long text\\n- mentions the",
         '{"long text": 0, "mentions the": 0}',
@@ -452,7 +466,7 @@ ORACLE = {
     "skip_empty_reports": f"WITH {_labelled(ASKED_PARTLY)} SELECT * FROM rows",
     "skip_empty_reports_single": f"WITH {_labelled(ASKED_PARTLY, single=True)} SELECT * FROM rows",
     "blank_reports": f"WITH {ASKED_PARTLY} SELECT VolumeName, ({IS_BLANK})::INT AS blank FROM asked",
-    "run_totals": f"""WITH {_labelled(ASKED_PARTLY)} SELECT count(*) AS total_reports, 0::BIGINT AS resumed_reports,
+    "run_totals": f"""WITH {_labelled(ASKED)} SELECT count(*) AS total_reports, 0::BIGINT AS resumed_reports,
         sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
         round_even(sum(estimated_cost_usd), 8) AS total_cost_usd,
         avg(retry_count) FILTER (status <> 'skipped') AS average_attempts,
@@ -475,7 +489,7 @@ ORACLE = {
         "p_mentions the" AS p_b FROM pair), {_metrics('renamed', ['a', 'b'], micro=False)}
       SELECT * REPLACE (CASE label WHEN 'a' THEN 'long text' WHEN 'b' THEN 'mentions the' ELSE label END AS label)
       FROM metrics""",
-    "call_log": f"""WITH {_labelled(ASKED_PARTLY)}, texts AS (SELECT r.*, {JSON_TEXT} AS body, len FROM rows r
+    "call_log": f"""WITH {_labelled(ASKED)}, texts AS (SELECT r.*, {JSON_TEXT} AS body, len FROM rows r
         JOIN asked a USING (VolumeName) WHERE status <> 'skipped')
       SELECT VolumeName, 'request' AS event, 'gpt-5-nano' AS model, 'long text,mentions the' AS labels, report_hash,
         8 AS messages_count, NULL::VARCHAR AS request_id, NULL::VARCHAR AS model_version, NULL::INT AS content_length,
@@ -507,3 +521,29 @@ ORACLE = {
     "bench_agreement_li": f"WITH {LI_ALIGNED}, {_pairwise('aligned', LI)} SELECT * EXCLUDE (pos) FROM pairwise",
     "bench_consensus_li": f"WITH {LI_ALIGNED} {_consensus('aligned', LI, 2)}",
 }
+ORACLE |= {
+    "stratified_sample_null_keys": f"""WITH {HALF_KEYED}, {_allocation('half', L, 100)},
+      drawn AS (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY {_draw(HALF)}) AS draw FROM half)
+      SELECT key, doc_id, quality, toxic FROM drawn JOIN allocated USING (quality, toxic) WHERE draw <= quota""",
+    "sample_rows_large": f"""WITH rows AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_partkey END AS key,
+        l_orderkey, l_linenumber, l_suppkey FROM lineitem)
+      SELECT * FROM rows ORDER BY {_draw(["key", "l_orderkey", "l_linenumber", "l_suppkey"])} LIMIT 20000""",
+    "top_up": f"""WITH {HALF_KEYED}, held AS (SELECT * FROM half WHERE doc_id % 10 < 2),
+      more AS (SELECT *, row_number() OVER (ORDER BY {_draw(HALF)}) AS draw FROM half WHERE doc_id % 10 >= 2)
+      SELECT * FROM held UNION ALL SELECT * EXCLUDE (draw) FROM more WHERE draw <= 150 - (SELECT count(*) FROM held)""",
+    "compare_many_labels": f"""WITH pair AS (SELECT doc_id AS VolumeName, {", ".join(
+        f"(n_chars % {i} = 0)::INT AS t_l{i}, (doc_id % {i} = 0)::INT AS p_l{i}" for i in range(2, 20))} FROM documents),
+      {_metrics('pair', MANY)} SELECT * FROM metrics""",
+    "compare_workflow": ORACLE["compare_metrics"],
+    "compare_workflow_discrepancies": ORACLE["discrepancies"],
+    "agree_workflow": ORACLE["pairwise_agreement"],
+    "ensemble_workflow": ORACLE["consensus_majority"],
+    "evaluate_unordered": ORACLE["evaluation_metrics"],
+    "generate_labels_unordered": "SELECT concat('doc_', doc_id) AS VolumeName, sha256(text) AS report_hash FROM documents",
+    "generate_labels_sliced": ORACLE["label_reports_multi"],
+    "write_labels": f"WITH {_run('run1')} SELECT concat(VolumeName, '_2.nii') AS VolumeName, quality, toxic FROM run1",
+    "dedupe_over_files": """WITH rows AS (SELECT concat('scan_', doc_id % 97) AS VolumeName, doc_id, n_chars,
+        CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS part FROM documents)
+      SELECT VolumeName, doc_id, n_chars FROM (SELECT *, row_number() OVER (
+        PARTITION BY VolumeName ORDER BY part, doc_id) AS rn FROM rows) WHERE rn = 1""",
+}

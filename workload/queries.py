@@ -130,6 +130,33 @@ def compare_run_summary(spark, sf_dir):
     return summary.withColumn("labels_compared", F.array_join("labels_compared", ","))
 
 
+def compare_many_labels(spark, sf_dir):
+    """Eighteen labels; the plan has the same shape as for two."""
+    docs = t.table(spark, sf_dir, "documents")
+    name = "concat('doc_', doc_id, '_1.nii.gz') AS VolumeName"
+    left = docs.selectExpr("doc_id AS _ord", name, *[f"cast(n_chars % {i} = 0 AS int) AS l{i}" for i in range(2, 20)])
+    right = docs.selectExpr("doc_id AS _ord", name, *[f"cast(doc_id % {i} = 0 AS int) AS l{i}" for i in range(2, 20)])
+    labels = [f"l{i}" for i in range(2, 20)]
+    return ops.compare_metrics(ops.align_pair(left, right, labels), labels).drop("label_pos")
+
+
+def compare_workflow(spark, sf_dir):
+    result = plans.compare_runs(t.truth(spark, sf_dir), t.run(spark, sf_dir, "run1"))
+    return result.evaluation_metrics.drop("label_pos")
+
+
+def compare_workflow_discrepancies(spark, sf_dir):
+    return plans.compare_runs(t.truth(spark, sf_dir), t.run(spark, sf_dir, "run1")).discrepancies
+
+
+def agree_workflow(spark, sf_dir):
+    return plans.agree_runs(t.runs(spark, sf_dir), LABELS).pairwise_agreement.drop("pair_pos", "label_pos")
+
+
+def ensemble_workflow(spark, sf_dir):
+    return plans.ensemble_runs(t.runs(spark, sf_dir), LABELS, strategies=["majority"]).consensus["consensus_majority"]
+
+
 def unmatched_ids(spark, sf_dir):
     return ops.unmatched_ids(t.truth(spark, sf_dir), t.run(spark, sf_dir, "run1"))
 
@@ -253,6 +280,30 @@ def sample_rows(spark, sf_dir):
     return ops.sample_rows(t.table(spark, sf_dir, "labels"), 50, "doc_id")
 
 
+def _half_keyed(spark, sf_dir):
+    """Labelled documents of which every second one has no key."""
+    return t.table(spark, sf_dir, "labels").selectExpr(
+        "if(doc_id % 2 = 0, doc_id, NULL) AS key", "doc_id", "quality", "toxic"
+    )
+
+
+def stratified_sample_null_keys(spark, sf_dir):
+    return ops.stratified_sample(_half_keyed(spark, sf_dir), LABELS, 100, "key")
+
+
+def sample_rows_large(spark, sf_dir):
+    """A large sample by a key that repeats, and is missing for one row in seven or so."""
+    rows = t.table(spark, sf_dir, "lineitem").selectExpr(
+        "if(l_linenumber = 1, NULL, l_partkey) AS key", "l_orderkey", "l_linenumber", "l_suppkey"
+    )
+    return ops.sample_rows(rows, 20_000, "key")
+
+
+def top_up(spark, sf_dir):
+    rows = _half_keyed(spark, sf_dir)
+    return ops.top_up(rows, rows.where("doc_id % 10 < 2"), 150, "key")
+
+
 def _labelled_reports(spark, sf_dir):
     labels = t.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_ord")
     return t.reports(spark, sf_dir).join(labels, "_ord", "left")
@@ -270,7 +321,7 @@ def format_examples_at(spark, sf_dir):
 
 
 def report_hashes(spark, sf_dir):
-    rows = t.partly_blank_reports(spark, sf_dir)
+    rows = t.reports(spark, sf_dir)
     return rows.select("VolumeName", report_hash(F.col("report_text")).alias("report_hash"))
 
 
@@ -374,7 +425,7 @@ def blank_reports(spark, sf_dir):
 
 
 def run_totals(spark, sf_dir):
-    rows = _label(spark, sf_dir, reports=t.partly_blank_reports(spark, sf_dir))
+    rows = _label(spark, sf_dir)
     return ops.run_totals(rows).drop("average_latency_seconds")
 
 
@@ -401,9 +452,19 @@ def evaluation_metrics(spark, sf_dir):
     return result.evaluation_metrics.drop("label_pos")
 
 
+def evaluate_unordered(spark, sf_dir):
+    """The same for rows without any order of their own."""
+    labels = t.table(spark, sf_dir, "labels").selectExpr(
+        "doc_id AS _ord", "quality AS `long text`", "toxic AS `mentions the`"
+    )
+    rows = t.reports(spark, sf_dir).join(labels, "_ord").drop("_ord").dropDuplicates(["VolumeName"])
+    result = plans.evaluate_prompt(rows, t.PROMPT, t.keyword_model(), model="gpt-5-nano", wait_seconds=(0.0, 0.0))
+    return result.evaluation_metrics.drop("label_pos")
+
+
 def call_log(spark, sf_dir):
     calls = ops.call_model(
-        t.partly_blank_reports(spark, sf_dir), t.PROMPT, t.keyword_model(), model="gpt-5-nano"
+        t.reports(spark, sf_dir), t.PROMPT, t.keyword_model(), model="gpt-5-nano"
     )
     log = ops.call_log(calls, t.PROMPT, "gpt-5-nano")
     return log.select(
@@ -452,6 +513,46 @@ def resume_batch(spark, sf_dir):
     return rows.select("VolumeName", "reuse", "long text", "mentions the", "report_hash", "status")
 
 
+def generate_labels_unordered(spark, sf_dir):
+    """Every report comes out once, with its own text, whatever order it was read in."""
+    prior = t.history(spark, sf_dir).selectExpr(
+        "_ord", "VolumeName", "quality AS `long text`", "toxic AS `mentions the`", "report_hash", "status"
+    )
+    rows = t.reports(spark, sf_dir).drop("_ord").dropDuplicates(["VolumeName"])
+    run = plans.generate_labels(rows, t.PROMPT, t.keyword_model(), history=prior, wait_seconds=(0.0, 0.0))
+    return run.labels.select("VolumeName", "report_hash")
+
+
+def generate_labels_sliced(spark, sf_dir):
+    """Labelled and committed in three parts."""
+    run = plans.generate_labels(
+        t.reports(spark, sf_dir), t.PROMPT, t.keyword_model(), model="gpt-5-nano", pricing=DEFAULT_PRICING,
+        output=t.scratch(spark, "sliced"), slices=3, matching={"order_by": "_ord"}, wait_seconds=(0.0, 0.0),
+    )
+    return run.labels.select(*_STABLE)
+
+
+def write_labels(spark, sf_dir):
+    """A run table written, replaced and read again."""
+    folder = t.scratch(spark, "labels")
+    sources.write_labels(t.run(spark, sf_dir, "run2"), folder)
+    sources.write_labels(t.run(spark, sf_dir, "run1").drop("_ord"), folder)
+    return sources.read_table(spark, folder).select("VolumeName", "quality", "toxic")
+
+
+def dedupe_over_files(spark, sf_dir):
+    """The first row of every ID over three files of unlike size, in order of the files."""
+    folder = t.scratch(spark, "files")
+    part = "CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END"
+    rows = t.table(spark, sf_dir, "documents").selectExpr(
+        f"{part} AS part", "concat('scan_', doc_id % 97) AS VolumeName", "doc_id", "n_chars"
+    )
+    ordered = rows.repartition("part").sortWithinPartitions("part", "doc_id")
+    ordered.write.partitionBy("part").parquet(folder)
+    kept = ops.dedupe_first(sources.read_table(spark, folder, ["VolumeName", "doc_id", "n_chars"]))
+    return kept.select("VolumeName", "doc_id", "n_chars")
+
+
 def incremental_label(spark, sf_dir):
     """Two arrivals: the documents with truth, then all of them."""
     folder = t.scratch(spark, "arrivals")
@@ -526,6 +627,19 @@ QUERIES = {
     "stratified_allocation": stratified_allocation,
     "stratified_sample": stratified_sample,
     "stratified_sample_lines": stratified_sample_lines,
+    "stratified_sample_null_keys": stratified_sample_null_keys,
+    "sample_rows_large": sample_rows_large,
+    "top_up": top_up,
+    "compare_many_labels": compare_many_labels,
+    "compare_workflow": compare_workflow,
+    "compare_workflow_discrepancies": compare_workflow_discrepancies,
+    "agree_workflow": agree_workflow,
+    "ensemble_workflow": ensemble_workflow,
+    "evaluate_unordered": evaluate_unordered,
+    "generate_labels_unordered": generate_labels_unordered,
+    "generate_labels_sliced": generate_labels_sliced,
+    "write_labels": write_labels,
+    "dedupe_over_files": dedupe_over_files,
     "label_prevalence": label_prevalence,
     "sample_rows": sample_rows,
     "format_examples": format_examples,
