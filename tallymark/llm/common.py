@@ -1,14 +1,20 @@
-"""Helpers the operators share."""
+"""Helpers the operators share.
+
+``cut`` computes a table once, into the folder of ``spark.checkpoint.dir``, which
+all executors share; a lost executor loses none of it.
+"""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import checkpoint_folder as shared_folder
+from ..durable import materialise as cut
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,24 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session names none, as in tests, a temporary one is made.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallymark-llm-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared folder; a lost executor loses none of it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lowered(text: Column) -> Column:
     """``text`` with A-Z, and nothing else, in lower case."""
     return F.translate(text, UPPER, LOWER)
