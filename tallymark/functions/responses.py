@@ -103,6 +103,8 @@ def _bit(value: Column) -> Column:
         word = F.lower(strip_space(F.try_variant_get(value, "$", "string")))
         return (
             F.when(kind == "BIGINT", (F.try_variant_get(value, "$", "bigint") != 0).cast("int"))
+            # Integers beyond 64 bits come as decimals without a fraction.
+            .when(kind.rlike(r"^DECIMAL\((19|2\d|3\d),0\)$"), (F.try_variant_get(value, "$", "decimal(38,0)") != 0).cast("int"))
             .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
             .when(kind == "STRING", word.isin(*POSITIVE_WORDS).cast("int"))
             .when(kind != "VOID", F.lit(0))

@@ -210,3 +210,10 @@ def test_total_tokens(spark):
 def test_rounding_is_half_even_after_scaling(spark):
     got = evaluate(spark, [0.00625, 0.73935, 2 / 3], round4, "double")
     assert got == [0.0062, 0.7393, 0.6667]
+
+
+@pytest.mark.parametrize("value, bit", [("99999999999999999999", 1), ("-10000000000000000000000", 1), ("1.0", 0), ("1e30", 0), ("9223372036854775807", 1)])
+def test_integers_beyond_64_bits_are_integers(spark, value, bit):
+    df = spark.createDataFrame([(f'{{"k": {value}}}',)], "body string")
+    df = df.withColumn("parsed", parse_object(F.col("body")))
+    assert df.select(label_value(F.col("parsed"), F.lit("k"))).first()[0] == bit
