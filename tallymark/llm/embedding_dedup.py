@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,14 @@ from .ann import usable
 from .common import blocks, cut, in_runs
 from .components import connect, merge
 
-#: Independent codes, codewords of a part, parts of a vector.
-CODES, WORDS, PARTS = 6, 256, 2
-#: A filter takes vectors whose product with its direction, in standard deviations
-#: of a random vector's, is at least this; and each vector has that many filters
-#: of a code at least, by a lower bound where it needs one.
-DEVIATIONS, LEAST = 3.7, 3
+#: Independent codes, parts of a vector.
+CODES, PARTS = 6, 2
+#: Codewords of a part for 50,000 vectors; their number grows with the root of the
+#: vectors, the filters so with the vectors, and a filter's share of them stays.
+WORDS, FEWEST_WORDS = 256, 64
+#: Filters of a vector, about; and of each code at least, by a lower bound where
+#: the vector needs one.
+FILTERS, LEAST = 50, 3
 #: Vectors of a filter that are compared at once, and vectors decoded at once.
 BLOCK, BATCH = 2_048, 512
 #: Filters with more vectors than this are compared by matrix products.
@@ -67,14 +70,19 @@ class ProductCode:
         return found
 
 
-def make_codes(dimensions: int) -> list[ProductCode]:
-    """The same codes in every task."""
-    return [ProductCode(dimensions, WORDS, PARTS, SEED + i) for i in range(CODES)]
+def make_codes(dimensions: int, vectors: int) -> list[ProductCode]:
+    """Codes for so many vectors, the same in every task."""
+    words = max(FEWEST_WORDS, round(WORDS * (vectors / 50_000) ** 0.5))
+    return [ProductCode(dimensions, words, PARTS, SEED + i) for i in range(CODES)]
 
 
 def filters_of(units: np.ndarray, codes: list[ProductCode]) -> list[np.ndarray]:
-    """Sorted filter numbers of every unit vector, over all codes."""
-    bound = DEVIATIONS / np.sqrt(units.shape[1])
+    """Sorted filter numbers of every unit vector, over all codes.
+
+    The bound is the one that a random vector exceeds for ``FILTERS`` directions.
+    """
+    directions = sum(code.words ** len(code.books) for code in codes)
+    bound = NormalDist().inv_cdf(1 - min(0.5, FILTERS / directions)) / np.sqrt(units.shape[1])
     found = []
     for at in range(0, len(units), BATCH):
         lists = [code.decode(units[at : at + BATCH], bound, LEAST) for code in codes]
@@ -165,13 +173,15 @@ def near_vectors(
         .select("of", "rep", "n", "held.label", "held.vector")
     )
 
+    number = classes.count()
+
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes: dict[int, list[ProductCode]] = {}
         for frame in frames:
             sizes = frame["vector"].str.len()
             for size, part in frame.groupby(sizes, sort=False):
                 if size not in codes:
-                    codes[size] = make_codes(size)
+                    codes[size] = make_codes(size, number)
                 units = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
                 yield pd.DataFrame(
                     {

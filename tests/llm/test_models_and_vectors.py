@@ -374,13 +374,14 @@ def test_near_vectors_of_clusters(spark, clusters, monkeypatch, block):
         assert (r["n_links"], r["component_id"]) == (links[i], find(i))
 
 
-def test_filters_miss_no_pair_at_the_bound():
+@pytest.mark.parametrize("vectors", [300, 50_000, 400_000])
+def test_filters_miss_no_pair_at_the_bound(vectors):
     rng = np.random.default_rng(4)
     x = unit(rng.normal(size=(600, 64)))
     noise = rng.normal(size=x.shape)
     noise = unit(noise - (noise * x).sum(axis=1, keepdims=True) * x)
     y = 0.93 * x + math.sqrt(1 - 0.93**2) * noise
-    codes = make_codes(64)
+    codes = make_codes(64, vectors)
     shared = [len(np.intersect1d(a, b)) for a, b in zip(filters_of(x, codes), filters_of(y, codes))]
     assert min(shared) >= 1
 
@@ -388,7 +389,7 @@ def test_filters_miss_no_pair_at_the_bound():
 def test_decoding_finds_all_filters_over_the_bound():
     rng = np.random.default_rng(2)
     units = unit(rng.normal(size=(20, 24)))
-    code = make_codes(24)[0]
+    code = make_codes(24, 1000)[0]
     a, b = code.books
     directions = np.concatenate([np.repeat(a, len(b), axis=0), np.tile(b, (len(a), 1))], axis=1)
     products = (units @ code.rotation) @ directions.T
