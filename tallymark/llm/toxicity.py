@@ -19,6 +19,9 @@ from .labelled import held_out, training_texts
 SAMPLE = 20_000
 #: Word beginnings and words that carry a weight.
 FEATURES = 512
+#: Spans whose reading a worker keeps, names it counts before passing them on, and
+#: bytes or characters it looks at together.
+KEPT_SPANS, MOST_COUNTED, AT_ONCE = 50_000, 100_000, 1 << 19
 #: A document is rejected from this score on.
 REJECT = 0.7
 
@@ -41,10 +44,10 @@ _SIGNS = "".join(re.escape(c) for c in LEET)
 _SPAN = re.compile(
     # single characters with single separators between them
     rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ ._*-](?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])"
-    # letters and signs mixed in one word
-    rf"|(?:[^\W\d_]+[{_SIGNS}]|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*"
+    # letters and signs mixed in one word; no search starts inside a word
+    rf"|(?:(?<![^\W\d_])[^\W\d_]+[{_SIGNS}]|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*"
     # a letter three times or more
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,7 +74,7 @@ class Letters:
         found = self.known.get(span)
         if found is None:
             found = self.decode(span)
-            if len(self.known) < 200_000 and len(span) < 100:
+            if len(self.known) < KEPT_SPANS and len(span) < 100:
                 self.known[span] = found
         return found
 
@@ -142,6 +145,19 @@ class Letters:
         return edges
 
 
+def slices(texts: pd.Series) -> Iterator[list[str]]:
+    """A batch of texts in parts of about ``AT_ONCE`` characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How often each run of four symbols occurs in all documents.
 
@@ -151,10 +167,10 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for frame in frames:
-            raw = np.frombuffer("  ".join(frame["text"]).lower().encode("utf-8", "replace"), np.uint8)
-            for at in range(0, len(raw), 1 << 22):
-                part = raw[at : at + (1 << 22)]
+        for text in (part for frame in frames for part in slices(frame["text"])):
+            raw = np.frombuffer("  ".join(text).lower().encode("utf-8", "replace"), np.uint8)
+            for at in range(0, len(raw), AT_ONCE):
+                part = raw[at : at + AT_ONCE]
                 codes = _CODE[part[(part & 0xC0) != 0x80]]
                 codes = codes[(codes != 0) | (np.append(1, codes[:-1]) != 0)]  # boundaries in a row are one
                 codes = np.concatenate([[0, 0], codes, [0]])
@@ -200,7 +216,7 @@ class Weights:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, total))))
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, ridge: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[list[int]], labels: np.ndarray, size: int, ridge: float = 1e-5, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Weights and bias by full gradient steps with adaptive rates."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.array([i for r in rows for i in r], np.int64)
@@ -234,9 +250,14 @@ def fit(docs: DataFrame, labels: DataFrame, letters: Letters, most: int = SAMPLE
                 seen.update(found)
                 if label:
                     toxic.update(found)
-        names = list(seen)
-        if names:
-            yield pd.DataFrame({"name": names, "n": list(seen.values()), "toxic": [toxic[f] for f in names]}).astype({"n": "int64", "toxic": "int64"})
+                if len(seen) > MOST_COUNTED:
+                    yield counted(seen, toxic)
+                    seen, toxic = Counter(), Counter()
+        if seen:
+            yield counted(seen, toxic)
+
+    def counted(seen: Counter, toxic: Counter) -> pd.DataFrame:
+        return pd.DataFrame({"name": list(seen), "n": list(seen.values()), "toxic": [toxic[f] for f in seen]})
 
     sizes = restored.agg(F.count("*"), F.sum("label")).first()
     if not sizes[0]:
@@ -259,7 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, letters: Letters, most: int = SAMPLE
     return Weights(names, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, most: int = SAMPLE, restored: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Restore every text and score it.
 
     A character model of order four is counted over all documents. Words that
@@ -271,8 +294,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_co
     labelled documents that are not held out. Whole texts are restored and
     scored; nothing but the score depends on labels.
 
-    Returns ``row`` (struct of all input columns), ``held_out``, ``score``,
-    ``restored``.
+    Returns ``row`` (struct of all input columns), ``held_out``, ``score`` and, if
+    asked for, the ``restored`` text.
 
     A null or empty text gets the score of a text without words. Without labels
     every score is 0. Null ids are scored, are not held out, and teach nothing.
@@ -282,23 +305,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_co
     weights = fit(docs, labels, letters, most, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast((letters, weights))  # 28^4 costs and FEATURES weights
 
-    @F.pandas_udf("score double, restored string")
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters, weights = model.value
         for text in texts:
-            restored = [letters.restore(t) for t in text]
-            scores = [weights.score(t) if weights else 0.0 for t in restored]
-            yield pd.DataFrame({"score": np.array(scores, float), "restored": restored})
+            yield pd.Series([weights.score(letters.restore(t)) if weights else 0.0 for t in text], dtype=float)
+
+    @F.pandas_udf("string")
+    def restore(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        letters, _ = model.value
+        for text in texts:
+            yield pd.Series([letters.restore(t) for t in text], dtype=object)
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    judged = docs.select(
+    return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         held_out(F.col(f"`{id_col}`")).alias("held_out"),
-        judge(text).alias("judged"),
+        judge(text).alias("score"),
+        *[restore(text).alias("restored")] * restored,
     )
-    return judged.select("row", "held_out", F.col("judged.score").alias("score"), F.col("judged.restored").alias("restored"))
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, reject: float = REJECT, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with scores under ``reject``, all columns as given."""
-    return score_toxicity(docs, labels, most, id_col, text_col).where(F.col("score") < reject).select("row.*")
+    judged = score_toxicity(docs, labels, most, id_col=id_col, text_col=text_col)
+    return judged.where(F.col("score") < reject).select("row.*")
