@@ -68,6 +68,10 @@ SENTENCES = {
     "this work is dedicated to the public domain under cc0 1.0 license": "CC0Ref",
 }
 
+# Sentences in which a holder is named: what stands before the name,
+# a pattern of what follows, and the identifier.
+HOLDER = ()
+
 # Licences and the identifiers they are made of, the longer rule first.
 RULES = (
     ("MIT", ("MITGrant", "MITNotice", "MITWarranty", "MITLiability")),
@@ -102,14 +106,19 @@ RULES = (
 
 #: Lines a sentence may run over.
 LINES = 16
+#: Characters a holder's name and what follows it may have.
+MOST_HELD = 600
 #: One of these is in every known sentence and tag, so texts without one have none.
 ANCHORS = ("license", "permission", "warrant", "liable", "redistribut", "free software", "the mpl", "endorse")
 _ANCHOR = re.compile("|".join(ANCHORS))
-_MARKS = re.compile(r"^[\s#*/%;>|-]+")
+_MARKS = re.compile(r"""^(?:[\s#*/%;>|!-]|<!--|<%--|\(\*|\{[-#*]|\"{3}|'{3}|'(?=\s)|@?rem\s|dnl\s)+""", re.IGNORECASE)
+#: Marks that close a comment end a piece wherever they stand; others only at the end of a line.
+_CLOSED = re.compile(r"""\*+/|-+->|-+%>|\*+\)|[-#*]\}|\"{3}|'{3}|\s[#*|]+\s*$""")
 _ITEM = re.compile(r"^(?:\d+\.|\([a-z\d]\)|[-*])\s+")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
-_TAG = re.compile(r"^spdx-license-identifier: ?(\S+)$")
+_TAG = "spdx-license-identifier:"
+_TOKEN = re.compile(r"[()]|[^\s()]+")
 
 
 def normal(sentence: str) -> str:
@@ -128,9 +137,54 @@ class Found:
     unmatched: list[str]
 
 
+def expression(plain: str) -> list[str]:
+    """Licences and exceptions of an SPDX tag in normal form, in order; none if it is not one expression."""
+    if not plain.startswith(_TAG):
+        return []
+    found, depth, operand = [], 0, True  # operand: a licence or an opening bracket comes next
+    after_with = ended_with = False
+    for token in _TOKEN.findall(plain[len(_TAG) :]):
+        if operand and token == "(" and not after_with:
+            depth += 1
+        elif operand and token not in ("(", ")", "and", "or", "with"):
+            found.append(f"SPDX:{token.upper()}")
+            operand, after_with, ended_with = False, False, after_with
+            bare = True
+        elif not operand and token == ")" and depth:
+            depth, bare = depth - 1, False
+        elif not operand and token in ("and", "or"):
+            operand = True
+        elif not operand and token == "with" and bare and not ended_with:
+            operand = after_with = True
+        else:
+            return []
+    return [] if depth or operand else found
+
+
+def holder_sentence(plain: str) -> str | None:
+    """Identifier of a sentence of ``HOLDER`` that names any holder."""
+    for start, rest, name in _HELD:
+        if plain.startswith(start) and rest.fullmatch(plain, len(start)):
+            return name
+    return None
+
+
+def goes_on(plain: str) -> bool:
+    """Whether more pieces may make ``plain`` a known sentence or a whole tag."""
+    if plain in _BEGINNINGS or any(b.startswith(plain) for b in _STARTS.get(plain[:12], ())):
+        return True
+    if plain.startswith(_TAG):
+        return plain.count("(") > plain.count(")")
+    return any(start.startswith(plain) or plain.startswith(start) and len(plain) < len(start) + MOST_HELD for start, _, _ in _HELD)
+
+
 def identify(text: str) -> list[str]:
     """Identifiers of the known sentences of a text, in order.
 
+    Comment marks are left out. Any name may stand for the holder in the sentences
+    of ``HOLDER``. An SPDX tag gives an identifier for each licence and exception
+    of its expression (AND, OR, WITH, brackets, which may run over lines).
+
     Text is cut at sentence ends and line ends. From each piece on, the longest
     run of pieces that is a known sentence counts; a run may pass line ends, and
     sentence ends only where the known sentence has one inside.
@@ -139,9 +193,10 @@ def identify(text: str) -> list[str]:
         return []
     pieces: list[str] = []
     for line in text.split("\n"):
-        bare = _MARKS.sub("", line).strip()
-        if bare:
-            pieces += _SENTENCE.split(bare)
+        for part in _CLOSED.split(line):
+            bare = _MARKS.sub("", part).strip()
+            if bare:
+                pieces += _SENTENCE.split(bare)
     found, at = [], 0
     while at < len(pieces):
         taken, run = 0, ""
@@ -150,15 +205,14 @@ def identify(text: str) -> list[str]:
             if len(run) > 1_000:
                 break
             plain = normal(run)
-            name = SENTENCES.get(plain)
-            if name is None and size == 1 and (tag := _TAG.match(plain)):
-                name = f"SPDX:{tag[1].upper()}"
-            if name:
-                taken, known = size, name
-            if plain not in _BEGINNINGS and not any(b.startswith(plain) for b in _STARTS.get(plain[:12], ())):
+            name = SENTENCES.get(plain) or holder_sentence(plain)
+            names = [name] if name else expression(plain)
+            if names:
+                taken, known = size, names
+            if not goes_on(plain):
                 break
         if taken:
-            found.append(known)
+            found += known
         at += max(1, taken)
     return found
 
@@ -169,6 +223,7 @@ for _sentence in SENTENCES:
     for _size in range(1, 13):
         _STARTS.setdefault(_sentence[:_size], []).append(_sentence)
 _BEGINNINGS = frozenset(SENTENCES)
+_HELD = [(start, re.compile(rf"(?!.*{re.escape(start)}).{{1,200}}?{rest}"), name) for start, rest, name in HOLDER]
 
 
 def match(identifiers: list[str]) -> Found:

@@ -136,6 +136,18 @@ def test_license_sentences_and_rules():
     assert all(any(a in s for a in ANCHORS) for s in SENTENCES)
 
 
+def test_closing_marks_and_spdx_expressions():
+    for line in ("/* SPDX-License-Identifier: GPL-2.0 */", "<!-- SPDX-License-Identifier: GPL-2.0 -->", "/* SPDX-License-Identifier: GPL-2.0 */ int x;", "# SPDX-License-Identifier: (GPL-2.0) #"):
+        assert identify(line) == ["SPDX:GPL-2.0"]
+    assert identify("/* Released under the MIT License. */\n/* See more. */") == ["MITRef"]
+    assert identify("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["SPDX:MIT", "SPDX:APACHE-2.0"]
+    whole = ["SPDX:GPL-2.0-ONLY", "SPDX:LINUX-SYSCALL-NOTE", "SPDX:BSD-3-CLAUSE", "SPDX:MIT"]
+    assert identify("/* SPDX-License-Identifier: ((GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause) AND MIT */") == whole
+    assert identify("# SPDX-License-Identifier: ((GPL-2.0-only WITH Linux-syscall-note)\n#   OR BSD-3-Clause) AND MIT") == whole
+    assert identify("SPDX-License-Identifier: MIT OR") == identify("SPDX-License-Identifier: goes on top of files") == []
+    assert identify("you can obtain one at\nIf a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.") == ["MPLCopy"]
+
+
 def test_license_scan_of_all_documents(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op5_license_scan"](spark, MORE).collect()}
     lines = {
