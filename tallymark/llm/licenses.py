@@ -70,7 +70,14 @@ SENTENCES = {
 
 # Sentences in which a holder is named: what stands before the name,
 # a pattern of what follows, and the identifier.
-HOLDER = ()
+HOLDER = (
+    ("neither the name of ", r" nor the names? of (?:(?:its|their|the|any|other|his|her) )*contributors may be used to endorse or promote products derived from this software without specific(?:,)? prior written permission", "BSDEndorse"),
+    ("neither the names of ", r" nor the names? of (?:(?:its|their|the|any|other|his|her) )*contributors may be used to endorse or promote products derived from this software without specific(?:,)? prior written permission", "BSDEndorse"),
+    ("this software is provided by ", r" \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "BSDWarranty"),
+    ("the software is provided \"as is\" and ", r" disclaims? all warranties with regard to this software,? including all implied warranties of merchantability and fitness", "ISCWarranty"),
+    ("in no event shall ", r" be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software", "ISCLiability"),
+    ("in no event shall ", r" be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software", "MITLiability"),
+)
 
 # Licences and the identifiers they are made of, the longer rule first.
 RULES = (

@@ -148,6 +148,25 @@ def test_closing_marks_and_spdx_expressions():
     assert identify("you can obtain one at\nIf a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.") == ["MPLCopy"]
 
 
+def test_named_holders():
+    start = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *   1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+ *   2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+    end = """
+ * THIS SOFTWARE IS PROVIDED BY {} ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+ * IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {} BE LIABLE FOR ANY DIRECT DAMAGES. */"""
+    for holder in ("Google Inc.", "the University of California, Berkeley", "the copyright holder", "Foo Ltd. and Bar Co."):
+        clause = f"\n *   3. Neither the name of {holder} nor the names of its\n * contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        found = match(identify(start + clause + end.replace("{}", holder.upper())))
+        assert found.licenses == ["BSD-3-Clause"] and found.unmatched == []
+        assert found.identifiers[-2:] == ["BSDEndorse", "BSDWarranty"]
+        assert match(identify(start + end.replace("{}", holder))).licenses == ["BSD-2-Clause"]
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL ISC BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    assert match(identify(isc)).licenses == ["ISC"]
+
+
 def test_license_scan_of_all_documents(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op5_license_scan"](spark, MORE).collect()}
     lines = {
