@@ -31,7 +31,8 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 #: Costs in nats: a letter written as a sign, letters repeated, and for separators
-#: between single letters, that they are noise and that they are not.
+#: between single letters, that they are noise and that they are not. Separators
+#: of longer pieces cost GAP if they are noise and nothing if they are not.
 SIGN, REPEAT, NOISE, GAP = 2.5, 1.0, 0.1, 1.5
 
 #: The language model's symbols: 0 word boundary, 1-26 the letters a-z, 27 any other letter.
@@ -41,13 +42,16 @@ _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CODE[0xC0:] = 27  # first bytes of longer characters; following bytes are skipped
 
 _SIGNS = "".join(re.escape(c) for c in LEET)
+_SEPARATOR = rf"(?:[^\w{_SIGNS}\n]|_)+"
 _SPAN = re.compile(
-    # single characters with single separators between them
-    rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[ ._*-](?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])"
+    # single characters with separators between them
+    rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEPARATOR}(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])"
     # letters and signs mixed in one word; no search starts inside a word
     rf"|(?:(?<![^\W\d_])[^\W\d_]+[{_SIGNS}]|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*"
-    # a letter three times or more
-    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
+    # a letter twice or more
+    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
+    # pieces of up to three letters with separators between them
+    rf"|(?<![^\W_])[^\W\d_]{{1,3}}(?:{_SEPARATOR}[^\W\d_]{{1,3}}(?![^\W_]))+"
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -130,7 +134,9 @@ class Letters:
         run = 1
         while at + run < len(span) and span[at + run] == char:
             run += 1
-        edges = [(1, char, GAP if char in " ._*-" else 0.0)]
+        parts = Letters._parts(char)
+        lone = parts and Letters._lone(span, at)
+        edges = [(1, char, GAP if lone else 0.0)]
         letters = char if char.isalpha() else LEET.get(char, "")
         for letter in letters:
             sign = 0.0 if letter == char else SIGN
@@ -140,10 +146,24 @@ class Letters:
                 edges.append((run, letter, sign + REPEAT))
             if run > 2:
                 edges.append((run, letter * 2, sign + REPEAT))
-        if char in " ._*-" and 0 < at < len(span) - 1:
-            edges.append((1, "", NOISE))
+        if parts and 0 < at < len(span) - 1:
+            edges.append((1, "", NOISE if lone else GAP))
         return edges
 
+    @staticmethod
+    def _parts(char: str) -> bool:
+        return not char.isalnum() and char not in LEET
+
+    @staticmethod
+    def _lone(span: str, at: int) -> bool:
+        """Whether the separators around ``at`` stand between single characters."""
+        left, right, parts = at, at, Letters._parts
+        while left >= 0 and parts(span[left]):
+            left -= 1
+        while right < len(span) and parts(span[right]):
+            right += 1
+        return (left < 1 or parts(span[left - 1])) and (right >= len(span) - 1 or parts(span[right + 1]))
+
 
 def slices(texts: pd.Series) -> Iterator[list[str]]:
     """A batch of texts in parts of about ``AT_ONCE`` characters."""
@@ -286,8 +306,8 @@ def score_toxicity(
     """Restore every text and score it.
 
     A character model of order four is counted over all documents. Words that
-    mix letters and signs, letters repeated three times or more, and single
-    letters with separators between them are read as lattices, and Viterbi finds
+    mix letters and signs, letters repeated twice or more, and single letters or
+    pieces of up to three with separators between them are read as lattices, and Viterbi finds
     their most likely reading: signs for letters, repeats for one or two,
     separators for nothing, each at a cost. Words and word beginnings of the
     restored text then give a logistic score, learned from at most ``most``

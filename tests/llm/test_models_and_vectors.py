@@ -222,6 +222,15 @@ def test_training_skips_held_out_rows(spark, odd, odd_labels):
     assert training_texts(odd, odd_labels, "toxic", 1).count() <= 1
 
 
+def test_stretched_spaced_and_split_words_are_read(spark):
+    docs = spark.createDataFrame([(i, "you are an idiot and a stupid one, some text of the old day, what a good idea") for i in range(50)], "doc_id long, text string")
+    letters = Letters(letter_counts(docs))
+    for form in ("iiddiioott", "idioot", "i  d  i  o  t", "i/d/i/o/t", "i,d,i,o,t", "i. d. i. o. t", "id-iot", "i d i o t"):
+        assert letters.restore(f"you are an {form.upper()}").split()[-1] == "idiot"
+    assert letters.restore("a stu pid one").split() == ["a", "stupid", "one"]
+    assert letters.restore("what a good idea") == "what a good idea"
+
+
 @pytest.mark.parametrize("score", [score_quality, score_toxicity])
 def test_classifiers_odd_rows(score, odd, odd_labels, no_labels, empty):
     for labels in (odd_labels, no_labels):
