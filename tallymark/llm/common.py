@@ -30,6 +30,12 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def finite(vector: Column) -> Column:
+    """False for vectors that are null, empty or hold null or non-finite components."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) > 0) & ~odd, F.lit(False))
+
+
 def spread(*of: Column) -> Column:
     """60 bits of MD5 as a number: a uniform choice that any SQL engine can repeat."""
     joined = F.concat_ws("\x1f", *[c.cast("string") for c in of])

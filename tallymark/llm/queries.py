@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .common import table
+from .common import shared_folder, table
 from .embedding_dedup import near_vectors
+from .hard_negatives import hard_negatives
 from .licenses import scan_licenses
 from .line_dedup import drop_shared_lines
 from .mixing import plan_mixture
@@ -16,6 +19,8 @@ from .quality import score_quality
 from .sharding import shard_documents
 from .simhash_dedup import simhash_classes
 from .toxicity import score_toxicity
+from .warc import read_warc, record_key, write_warc
+from .whitening import whiten
 
 
 def tokenizer_path() -> str:
@@ -106,6 +111,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "held_out", "score", predicted)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight principal components, scaled to unit variance."""
+    white = whiten(table(spark, sf_dir, "embeddings"), components=8)
+    rows = white.select(
+        F.col("id").alias("vec_id"), "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", "explained",
+        F.posexplode("whitened").alias("at", "whitened"),
+    )
+    component = (F.col("at") + 1).alias("component")
+    return rows.select("vec_id", component, "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, and what the archives hold."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    records = read_warc(spark, folder)
+    revisit = F.col("record_type") == "revisit"
+    return records.select(
+        record_key(F.col("record_id")).cast("long").alias("page_id"),
+        F.when(revisit, F.col("said")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("declared", ":", -1)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.when(revisit, record_key(F.col("refers_to")).cast("long")).alias("refers_to"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -117,6 +155,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
 }
 
 ORACLE = {
@@ -180,4 +221,40 @@ ORACLE = {
                round(least(1, (block + ('0x' || substr(md5(doc_id || chr(31) || block || chr(31) || '42'), 1, 15))::BIGINT
                                / 1152921504606846976.0) / passes), 9) AS place
         FROM drawn""",
+    "op12_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND NOT list_contains(list_transform(embedding, lambda c: c IS NULL OR NOT isfinite(c)), true)
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+                   list_inner_product(a.x, c.x)::BIGINT AS score
+            FROM vectors a JOIN vectors c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS place
+            FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id
+            WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        )
+        SELECT anchor_id, positive_id, place::INT AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE place <= 5""",
+    "op13_warc": """
+        WITH bodies AS (
+            SELECT page_id, coalesce(html, '') AS body FROM pages
+        ), named AS (
+            SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+                   min(page_id) OVER (PARTITION BY body) AS first
+            FROM bodies
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+                   ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM named""",
 }
