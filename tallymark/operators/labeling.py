@@ -29,7 +29,7 @@ ModelFactory = Callable[[], ModelCall]
 
 SEPARATOR = " | "
 
-_CALL_SCHEMA = """
+CALL_SCHEMA = """
     _ord bigint, VolumeName string, report_hash string, label_pos int, label string,
     messages_count int, outcome string, content string, finish_reason string,
     tool_calls_present boolean, prompt_tokens bigint, completion_tokens bigint,
@@ -99,99 +99,110 @@ def call_model(
         rows = rows.select("*", F.lit(0).alias("label_pos"), F.lit("").alias("label"))
         asked = user_message(col("_text"), prompt.labels)
     requests = rows.select(ORDER, ID, "report_hash", "label_pos", "label", asked.alias("_user"))
-    leads = {name: leading_messages(prompt, [name]) for name in prompt.labels} if single else {}
-    if not single:
-        leads[""] = leading_messages(prompt, list(prompt.labels))
-    runner = _partition_runner(
-        model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request, side_by_side
-    )
-    return requests.mapInPandas(runner, _CALL_SCHEMA)
-
-
-def _partition_runner(
-    model_factory, leads, model, max_retries, retry_on, wait_seconds, keep_request, side_by_side
-):
-    """The function each task runs. It closes over plain values only."""
+    leads = leading_by_label(prompt)
+    policy = (model, max_retries, retry_on, wait_seconds)
 
     def run(batches):
-        import time
         from concurrent.futures import ThreadPoolExecutor
-        from datetime import datetime, timezone
-
-        def now():
-            stamp = datetime.now(timezone.utc).isoformat(timespec="milliseconds")
-            return stamp.replace("+00:00", "Z")
-
-        def attempt_call(messages):
-            """Answer or error text, with the number of attempts."""
-            tries = 0
-            while True:
-                tries += 1
-                try:
-                    answer = dict(call(messages))
-                    if str(answer.get("content") or "").strip():
-                        return answer, "", tries
-                    failure, again = "Empty response from LLM", True
-                except Exception as error:
-                    failure, again = str(error), isinstance(error, retry_on)
-                if not again or tries >= max_retries:
-                    return None, failure, tries
-                time.sleep(min(max(2.0 ** (tries - 1), wait_seconds[0]), wait_seconds[1]))
-
-        def ask(label, user):
-            """One row's outcome."""
-            if user is None:
-                return {"outcome": "skipped", "messages_count": 0}
-            messages = [*leads[label], {"role": "user", "content": user}]
-            started, clock = now(), time.perf_counter()
-            answer, failure, tries = attempt_call(messages)
-            row = {
-                "latency_seconds": time.perf_counter() - clock,
-                "messages_count": len(messages),
-                "retry_count": tries,
-                "started_at_utc": started,
-                "ended_at_utc": now(),
-                "model_version": model,
-            }
-            if answer is None:
-                return row | {"outcome": "failed", "call_error": failure}
-            return row | {
-                "outcome": "answered",
-                "content": str(answer["content"]),
-                "prompt_tokens": answer.get("prompt_tokens") or 0,
-                "completion_tokens": answer.get("completion_tokens") or 0,
-                "reported_total": answer.get("total_tokens") or 0,
-                "request_id": answer.get("request_id") or "",
-                "model_version": answer.get("model_version") or model,
-                "finish_reason": answer.get("finish_reason") or "",
-                "tool_calls_present": bool(answer.get("tool_calls_present")),
-            }
-
-        call = model_factory()
+
+        ask = caller(model_factory, leads, *policy)
         with ThreadPoolExecutor(side_by_side) as pool:
             for batch in batches:
-                yield _assemble(batch, list(pool.map(ask, batch["label"], batch["_user"])))
+                answered = with_answers(batch, list(pool.map(ask, batch["label"], batch["_user"])))
+                yield answered if keep_request else answered.assign(user_message=None)
 
-    def _assemble(batch, results):
-        import pandas as pd
+    return requests.mapInPandas(run, CALL_SCHEMA)
 
-        numbers = ("prompt_tokens", "completion_tokens", "reported_total", "retry_count", "messages_count")
-        texts = (
-            "outcome", "content", "finish_reason", "call_error", "request_id",
-            "model_version", "started_at_utc", "ended_at_utc",
-        )
-        out = batch.rename(columns={"_user": "user_message"}).reset_index(drop=True)
-        if not keep_request:
-            out["user_message"] = None
-        for name in numbers:
-            out[name] = pd.Series([int(r.get(name, 0)) for r in results], dtype="int64")
-        for name in texts:
-            out[name] = pd.Series([r.get(name, "") for r in results], dtype="object")
-        out["latency_seconds"] = pd.Series([float(r.get("latency_seconds", 0.0)) for r in results], dtype="float64")
-        out["tool_calls_present"] = pd.Series([bool(r.get("tool_calls_present")) for r in results], dtype="bool")
-        return out
-
-    return run
+
+def leading_by_label(prompt: PromptSpec) -> dict[str, Messages]:
+    """The fixed part of a call's messages, by the label it asks for ("" for all)."""
+    if prompt.mode == "single":
+        return {name: leading_messages(prompt, [name]) for name in prompt.labels}
+    return {"": leading_messages(prompt, list(prompt.labels))}
+
+
+def caller(
+    model_factory: ModelFactory,
+    leads: Mapping[str, Messages],
+    model: str,
+    max_retries: int,
+    retry_on: tuple[type[BaseException], ...],
+    wait_seconds: tuple[float, float],
+) -> Callable[[str, str | None], dict[str, Any]]:
+    """What a task does per call: (label, user message) to the fields of an outcome."""
+    import time
+    from datetime import datetime, timezone
+
+    call = model_factory()
+
+    def now() -> str:
+        stamp = datetime.now(timezone.utc).isoformat(timespec="milliseconds")
+        return stamp.replace("+00:00", "Z")
+
+    def attempt_call(messages: Messages) -> tuple[dict[str, Any] | None, str, int]:
+        """Answer or error text, with the number of attempts."""
+        tries = 0
+        while True:
+            tries += 1
+            try:
+                answer = dict(call(messages))
+                if str(answer.get("content") or "").strip():
+                    return answer, "", tries
+                failure, again = "Empty response from LLM", True
+            except Exception as error:
+                failure, again = str(error), isinstance(error, retry_on)
+            if not again or tries >= max_retries:
+                return None, failure, tries
+            time.sleep(min(max(2.0 ** (tries - 1), wait_seconds[0]), wait_seconds[1]))
+
+    def ask(label: str, user: str | None) -> dict[str, Any]:
+        if user is None:
+            return {"outcome": "skipped", "messages_count": 0}
+        messages = [*leads[label], {"role": "user", "content": user}]
+        started, clock = now(), time.perf_counter()
+        answer, failure, tries = attempt_call(messages)
+        row = {
+            "latency_seconds": time.perf_counter() - clock,
+            "messages_count": len(messages),
+            "retry_count": tries,
+            "started_at_utc": started,
+            "ended_at_utc": now(),
+            "model_version": model,
+        }
+        if answer is None:
+            return row | {"outcome": "failed", "call_error": failure}
+        return row | {
+            "outcome": "answered",
+            "content": str(answer["content"]),
+            "prompt_tokens": answer.get("prompt_tokens") or 0,
+            "completion_tokens": answer.get("completion_tokens") or 0,
+            "reported_total": answer.get("total_tokens") or 0,
+            "request_id": answer.get("request_id") or "",
+            "model_version": answer.get("model_version") or model,
+            "finish_reason": answer.get("finish_reason") or "",
+            "tool_calls_present": bool(answer.get("tool_calls_present")),
+        }
+
+    return ask
+
+
+def with_answers(batch: Any, results: Sequence[Mapping[str, Any]]) -> Any:
+    """A pandas batch of requests with the fields of their outcomes; ``_user`` becomes ``user_message``."""
+    import pandas as pd
+
+    numbers = ("prompt_tokens", "completion_tokens", "reported_total", "retry_count", "messages_count")
+    texts = (
+        "outcome", "content", "finish_reason", "call_error", "request_id",
+        "model_version", "started_at_utc", "ended_at_utc",
+    )
+    out = batch.rename(columns={"_user": "user_message"}).reset_index(drop=True)
+    for name in numbers:
+        out[name] = pd.Series([int(r.get(name, 0)) for r in results], dtype="int64")
+    for name in texts:
+        out[name] = pd.Series([r.get(name, "") for r in results], dtype="object")
+    out["latency_seconds"] = pd.Series([float(r.get("latency_seconds", 0.0)) for r in results], dtype="float64")
+    out["tool_calls_present"] = pd.Series([bool(r.get("tool_calls_present")) for r in results], dtype="bool")
+    return out
 
 
 def read_answers(calls: DataFrame) -> DataFrame:

@@ -199,3 +199,78 @@ def test_unfinished_batch_is_written_again(spark, tmp_path, calls):
     shutil.rmtree(tmp_path / "out" / "_batches")
     assert run_stream(spark, tmp_path, calls, order_by="o") == ["v1", "v2"]
     assert len(list(calls.iterdir())) == 4
+
+
+def run_state(spark, folder, calls, prompt=PROMPT, model=None, files=1):
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
+    streaming.incremental_label_state(
+        stream, f"{folder}/out", f"{folder}/checkpoint", prompt, model or counting_model(str(calls)), order_by="o",
+        wait_seconds=(0.0, 0.0),
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out").collect()
+    return sorted((r["VolumeName"], r["reuse"], r["status"]) for r in rows)
+
+
+def test_state_labels_each_id_and_text_once(spark, tmp_path, calls):
+    arrive(spark, tmp_path, "p1", ("v1", "one", 0), ("v2", "two", 1), ("v1", "other", 2), ("v5", " ", 3), ("", "one", 4), (None, "five", 5))
+    first = [("", "hash", "success"), ("", "none", "success"), ("v1", "none", "success"), ("v2", "none", "success"), ("v5", "none", "skipped")]
+    assert run_state(spark, tmp_path, calls) == first
+    assert len(list(calls.iterdir())) == 3
+    arrive(spark, tmp_path, "p2", ("v2", "new", 6), ("v3", "three", 7), ("v4", "one", 8), ("v5", "late", 9))
+    second = sorted([*first, ("v3", "none", "success"), ("v4", "hash", "success")])
+    assert run_state(spark, tmp_path, calls) == second
+    assert len(list(calls.iterdir())) == 4
+    # Nothing new, and the output is not what is asked: the state is.
+    assert run_state(spark, tmp_path, calls) == second
+    assert len(list(calls.iterdir())) == 4
+
+
+def test_state_does_not_read_the_output(spark, tmp_path, calls):
+    import shutil
+
+    arrive(spark, tmp_path, "p1", ("v1", "one", 0))
+    run_state(spark, tmp_path, calls)
+    shutil.rmtree(tmp_path / "out")
+    arrive(spark, tmp_path, "p2", ("v1", "again", 1), ("v2", "one", 2))
+    assert run_state(spark, tmp_path, calls) == [("v2", "hash", "success")]
+    assert len(list(calls.iterdir())) == 1
+
+
+def test_state_survives_a_replayed_batch(spark, tmp_path, calls):
+    """Rows of the second batch were written, its commit is lost: it starts again from the state before it."""
+    arrive(spark, tmp_path, "p1", ("v1", "one", 0))
+    run_state(spark, tmp_path, calls)
+    arrive(spark, tmp_path, "p2", ("v2", "two", 1), ("v3", "one", 2), ("v1", "two", 3))
+    expected = [("v1", "none", "success"), ("v2", "none", "success"), ("v3", "hash", "success")]
+    assert run_state(spark, tmp_path, calls) == expected
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink()
+    assert run_state(spark, tmp_path, calls) == expected
+    arrive(spark, tmp_path, "p3", ("v4", "two", 4))
+    assert run_state(spark, tmp_path, calls) == [*expected, ("v4", "hash", "success")]
+
+
+def test_state_forgets_failed_calls_and_asks_per_label(spark, tmp_path, calls):
+    single = PromptSpec("Decide.", ("a", "b"), "single")
+    broken = tmp_path / "broken"
+    broken.touch()
+
+    def factory():
+        def call(messages):
+            import pathlib
+
+            user = messages[-1]["content"]
+            if pathlib.Path(broken).exists() and "- b" in user:
+                raise ValueError("down")
+            return {"content": '{"a": 1, "b": 1}', "prompt_tokens": 3}
+
+        return call
+
+    arrive(spark, tmp_path, "p1", ("v1", "one", 0), ("v2", "one", 1))
+    assert run_state(spark, tmp_path, calls, single, factory) == [("v1", "none", "error"), ("v2", "none", "error")]
+    broken.unlink()
+    arrive(spark, tmp_path, "p2", ("v3", "one", 2), ("v4", "one", 3))
+    assert run_state(spark, tmp_path, calls, single, factory)[2:] == [("v3", "none", "success"), ("v4", "hash", "success")]
+    rows = {r["VolumeName"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert (rows["v4"]["a"], rows["v4"]["b"], rows["v4"]["prompt_tokens"]) == (1, 1, 6) and rows["v1"]["b"] == 0

@@ -517,6 +517,12 @@ ORACLE = {
       LEFT JOIN old o ON m.prior = o.prior""",
     "incremental_label": f"""WITH {_labelled(ASKED)}
       SELECT VolumeName, "long text", "mentions the", report_hash, status FROM rows""",
+    "incremental_label_state": f"""WITH {_labelled(ASKED)}, arrived AS (
+        SELECT r.*, d.doc_id, (l.doc_id IS NULL)::BIGINT AS batch FROM rows r
+        JOIN documents d ON r.VolumeName = concat('doc_', d.doc_id) LEFT JOIN labels l ON l.doc_id = d.doc_id)
+      SELECT VolumeName, "long text", "mentions the", report_hash, status, batch AS batch_id,
+        CASE WHEN row_number() OVER (PARTITION BY report_hash ORDER BY batch, doc_id) = 1 THEN 'none' ELSE 'hash' END AS reuse
+      FROM arrived""",
     "bench_compare_li": f"WITH {LI_PAIR}, {_metrics('pair', LI)} SELECT * FROM metrics",
     "bench_agreement_li": f"WITH {LI_ALIGNED}, {_pairwise('aligned', LI)} SELECT * EXCLUDE (pos) FROM pairwise",
     "bench_consensus_li": f"WITH {LI_ALIGNED} {_consensus('aligned', LI, 2)}",

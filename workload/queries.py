@@ -576,6 +576,22 @@ def incremental_label(spark, sf_dir):
     return done.select("VolumeName", "long text", "mentions the", "report_hash", "status")
 
 
+def incremental_label_state(spark, sf_dir):
+    """The same two arrivals, matched by the stream's own state; of equal texts the first is asked for."""
+    folder = t.scratch(spark, "state")
+    known = t.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_ord"))
+    everything = t.reports(spark, sf_dir)
+    schema = everything.schema
+    for part, rows in enumerate((everything.join(known, "_ord", "left_semi"), everything)):
+        rows.select(*schema.names).write.parquet(f"{folder}/in/part={part}")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in/part=*")
+        streaming.incremental_label_state(
+            stream, f"{folder}/out", f"{folder}/checkpoint", t.PROMPT, t.keyword_model(), order_by=ORDER, wait_seconds=(0.0, 0.0)
+        ).awaitTermination()
+    done = spark.read.parquet(f"{folder}/out")
+    return done.select("VolumeName", "long text", "mentions the", "report_hash", "status", "reuse", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
 # Large label tables ---------------------------------------------------------
 
 
@@ -666,6 +682,7 @@ QUERIES = {
     "resume_stats": resume_stats,
     "resume_batch": resume_batch,
     "incremental_label": incremental_label,
+    "incremental_label_state": incremental_label_state,
     "bench_compare_li": bench_compare_li,
     "bench_agreement_li": bench_agreement_li,
     "bench_consensus_li": bench_consensus_li,
