@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from .labelled import held_out, training_texts
 SAMPLE = 20_000
 #: Word beginnings and words that carry a weight.
 FEATURES = 512
-#: Spans whose reading a worker keeps, names it counts before passing them on, and
+#: Spans whose reading a worker keeps, twice; names it counts before passing them on; and
 #: bytes or characters it looks at together.
 KEPT_SPANS, MOST_COUNTED, AT_ONCE = 50_000, 100_000, 1 << 19
 #: A document is rejected from this score on.
@@ -30,30 +31,89 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-#: Costs in nats: a letter written as a sign, letters repeated, and for separators
-#: between single letters, that they are noise and that they are not. Separators
-#: of longer pieces cost GAP if they are noise and nothing if they are not.
-SIGN, REPEAT, NOISE, GAP = 2.5, 1.0, 0.1, 1.5
+#: Costs in nats: a letter written as a sign; three or more equal letters read as fewer, and two read
+#: as one, which many words are spelt with; separators between single letters, if they are noise and
+#: if they are not. Separators of longer pieces cost GAP each if they are noise and nothing if they are not.
+SIGN, REPEAT, TWICE, NOISE, GAP = 2.5, 1.0, 6.0, 0.1, 1.5
 
 #: The language model's symbols: 0 word boundary, 1-26 the letters a-z, 27 any other letter.
 SYMBOLS, ORDER = 28, 4
 _CODE = np.zeros(256, np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CODE[0xC0:] = 27  # first bytes of longer characters; following bytes are skipped
+_OF = {chr(96 + code): code for code in range(1, 27)}
+
+#: What a character is: a line break, a separator, a letter, a sign for a letter, or another letter or digit.
+BREAK, SEPARATOR, LETTER, MARK, OTHER, UNSEEN = range(6)
+_KINDS = np.full(0x110000, UNSEEN, np.uint8)
+#: Pieces of at most this many letters may belong to a word that was split.
+PIECE = 3
 
-_SIGNS = "".join(re.escape(c) for c in LEET)
-_SEPARATOR = rf"(?:[^\w{_SIGNS}\n]|_)+"
-_SPAN = re.compile(
-    # single characters with separators between them
-    rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEPARATOR}(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\W_])"
-    # letters and signs mixed in one word; no search starts inside a word
-    rf"|(?:(?<![^\W\d_])[^\W\d_]+[{_SIGNS}]|[{_SIGNS}]+[^\W\d_])(?:[^\W\d_]|[{_SIGNS}])*"
-    # a letter twice or more
-    r"|(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*"
-    # pieces of up to three letters with separators between them
-    rf"|(?<![^\W_])[^\W\d_]{{1,3}}(?:{_SEPARATOR}[^\W\d_]{{1,3}}(?![^\W_]))+"
-)
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGNS = "".join(re.escape(c) for c in LEET)
+_PIECES = re.compile(rf"((?:_|[^\w{_SIGNS}])+)")
+#: What can be read otherwise within a piece.
+_RUN = re.compile(rf"([^\W\d_])\1+|([{_SIGNS}])\2*")
+
+#: A reading of a part of a span: the symbols that the model sees, the text read, and its cost.
+Reading = tuple[tuple[int, ...], str, float]
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """Kind of each code point."""
+    kinds = _KINDS[codes]
+    if (kinds == UNSEEN).any():
+        for code in np.unique(codes[kinds == UNSEEN]).tolist():
+            char = chr(code)
+            kind = BREAK if char == "\n" else MARK if char in LEET else LETTER if char.isalpha() else OTHER if char.isalnum() else SEPARATOR
+            _KINDS[code] = kind
+        kinds = _KINDS[codes]
+    return kinds
+
+
+def find_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of a lower-cased text that may be obfuscated, by a few passes over arrays.
+
+    These are words that mix letters and signs, words with a letter twice or
+    more in a row, and rows of two or more pieces on one line, each a single
+    character or up to three letters. A row is cut where all of its readings
+    agree on the last three letters: the next part starts with these again.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds(codes)
+    inside = np.concatenate([[False], kinds >= LETTER, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, ends
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+
+    letter = kinds == LETTER
+    letters, marks = (upto[ends] - upto[starts] for upto in (count(letter), count(kinds == MARK)))
+    again = np.zeros(len(codes), bool)
+    again[1:] = (codes[1:] == codes[:-1]) & letter[1:]
+    again = count(again)
+    size = ends - starts
+    plain = letters + marks == size
+    alone = plain & (letters > 0) & ((marks > 0) | (again[ends] > again[starts]))
+    short = plain & ((size == 1) | ((letters == size) & (size <= PIECE)))
+    lines = count(kinds == BREAK)
+    # Rows of short pieces: a piece goes on with the row of the one before it on its line.
+    on = np.zeros(len(starts) + 1, bool)
+    on[1:-1] = short[1:] & short[:-1] & (lines[starts[1:]] == lines[ends[:-1]])
+    row = np.cumsum(~on[:-1]) - 1
+    heads = np.flatnonzero(~on)
+    upto = count(letters > 0)
+    taken = ((np.diff(heads) > 1) & (upto[heads[1:]] > upto[heads[:-1]])) | alone[heads[:-1]]
+    # Three letters in one reading leave one state, so a row can be read up to them and on from them.
+    sure = (size == 3) & (letters == 3) & (again[ends] == again[starts])
+    parts = np.flatnonzero(~on[:-1] | (sure & on[1:]))
+    following = np.append(parts[1:], len(starts))
+    lasts = np.where(on[following], following, following - 1)
+    taken = taken[row[parts]]
+    return starts[parts[taken]], ends[lasts[taken]]
 
 
 class Letters:
@@ -67,102 +127,151 @@ class Letters:
             total = seen.sum(axis=-1, keepdims=True)
             chance = (seen + 5.0 * chance) / (total + 5.0)  # smoothed with the shorter context
         self.cost = (-np.log(chance)).astype(np.float32).reshape(-1)
-        self.known: dict[str, str] = {}
+        self._start()
+
+    def _start(self) -> None:
+        self.costs = array("f", self.cost.tobytes())
+        #: Spans and their readings: those met lately, and those met before them.
+        self.recent: dict[str, str] = {}
+        self.earlier: dict[str, str] = {}
+        self.pieces: dict[str, list[list[Reading]]] = {}
+
+    def __getstate__(self) -> np.ndarray:
+        return self.cost
+
+    def __setstate__(self, cost: np.ndarray) -> None:
+        self.cost = cost
+        self._start()
 
     def restore(self, text: str) -> str:
         """Lower-cased ``text`` with its obfuscated spans decoded."""
-        return _SPAN.sub(self._span, text.lower())
-
-    def _span(self, match: re.Match) -> str:
-        span = match.group()
-        found = self.known.get(span)
+        return self.restore_all([text])[0]
+
+    def restore_all(self, texts: list[str]) -> list[str]:
+        """Each text lower-cased, with its obfuscated spans decoded."""
+        texts = [text.lower() for text in texts]
+        together = "\n".join(texts)
+        starts, ends = find_spans(together)
+        sizes = np.array([len(text) + 1 for text in texts], np.int64)
+        stops = np.cumsum(sizes)
+        upto = np.searchsorted(starts, stops).tolist()
+        starts, ends = starts.tolist(), ends.tolist()
+        out, first, read = [], 0, self._read
+        for stop, size, last in zip(stops.tolist(), sizes.tolist(), upto):
+            at, parts = stop - size, []
+            for start, end in zip(starts[first:last], ends[first:last]):
+                found = read(together[start:end])
+                if start >= at:
+                    parts.append(together[at:start])
+                    parts.append(found)
+                else:  # it starts with the piece that the part before it ends with
+                    parts.append(found[at - start :])
+                at = end
+            parts.append(together[at : stop - 1])
+            out.append("".join(parts))
+            first = last
+        return out
+
+    def _read(self, span: str) -> str:
+        found = self.recent.get(span)
         if found is None:
-            found = self.decode(span)
-            if len(self.known) < KEPT_SPANS and len(span) < 100:
-                self.known[span] = found
+            found = self.earlier.get(span)
+            if found is None:
+                found = self.decode(span)
+            if len(span) < 100:
+                if len(self.recent) >= KEPT_SPANS:
+                    self.earlier, self.recent = self.recent, {}
+                self.recent[span] = found
         return found
 
     def decode(self, span: str) -> str:
-        """Cheapest path through the lattice of readings of ``span`` (Viterbi)."""
-        # paths[i]: by the last three symbols, the cost and text of the best reading of span[:i].
-        paths: list[dict[tuple[int, int, int], tuple[float, tuple]]] = [{} for _ in range(len(span) + 1)]
-        paths[0][(0, 0, 0)] = (0.0, ())
-        for at in range(len(span)):
-            readings = self._readings(span, at)
-            for state, (cost, text) in paths[at].items():
-                for used, emitted, extra in readings:
+        """Cheapest path through the lattice of readings of ``span`` (Viterbi); of equal ones the first."""
+        costs = self.costs
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the last three symbols
+        for readings in self.lattice(span):
+            ahead: dict[int, tuple[float, tuple | None]] = {}
+            for state, (cost, text) in paths.items():
+                for symbols, read, extra in readings:
                     new, total = state, cost + extra
-                    for char in emitted:
-                        code = self._code(char)
-                        if code == 0 and new[2] == 0:
-                            continue  # boundaries in a row are one
-                        index = ((new[0] * SYMBOLS + new[1]) * SYMBOLS + new[2]) * SYMBOLS + code
-                        total += float(self.cost[index])
-                        new = (new[1], new[2], code)
-                    known = paths[at + used].get(new)
+                    for symbol in symbols:
+                        if symbol or new % SYMBOLS:  # boundaries in a row are one
+                            new = new * SYMBOLS + symbol
+                            total += costs[new]
+                            new %= SYMBOLS**3
+                    known = ahead.get(new)
                     if known is None or total < known[0]:
-                        paths[at + used][new] = (total, (text, emitted))
-            paths[at].clear()
-        best = self._cheapest(paths[-1])
+                        ahead[new] = (total, (text, read))
+            paths = ahead
+        best = min(paths.items(), key=lambda item: item[1][0] + (costs[item[0] * SYMBOLS] if item[0] % SYMBOLS else 0.0))[1][1]
         parts = []
         while best:
-            best, emitted = best
-            parts.append(emitted)
+            best, read = best
+            parts.append(read)
         return "".join(reversed(parts))
 
-    def _cheapest(self, ends: dict) -> tuple:
-        """Text of the path that is cheapest with the closing boundary."""
-
-        def closed(item: tuple) -> float:
-            state, (cost, _) = item
-            if state[2] == 0:
-                return cost
-            return cost + float(self.cost[((state[0] * SYMBOLS + state[1]) * SYMBOLS + state[2]) * SYMBOLS])
-
-        return min(ends.items(), key=closed)[1][1]
-
-    @staticmethod
-    def _code(char: str) -> int:
-        if "a" <= char <= "z":
-            return ord(char) - 96
-        return 27 if char.isalpha() else 0
-
-    @staticmethod
-    def _readings(span: str, at: int) -> list[tuple[int, str, float]]:
-        """(characters used, text read, cost) of the lattice's edges from ``at``."""
-        char = span[at]
-        run = 1
-        while at + run < len(span) and span[at + run] == char:
-            run += 1
-        parts = Letters._parts(char)
-        lone = parts and Letters._lone(span, at)
-        edges = [(1, char, GAP if lone else 0.0)]
-        letters = char if char.isalpha() else LEET.get(char, "")
-        for letter in letters:
-            sign = 0.0 if letter == char else SIGN
-            if sign:
-                edges.append((1, letter, sign))
-            if run > 1:
-                edges.append((run, letter, sign + REPEAT))
-            if run > 2:
-                edges.append((run, letter * 2, sign + REPEAT))
-        if parts and 0 < at < len(span) - 1:
-            edges.append((1, "", NOISE if lone else GAP))
-        return edges
-
-    @staticmethod
-    def _parts(char: str) -> bool:
-        return not char.isalnum() and char not in LEET
-
-    @staticmethod
-    def _lone(span: str, at: int) -> bool:
-        """Whether the separators around ``at`` stand between single characters."""
-        left, right, parts = at, at, Letters._parts
-        while left >= 0 and parts(span[left]):
-            left -= 1
-        while right < len(span) and parts(span[right]):
-            right += 1
-        return (left < 1 or parts(span[left - 1])) and (right >= len(span) - 1 or parts(span[right + 1]))
+    def lattice(self, span: str) -> list[list[Reading]]:
+        """Readings of each part of a span, as written first; parts follow each other.
+
+        A part is a run of equal characters, or the separators between two pieces
+        and what follows in one reading, so their number does not depend on how
+        long runs are.
+        """
+        pieces, gap = _PIECES.split(span), []
+        parts: list[list[Reading]] = []
+        for at, piece in enumerate(pieces):
+            if at % 2:
+                lone, many = len(pieces[at - 1]) == 1 == len(pieces[at + 1]), len(piece)
+                kept = GAP + (many - 1) * NOISE if lone else 0.0
+                gap = [((0,), piece, kept), ((), "", many * (NOISE if lone else GAP))]
+            else:
+                known = self.pieces.get(piece)
+                if known is None:
+                    known = self._piece(piece)
+                    if len(piece) < 30 and len(self.pieces) < KEPT_SPANS:
+                        self.pieces[piece] = known
+                if at and len(known[0]) == 1:  # what is read in one way goes with the separators before it
+                    symbols, text, _ = known[0][0]
+                    parts.append([(before + symbols, read + text, extra) for before, read, extra in gap])
+                    parts.extend(known[1:])
+                else:
+                    parts.extend([gap] if at else [])
+                    parts.extend(known)
+        return parts
+
+    def _piece(self, piece: str) -> list[list[Reading]]:
+        """Readings of the signs and runs of a piece, and of what is between them."""
+        parts: list[list[Reading]] = []
+        at = 0
+        for run in _RUN.finditer(piece):
+            start, end = run.span()
+            if at < start:
+                parts.append([(tuple([_OF.get(c, 27) for c in piece[at:start]]), piece[at:start], 0.0)])
+            parts.append(self._run(piece[start], end - start))
+            at = end
+        if at < len(piece):
+            parts.append([(tuple([_OF.get(c, 27) for c in piece[at:]]), piece[at:], 0.0)])
+        return parts
+
+    def _run(self, char: str, many: int) -> list[Reading]:
+        """Readings of a character ``many`` times in a row."""
+        if char.isalpha():
+            code = _OF.get(char, 27)
+            # From the fourth on, each costs the same and leaves the same context.
+            further = (many - 3) * self.costs[((code * SYMBOLS + code) * SYMBOLS + code) * SYMBOLS + code] if many > 3 else 0.0
+            readings = [((code,) * min(many, 3), char * many, further)]
+            if many == 2:
+                readings.append(((code,), char, TWICE))
+            elif many > 2:
+                readings += [((code,) * some, char * some, REPEAT) for some in (1, 2, 3)]
+            return readings
+        readings = [((0,), char * many, 0.0)]
+        letters = LEET.get(char, "")
+        readings += [((_OF[letter],), letter, SIGN + REPEAT * (many > 1)) for letter in letters]
+        if many == 2:
+            readings += [((_OF[a], _OF[b]), a + b, 2 * SIGN) for a in letters for b in letters]
+        elif many > 2:
+            readings += [((_OF[letter],) * 2, letter * 2, SIGN + REPEAT) for letter in letters]
+        return readings
 
 
 def slices(texts: pd.Series) -> Iterator[list[str]]:
@@ -258,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, letters: Letters, most: int = SAMPLE
 
     def restore(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"text": [letters.restore(t) for t in frame["text"]], "label": frame["label"]})
+            yield pd.DataFrame({"text": [t for part in slices(frame["text"]) for t in letters.restore_all(part)], "label": frame["label"]})
 
     restored = cut(sample.mapInPandas(restore, "text string, label int"))
 
@@ -308,8 +417,9 @@ def score_toxicity(
     A character model of order four is counted over all documents. Words that
     mix letters and signs, letters repeated twice or more, and single letters or
     pieces of up to three with separators between them are read as lattices, and Viterbi finds
-    their most likely reading: signs for letters, repeats for one or two,
-    separators for nothing, each at a cost. Words and word beginnings of the
+    their most likely reading: signs for letters, repeats for up to three,
+    separators for nothing, each at a cost. The time for a text is linear in its
+    length; a run of equal characters is one step. Words and word beginnings of the
     restored text then give a logistic score, learned from at most ``most``
     labelled documents that are not held out. Whole texts are restored and
     scored; nothing but the score depends on labels.
@@ -329,13 +439,16 @@ def score_toxicity(
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters, weights = model.value
         for text in texts:
-            yield pd.Series([weights.score(letters.restore(t)) if weights else 0.0 for t in text], dtype=float)
+            if weights is None:
+                yield pd.Series(np.zeros(len(text)))
+            else:
+                yield pd.Series([weights.score(t) for part in slices(text) for t in letters.restore_all(part)], dtype=float)
 
     @F.pandas_udf("string")
     def restore(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         letters, _ = model.value
         for text in texts:
-            yield pd.Series([letters.restore(t) for t in text], dtype=object)
+            yield pd.Series([t for part in slices(text) for t in letters.restore_all(part)], dtype=object)
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(

@@ -1,6 +1,7 @@
 """Classifiers, licences, mixing and vector operators against plain versions, and their edge cases."""
 
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -249,6 +250,75 @@ def test_deobfuscation(spark):
     assert told == "you idiot and moron, worthless loser! trash stupid pathetic clown in 2019 the$$$"
 
 
+@pytest.fixture(scope="module")
+def letters(spark):
+    return Letters(letter_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+
+
+def test_words_with_double_letters_stay(letters):
+    assert letters.restore("A worthless book") == "a worthless book"
+
+
+def cost_of(letters, symbols, extra):
+    state, total = 0, extra
+    for symbol in [*symbols, 0]:
+        if symbol or state % 28:
+            state = state * 28 + symbol
+            total += float(letters.cost[state])
+            state %= 28**3
+    return total
+
+
+def every_path(letters, span):
+    paths = [((), "", 0.0)]
+    for readings in letters.lattice(span):
+        paths = [(s + symbols, t + text, e + extra) for s, t, e in paths for symbols, text, extra in readings]
+    return paths
+
+
+SPANS = ["1d10t", "w o r t h", "stu pid", "looooser", "l0$er!", "$$uu", "a..b,,c", "iiddiioott", "of the in", "é èè de", "11!!", "t r @ s h", "aaab bb a"]
+
+
+@pytest.mark.parametrize("span", SPANS)
+def test_viterbi_equals_all_paths(letters, span):
+    costs = {}
+    for symbols, text, extra in every_path(letters, span):
+        costs[text] = min(costs.get(text, 1e9), cost_of(letters, symbols, extra))
+    found = letters.decode(span)
+    assert costs[found] == pytest.approx(min(costs.values()), abs=1e-4)
+
+
+def test_rows_may_be_read_in_parts(letters):
+    rng = np.random.default_rng(3)
+    words = ["the", "of", "in", "a", "see", "idi", "ot", "st", "u", "p", "1", "id", "and", "to", "th", "hello", "$", "x"]
+    for _ in range(300):
+        row = " ".join(rng.choice([w for w in words if len(w) <= 3], rng.integers(2, 9)))
+        if any(c.isalpha() for c in row) and len(row.split()) > 1:
+            assert letters.restore(row) == letters.decode(row)
+        text = "\n".join(" ".join(rng.choice(words, 6)) for _ in range(3))
+        assert letters.restore(text) == "\n".join(letters.restore(line) for line in text.split("\n"))
+    texts = ["w o r t h", "", "plain", "a b\nc d e", "stu pid\n"]
+    assert letters.restore_all(texts) == [letters.restore(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "!" * 200_000, "a" + "." * 100_000 + "b" + "," * 100_000 + "c", "$" * 100_000 + "a" * 100_000])
+def test_long_runs_take_no_longer(letters, text):
+    started = time.perf_counter()
+    letters.restore(text)
+    assert time.perf_counter() - started < 2
+
+
+@pytest.mark.parametrize("unit", ["a.b", "ab ", "!a", "aab", "a b c\n"])
+def test_long_spans_take_linear_time(letters, unit):
+    def seconds(many):
+        started = time.perf_counter()
+        letters.restore(unit * many)
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
+
+
 def test_letter_counts_are_of_all_documents(spark, empty):
     docs = spark.createDataFrame([(1, "ab  ab!"), (2, None), (3, "é")], "doc_id long, text string")
     counts = letter_counts(docs.coalesce(1)).reshape((28,) * 4)
