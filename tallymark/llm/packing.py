@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = 2
-#: Documents in a group, about. A group is packed by itself, so it bounds a task.
-GROUP_DOCS = 2000
-#: Words whose ids a worker keeps. Frequent words come first and stay.
-KEPT_WORDS = 200_000
-#: Characters that are split into words at once.
-AT_ONCE = 1 << 20
+#: UTF-8 bytes of the texts of a group, about. A group is packed by itself, so it bounds a task.
+GROUP_BYTES = 8 << 20
+#: Bytes of words and ids that a worker keeps, twice: those met lately, and those met before them.
+KEPT_BYTES = 48 << 20
+#: Bytes that are split into words at once, and ids that leave a task at once.
+AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 20
 _PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_SPACE = re.compile(rb"\s")
 
 _workers: dict[str, "WordIds"] = {}
 
@@ -38,28 +41,63 @@ class WordIds:
         size = self.tokenizer.get_vocab_size()
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
-        self.kept: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of what is recent
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = []
+        raws = []
         for text in texts:
             raw = text.encode("utf-8", "replace")
             # Lower-casing A-Z first only makes words equal sooner; the names of
             # special tokens are compared before the tokenizer lowers anything.
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        known = self.kept
-        new = {word for words in split for word in words}
-        new = [word for word in new if word not in known]
+            raws.append(raw if b"<|" in raw else raw.lower())
+        out: list[bytes] = []
+        batch: list[bytes] = []
+        size = 0
+        for raw in raws:
+            if len(raw) > AT_ONCE:  # a long text in parts, each ending where a word ends
+                out.extend(self._encode_batch(batch))
+                batch, size = [], 0
+                out.append(b"".join(ids for part in _word_parts(raw) for ids in self._encode_batch([part])))
+                continue
+            batch.append(raw)
+            size += len(raw)
+            if size >= AT_ONCE:
+                out.extend(self._encode_batch(batch))
+                batch, size = [], 0
+        out.extend(self._encode_batch(batch))
+        return out
+
+    def _encode_batch(self, raws: list[bytes]) -> list[bytes]:
+        split = [raw.split() for raw in raws]
+        recent, earlier = self.recent, self.earlier
+        found: dict[bytes, bytes] = {}
+        new: list[bytes] = []
+        for word in set().union(*split):
+            ids = recent.get(word)
+            if ids is None:
+                ids = earlier.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                self._keep(word, ids)
+            found[word] = ids
         if new:
-            found = self._encode_words(new)
-            if len(known) < KEPT_WORDS:
-                known.update(found)
-            else:
-                known = _Both(found, known)
-        look = known.__getitem__
+            for word, ids in self._encode_words(new).items():
+                found[word] = ids
+                self._keep(word, ids)
+        look = found.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        """Words that are not met while as many others are go first."""
+        self.recent[word] = ids
+        self.held += len(word) + len(ids) + 150  # with what Python needs for them
+        if self.held > KEPT_BYTES:
+            self.earlier, self.recent, self.held = self.recent, {}, 0
+
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
         plain: dict[bytes, None] = {}  # in order of first sight
@@ -97,15 +135,14 @@ class WordIds:
         return {word: raw[a:b] for word, a, b in zip(words, [0, *cuts], cuts)}
 
 
-class _Both(dict):
-    """A batch's own words, then the kept ones."""
-
-    def __init__(self, first: dict, then: dict) -> None:
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key: bytes) -> bytes:
-        return self.then[key]
+def _word_parts(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts of about ``AT_ONCE`` bytes, cut at white space."""
+    start = 0
+    while start < len(raw):
+        found = _SPACE.search(raw, start + AT_ONCE)
+        end = found.start() if found else len(raw)
+        yield raw[start:end]
+        start = end
 
 
 def _word_ids(path: str) -> WordIds:
@@ -120,35 +157,45 @@ def _mixed(value: int, turn: int) -> int:
     return (value + turn * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, length: int, id_col: str = "doc_id", text_col: str = "text", checksum: bool = False) -> DataFrame:
     """Pieces of at most ``length`` ids of every document, end id included.
 
-    Returns ``doc_id``, ``start``, ``doc_tokens``, ``ids`` (little-endian 32-bit)
-    and ``spread``, a hash of id and text. The only columns read are id and text.
+    Returns ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``ids`` (little-endian 32-bit; null if
+    only their ``checksum`` is asked for), ``ids_crc32`` and ``spread``, a hash of id, text and, for full
+    pieces, place. The only columns read are id and text.
     """
     path, width = tokenizer, 4 * length
     end = np.array([END], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32", "spread"]
 
     def cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, times = _word_ids(path), Counter()
         for frame in frames:
+            rows: list[tuple] = []
+            held = 0
             sizes = frame["text"].str.len().to_numpy()
             for _, part in frame.groupby((np.cumsum(sizes) - sizes) // AT_ONCE, sort=False):
-                rows: list[tuple] = []
                 for key, mixed, ids in zip(part["id"], part["spread"], words.encode(part["text"].tolist())):
                     ids += end
                     total = len(ids) // 4
-                    # Repeated rows go to different groups.
+                    # Repeated rows go to different groups, and so do the full pieces of a document.
                     mixed, times[mixed] = _mixed(mixed, times[mixed]), times[mixed] + 1
                     for start in range(0, len(ids), width):
-                        rows.append((key, start // 4, total, ids[start : start + width], mixed))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "doc_tokens", "ids", "spread"])
-                yield out.astype({"doc_id": frame["id"].dtype})
+                        piece = ids[start : start + width]
+                        group = _mixed(mixed, start // width + 1) if len(piece) == width else mixed
+                        kept = None if checksum else piece
+                        rows.append((key, start // 4, len(piece) // 4, total, kept, zlib.crc32(piece), group))
+                        held += 64 if checksum else len(piece)
+                        if held >= 4 * IDS_AT_ONCE:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.col(f"`{id_col}`").cast("string")  # text, so that null ids survive pandas
     return docs.select(key.alias("id"), text.alias("text"), F.xxhash64(key, text).alias("spread")).mapInPandas(
-        cut_up, "doc_id string, start long, doc_tokens long, ids binary, spread long"
+        cut_up, "doc_id string, start long, length long, doc_tokens long, ids binary, ids_crc32 long, spread long"
     )
 
 
@@ -200,43 +247,47 @@ def pack(
     length: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
-    group_docs: int = GROUP_DOCS,
+    group_bytes: int = GROUP_BYTES,
+    checksum: bool = False,
 ) -> DataFrame:
     """Token sequences of at most ``length``, with every id of every document once.
 
     A document (its ids, then the end id 2) longer than a sequence is cut into
-    full pieces and a rest. Documents are dealt to random groups by a hash of id
-    and text, and first-fit decreasing runs in each group on its own, the first
-    fitting bin found in a tournament tree of room left. Groups have a fixed
-    expected number of documents, so tasks stay the same at any input size, and
-    each wastes at most a few sequences' worth of room.
+    full pieces and a rest. A full piece is a sequence; rests are dealt to random
+    groups by a hash of id and text, and first-fit decreasing runs in each group
+    on its own, the first fitting bin found in a tournament tree of room left.
+    Groups get about ``group_bytes`` of text, whatever documents are long, and full
+    pieces are spread over them one by one, so tasks stay the same at any
+    input size, and each group wastes at most a few sequences' worth of room.
 
     Returns one row per piece: ``doc_id`` (type as given), ``start``, ``length``,
-    ``doc_tokens``, ``sequence_id``, ``offset``, ``ids`` (binary, little-endian
-    32-bit).
+    ``doc_tokens``, ``sequence_id``, ``offset``, ``ids_crc32`` and ``ids`` (binary,
+    little-endian 32-bit). With ``checksum`` the ids stay in the task that makes
+    them, and ``ids`` is left out.
 
     A null or empty text is the end id alone; null ids stay null. Repeated rows
     are packed each by itself. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = tokenize(docs, tokenizer, length, id_col, text_col)
-    pieces = pieces.withColumn("group", F.pmod("spread", F.lit(groups))).drop("spread")
-    schema = "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+    amount = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long") + 8)).first()[0] or 0
+    groups = max(1, -(-amount // group_bytes))
+    pieces = tokenize(docs, tokenizer, length, id_col, text_col, checksum)
+    pieces = pieces.withColumn("group", F.pmod("spread", F.lit(groups))).drop("spread", *["ids"] * checksum)
+    ids = [] if checksum else ["ids"]
+    schema = "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long" + ", ids binary" * (not checksum)
 
     def pack_group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        sizes = frame["ids"].str.len().to_numpy(np.int64) // 4
-        bins, offsets = first_fit_decreasing(sizes, length)
+        sizes = frame["length"].to_numpy(np.int64)
+        full = sizes == length
+        bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        bins[full] = np.arange(full.sum())
+        bins[~full], offsets[~full] = first_fit_decreasing(sizes[~full], length)
+        bins[~full] += full.sum()
         # Groups are spaced so far apart that their sequences cannot meet.
-        first = int(frame["group"].iloc[0]) << 32
-        return pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"], "start": frame["start"], "length": sizes,
-                "doc_tokens": frame["doc_tokens"], "sequence_id": first + bins, "offset": offsets,
-                "ids": frame["ids"],
-            }
-        )
+        frame["sequence_id"] = (int(frame["group"].iloc[0]) << 32) + bins
+        frame["offset"] = offsets
+        return frame[["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", *ids]]
 
     packed = pieces.groupBy("group").applyInPandas(pack_group, schema)
     return packed.withColumn("doc_id", F.col("doc_id").cast(kind))

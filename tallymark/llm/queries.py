@@ -89,8 +89,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, ids as a checksum."""
-    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=4096, checksum=True)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

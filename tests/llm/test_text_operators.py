@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tallymark.llm import queries
@@ -207,6 +208,66 @@ def test_word_ids_match_the_tokenizer():
     assert words.encode(texts) == expected  # from the kept words
 
 
+def plain_first_fit(sizes, length):
+    """Largest first, each into the first bin that has room, by looking at all bins."""
+    used, out = [], {}
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        at = next((b for b, full in enumerate(used) if full + sizes[i] <= length), len(used))
+        if at == len(used):
+            used.append(0)
+        out[i] = (at, used[at])
+        used[at] += sizes[i]
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_first_fit_equals_a_plain_version_on_a_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = pack(docs, queries.tokenizer_path(), length=512, group_bytes=200_000).toPandas()
+    rows["group"] = rows["sequence_id"] // 2**32
+    assert rows["group"].nunique() > 1
+    for _, group in rows.groupby("group"):
+        group = group.assign(key=group["doc_id"].astype(str)).sort_values(["key", "start"], kind="stable")
+        full, rest = group[group["length"] == 512], group[group["length"] < 512]
+        assert full["sequence_id"].is_unique and (full["offset"] == 0).all()
+        assert not set(full["sequence_id"]) & set(rest["sequence_id"])
+        expected = plain_first_fit(rest["length"].tolist(), 512)
+        base = rest["sequence_id"].min() if len(rest) else 0
+        assert list(zip(rest["sequence_id"] - base, rest["offset"])) == expected
+
+
+def test_checksums_are_those_of_the_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = pack(docs, queries.tokenizer_path()).withColumn("again", F.crc32("ids"))
+    assert whole.where("again != ids_crc32").count() == 0
+    slim = pack(docs, queries.tokenizer_path(), checksum=True)
+    assert sorted(map(tuple, whole.drop("ids", "again").collect())) == sorted(map(tuple, slim.collect()))
+
+
+def test_a_document_longer_than_many_groups(spark, monkeypatch):
+    from tallymark.llm import packing
+
+    monkeypatch.setattr(packing, "AT_ONCE", 1000)
+    text = " ".join(f"word{i % 977} and more" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, text[:50])], "doc_id long, text string")
+    rows = pack(docs, queries.tokenizer_path(), length=256, group_bytes=50_000).toPandas()
+    long = rows[rows["doc_id"] == 1].sort_values("start")
+    assert (long["sequence_id"] // 2**32).nunique() > 10
+    ids = b"".join(long["ids"])
+    assert ids == plain_ids([text])[0] and (long["start"] == (long["length"].cumsum() - long["length"])).all()
+
+
+def test_words_are_kept_by_bytes(monkeypatch):
+    from tallymark.llm import packing
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(40)]
+    expected = WordIds(queries.tokenizer_path()).encode(texts)
+    monkeypatch.setattr(packing, "KEPT_BYTES", 3000)
+    words = WordIds(queries.tokenizer_path())
+    for _ in range(2):
+        assert [words.encode([t])[0] for t in texts] == expected
+        assert words.held <= 3000 + 500 and len(words.recent) + len(words.earlier) < 60
+
+
 def test_first_fit_decreasing():
     bins, offsets = first_fit_decreasing(np.array([3, 6, 4, 7, 5]), 10)
     assert bins.tolist() == [0, 1, 1, 0, 2] and offsets.tolist() == [7, 0, 6, 0, 0]
