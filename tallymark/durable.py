@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there; any other fault is raised."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file; None if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return None
+    stream = files.open(hadoop)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file so that it is there as a whole or not at all; it must not exist yet."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(hadoop.getParent(), f"_draft-{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if files.exists(hadoop) or not files.rename(draft, hadoop):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

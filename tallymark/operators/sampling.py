@@ -17,6 +17,9 @@ from .columns import binary, col, require_columns
 # Buckets a group's order is cut into at each level. Only the bucket a quota ends
 # in is cut again, and only the last one is ranked row by row.
 BUCKETS = 65536
+# Samples of up to this many rows come from lists of the smallest hashes, merged over
+# this many bundles of tasks.
+SKETCH, MERGED = 10_000, 64
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
@@ -85,20 +88,59 @@ def take_first(
     return taken.union(ranked.select(*[col(c) for c in df.columns]))
 
 
-def draw_first(df: DataFrame, groups: Sequence[str], key: str, quota: DataFrame | Column) -> DataFrame:
+def draw_first(df: DataFrame, groups: Sequence[str], key: str, quota: DataFrame | Column, most: int) -> DataFrame:
     """The first ``quota`` rows of every group by ``_hash``, then by a digest of the whole row.
 
-    The digest is only worked out in the bucket of ``_hash`` a quota ends in.
+    ``most`` bounds the sum of all quotas. Up to ``SKETCH`` every task keeps the
+    smallest hashes of each group in a sorted list as long as the largest quota, and lists are
+    merged; beyond, ``take_first`` cuts buckets of hashes. Both give the same rows.
+    The digest is only worked out where a quota ends.
     """
+    digest = F.md5(row_text(df))
+    if most <= SKETCH:
+        return _draw_sketched(df, list(groups), key, quota, digest)
 
     def leading(digest: Column) -> Column:
         return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
-    digest = F.md5(row_text(df))
     levels = [("_bucket", leading(col("_hash"))), ("_fine", leading(digest))]
     return take_first(df, groups, levels, [F.asc("_hash"), digest.asc(), F.asc(_quoted(key))], quota)
 
 
+def bottom(df: DataFrame, groups: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of every group by ``order``, numbered in ``_rank``.
+
+    Tasks cut their rows first, then ``MERGED`` bundles of tasks, then the group: nobody sees more
+    than ``most`` rows of a group from each of those before it.
+    """
+
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn("_rank", number).where(col("_rank") <= most)
+
+    bundled = df.withColumn("_bundle", F.pmod(F.spark_partition_id(), F.lit(MERGED)))
+    return first(first(bundled, [*groups, "_bundle"]).drop("_rank", "_bundle"), groups)
+
+
+def _draw_sketched(df: DataFrame, groups: list[str], key: str, quota: DataFrame | Column, digest: Column) -> DataFrame:
+    """One scan of groups and hashes finds where each quota ends, another one takes the rows up to there."""
+    spark = df.sparkSession
+    asked = quota if isinstance(quota, DataFrame) else spark.range(1).select(quota.cast("bigint").alias("quota"))
+    asked = asked.where("quota > 0").select(F.lit(0).alias("_all"), *groups, col("quota").alias("_room"))
+    schema, rows = asked.schema, asked.collect()  # no more than the sum of quotas, which is bounded
+    if not rows:
+        return df.limit(0)
+    asked, largest = F.broadcast(spark.createDataFrame(rows, schema)), max(row["_room"] for row in rows)
+    keys = ["_all", *groups]
+    marked = df.withColumn("_all", F.lit(0))
+    lists = bottom(marked.select(*keys, "_hash").join(asked, keys, "left_semi"), keys, [F.asc("_hash")], largest)
+    ends = lists.join(asked, keys).where("_rank <= _room").groupBy(*keys, "_room").agg(F.max("_hash").alias("_end"))
+    ends = spark.createDataFrame(ends.collect(), ends.schema)
+    near = marked.join(F.broadcast(ends), keys).where(col("_hash") <= col("_end"))
+    ranked = bottom(near, keys, [F.asc("_hash"), digest.asc(), F.asc(_quoted(key))], largest)
+    return ranked.where("_rank <= _room").select(*[col(c) for c in df.columns])
+
+
 def allocate_samples(counts: DataFrame, labels: Sequence[str], n: int) -> DataFrame:
     """Rows to draw per label combination, by the largest-remainder rule.
 
@@ -149,11 +191,30 @@ def stratified_sample(
         sample_hash(df, key, seed).alias("_hash"),
     )
     combos = marked.groupBy(*strata).agg(F.count("*").alias("count"))
-    quota = allocate_samples(combos, strata, n).where("quota > 0").select(*strata, "quota")
-    chosen = draw_first(marked, strata, key, quota)
+    quota = _allocated(combos, strata, n)
+    chosen = draw_first(marked, strata, key, quota, n)
     return chosen.select(*[col(name) for name in df.columns])
 
 
+def _allocated(combos: DataFrame, strata: Sequence[str], n: int) -> DataFrame:
+    """``allocate_samples`` without empty quotas, worked out here where sample and combinations are few."""
+    few = combos.limit(SKETCH + 1).collect() if 0 < n <= SKETCH else []
+    if not 0 < len(few) <= SKETCH:
+        return allocate_samples(combos, strata, n).where("quota > 0").select(*strata, "quota")
+    size = sum(row["count"] for row in few)
+    want = min(n, size)
+    shares = [divmod(want * row["count"], size) for row in few]
+
+    def order(at: int) -> tuple:
+        values = [(value is not None, value) for value in few[at][: len(strata)]]
+        return -shares[at][1], -few[at]["count"], values
+
+    lucky = set(sorted(range(len(few)), key=order)[: want - sum(floor for floor, _ in shares)])
+    quotas = [(*row[: len(strata)], floor + (at in lucky)) for at, (row, (floor, _)) in enumerate(zip(few, shares))]
+    kinds = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in combos.schema.fields[: len(strata)])
+    return combos.sparkSession.createDataFrame([q for q in quotas if q[-1]], f"{kinds}, quota bigint")
+
+
 def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Fill a short sample up to ``n`` with rows of ``df`` it does not hold yet.
 
@@ -167,14 +228,14 @@ def top_up(df: DataFrame, sampled: DataFrame, n: int, key: str, seed: int = 42)
     rest = df.select("*", identity(df).alias("_is")).join(held, "_is", "left_anti").drop("_is")
     short = sampled.agg((F.lit(n) - F.count("*")).alias("quota")).scalar()
     marked = rest.withColumn("_hash", sample_hash(rest, key, seed))
-    filling = draw_first(marked, [], key, short)
+    filling = draw_first(marked, [], key, short, n)
     return sampled.unionByName(filling.select(*[col(name) for name in df.columns]))
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` random rows (all of them when the table is smaller), one way for every n."""
     marked = df.withColumn("_hash", sample_hash(df, key, seed))
-    drawn = draw_first(marked, [], key, F.lit(n))
+    drawn = draw_first(marked, [], key, F.lit(n), n)
     return drawn.select(*[col(name) for name in df.columns])
 
 

@@ -282,31 +282,131 @@ def test_calls_run_side_by_side(spark):
     assert sorted(r["_ord"] for r in got) == list(range(8)) and {r["outcome"] for r in got} == {"answered"}
 
 
-def test_finished_slices_are_not_labelled_again(spark, tmp_path):
-    """A run that ended after its first part, started again."""
-    asked = spark.sparkContext.accumulator(0)
+class Crash(Exception):
+    pass
+
 
+def sliced(spark, folder, rows=40, asked=None, **settings):
+    """A run of one call per report in four parts."""
     def factory():
         def call(messages):
-            asked.add(1)
+            if asked is not None:
+                asked.add(1)
             return {"content": '{"a": 1}'}
 
         return call
 
-    df = spark.createDataFrame([(i, f"v{i}", f"text {i}") for i in range(30)], "_ord bigint, VolumeName string, report_text string")
-    settings = {"output": str(tmp_path / "out"), "slices": 3, "matching": {"order_by": "_ord"}, "partitions": 1}
-    prompt = PromptSpec("Decide.", ("a",))
-    sizes = df.groupBy(F.pmod(F.xxhash64("VolumeName", "report_text"), F.lit(3)).alias("s")).count().collect()
-    assert len(sizes) == 3
-    first = plans.generate_labels(df.where(F.pmod(F.xxhash64("VolumeName", "report_text"), F.lit(3)) == 0), prompt, factory, **settings)
-    # Only the first part had rows; forget the two empty ones, as a crash would.
-    for part in (1, 2):
-        shutil.rmtree(tmp_path / "out" / "_slices" / str(part))
-    before = asked.value
-    assert before == first.labels.count()
+    df = spark.createDataFrame([(i, f"v{i}", f"text {i}") for i in range(rows)], "_ord bigint, VolumeName string, report_text string")
+    settings = {"output": str(folder), "slices": 4, "matching": {"order_by": "_ord"}, "partitions": 1, **settings}
+    prompt = settings.pop("prompt", PromptSpec("Decide.", ("a",)))
     run = plans.generate_labels(df, prompt, factory, **settings)
-    assert run.labels.count() == 30 and asked.value == 30
+    return sorted(r["VolumeName"] for r in run.labels.collect())
+
+
+ALL = sorted(f"v{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("step, late", [(0, False), (0, True), (2, False), (2, True), (4, True)])
+def test_a_crash_at_any_step_loses_and_doubles_nothing(spark, tmp_path, monkeypatch, step, late):
+    """The run ends before or after the manifest or a mark is published, and is started again."""
+    from tallymark.plans import label
+
+    publish, made = label.publish, []
+
+    def broken(*args):
+        if len(made) == step and not late:
+            raise Crash
+        publish(*args)
+        made.append(args)
+        if len(made) > step:
+            raise Crash
+
+    monkeypatch.setattr(label, "publish", broken)
+    with pytest.raises(Crash):
+        sliced(spark, tmp_path / "out")
+    monkeypatch.setattr(label, "publish", publish)
+    asked = spark.sparkContext.accumulator(0)
+    assert sliced(spark, tmp_path / "out", asked=asked) == ALL
+    finished = max(0, step - 1 + late)
+    assert 0 < asked.value < 40 if 0 < finished < 4 else asked.value == (0 if finished == 4 else 40)
+    assert sorted(r["VolumeName"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ALL
+
+
+CHANGES = {
+    "slices": {"slices": 3},
+    "prompt": {"prompt": PromptSpec("Decide again.", ("a",))},
+    "model": {"model": "other"},
+    "reports": {"rows": 41},
+    "options": {"text_col": "VolumeName"},
+}
+
+
+@pytest.mark.parametrize("changed", CHANGES)
+def test_a_changed_call_is_refused_or_started_afresh(spark, tmp_path, monkeypatch, changed):
+    from tallymark.plans import label
+
+    publish, made = label.publish, []
+
+    def broken(*args):
+        publish(*args)
+        made.append(args)
+        if len(made) == 3:
+            raise Crash
+
+    monkeypatch.setattr(label, "publish", broken)
+    with pytest.raises(Crash):
+        sliced(spark, tmp_path / "out")
+    monkeypatch.setattr(label, "publish", publish)
+    with pytest.raises(ValueError, match=changed):
+        sliced(spark, tmp_path / "out", **CHANGES[changed])
+    expected = sorted(f"v{i}" for i in range(CHANGES[changed].get("rows", 40)))
+    # How calls are made may change; what was refused has changed nothing.
+    assert sliced(spark, tmp_path / "out", partitions=2, max_retries=1) == ALL
+    assert sliced(spark, tmp_path / "out", on_change="restart", **CHANGES[changed]) == expected
+    assert sorted(r["VolumeName"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == expected
+
+
+@pytest.mark.parametrize("step", [0, 2, 3])
+def test_a_crash_while_starting_afresh(spark, tmp_path, monkeypatch, step):
+    from tallymark.plans import label
+
+    assert sliced(spark, tmp_path / "out") == ALL
+    names, left = ("remove", "publish"), [step]
+
+    def breaking(work):
+        def broken(*args):
+            if not left[0]:
+                raise Crash
+            left[0] -= 1
+            return work(*args)
+
+        return broken
+
+    kept = {name: getattr(label, name) for name in names}
+    for name in names:
+        monkeypatch.setattr(label, name, breaking(kept[name]))
+    with pytest.raises(Crash):
+        sliced(spark, tmp_path / "out", slices=2, on_change="restart")
+    for name in names:
+        monkeypatch.setattr(label, name, kept[name])
+    if step in (1, 2):  # rows without a manifest belong to no call
+        with pytest.raises(ValueError, match="manifest"):
+            sliced(spark, tmp_path / "out")
+    assert sliced(spark, tmp_path / "out", slices=2, on_change="restart") == ALL
+
+
+def test_slices_with_history_and_wrong_settings(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"v{i}", f"text {i}") for i in range(30)], "_ord bigint, VolumeName string, report_text string")
+    first = str(tmp_path / "first")
+    assert sliced(spark, first, rows=10) == sorted(f"v{i}" for i in range(10))
+    history = spark.read.parquet(first).drop("slice")
+    asked = spark.sparkContext.accumulator(0)
+    for _ in range(2):
+        assert sliced(spark, tmp_path / "second", asked=asked, history=history) == ALL
+        assert asked.value == 30
     with pytest.raises(ValueError, match="output"):
-        plans.generate_labels(df, prompt, factory, history=spark.read.parquet(str(tmp_path / "out")), output=str(tmp_path / "out"))
+        plans.generate_labels(df, PromptSpec("D", ("a",)), scripted({}), history=spark.read.parquet(first), output=first)
+    with pytest.raises(ValueError):
+        plans.generate_labels(df, PromptSpec("D", ("a",)), scripted({}), slices=2)
     with pytest.raises(ValueError):
-        plans.generate_labels(df, prompt, factory, slices=2)
+        plans.generate_labels(df, PromptSpec("D", ("a",)), scripted({}), slices=2, output=first, on_change="maybe")

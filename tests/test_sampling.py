@@ -142,3 +142,15 @@ def test_null_and_repeated_keys_are_drawn_like_others(spark, n):
         assert counts[None] > 20 and counts[False] > 20
     full = ops.top_up(df, df.where("v < 10"), n, "k")
     assert full.count() >= min(n, 20) and full.exceptAll(df).count() == 0
+
+
+def test_sketch_and_buckets_draw_the_same_rows(spark, monkeypatch):
+    """Keys that repeat and null keys, drawn both ways."""
+    from tallymark.operators import sampling
+
+    rows = [(i % 37 if i % 5 else None, f"row {i % 200}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, text string").coalesce(3)
+    monkeypatch.setattr(sampling, "MERGED", 2)
+    sketched = sorted(map(repr, ops.sample_rows(df, 50, "k").collect()))
+    monkeypatch.setattr(sampling, "SKETCH", 0)
+    assert sorted(map(repr, ops.sample_rows(df, 50, "k").collect())) == sketched and len(sketched) == 50

@@ -547,6 +547,7 @@ ORACLE |= {
     "evaluate_unordered": ORACLE["evaluation_metrics"],
     "generate_labels_unordered": "SELECT concat('doc_', doc_id) AS VolumeName, sha256(text) AS report_hash FROM documents",
     "generate_labels_sliced": ORACLE["label_reports_multi"],
+    "generate_labels_restarted": ORACLE["label_reports_multi"],
     "write_labels": f"WITH {_run('run1')} SELECT concat(VolumeName, '_2.nii') AS VolumeName, quality, toxic FROM run1",
     "dedupe_over_files": """WITH rows AS (SELECT concat('scan_', doc_id % 97) AS VolumeName, doc_id, n_chars,
         CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS part FROM documents)

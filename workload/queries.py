@@ -532,6 +532,24 @@ def generate_labels_sliced(spark, sf_dir):
     return run.labels.select(*_STABLE)
 
 
+def generate_labels_restarted(spark, sf_dir):
+    """In five parts, asked for again in three: refused, then labelled anew; then once more, with nothing left to do."""
+    folder = t.scratch(spark, "restarted")
+
+    def run(**settings):
+        return plans.generate_labels(
+            t.reports(spark, sf_dir), t.PROMPT, t.keyword_model(), model="gpt-5-nano", pricing=DEFAULT_PRICING,
+            output=folder, matching={"order_by": "_ord"}, wait_seconds=(0.0, 0.0), **settings,
+        )
+
+    run(slices=5)
+    try:
+        run(slices=3)
+    except ValueError:
+        run(slices=3, on_change="restart")
+    return run(slices=3).labels.select(*_STABLE)
+
+
 def write_labels(spark, sf_dir):
     """A run table written, replaced and read again."""
     folder = t.scratch(spark, "labels")
@@ -654,6 +672,7 @@ QUERIES = {
     "evaluate_unordered": evaluate_unordered,
     "generate_labels_unordered": generate_labels_unordered,
     "generate_labels_sliced": generate_labels_sliced,
+    "generate_labels_restarted": generate_labels_restarted,
     "write_labels": write_labels,
     "dedupe_over_files": dedupe_over_files,
     "label_prevalence": label_prevalence,
