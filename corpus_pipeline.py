@@ -17,7 +17,7 @@ from tallymark.llm.line_dedup import drop_shared_lines
 from tallymark.llm.mixing import mix
 from tallymark.llm.packing import pack
 from tallymark.llm.queries import tokenizer_path
-from tallymark.llm.shingle_dedup import keep_one_near_copy
+from tallymark.llm.simhash_dedup import keep_one_per_class
 from tallymark.llm.toxicity import keep_harmless
 
 
@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are 0.8 similar the smallest id stays."""
-    return keep_one_near_copy(docs, words=5, least=0.8)
+    """Of each group of texts whose fingerprints of 3-word shingles are linked within 3 bits the smallest id stays."""
+    return keep_one_per_class(docs, words=3, reach=3)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
