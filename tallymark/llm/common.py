@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durable import checkpoint_folder as shared_folder
 from ..durable import materialise as cut
@@ -36,6 +37,14 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~odd, F.lit(False))
 
 
+def whole_ids(rows: DataFrame, id_col: str) -> Column:
+    """The ids as 64-bit integers; ids of another type raise, rather than being lost in a cast."""
+    kind = rows.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{id_col} must hold integers, not {kind.simpleString()}.")
+    return F.col(f"`{id_col}`").cast("long")
+
+
 def spread(*of: Column) -> Column:
     """60 bits of MD5 as a number: a uniform choice that any SQL engine can repeat."""
     joined = F.concat_ws("\x1f", *[c.cast("string") for c in of])

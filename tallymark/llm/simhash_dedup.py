@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, in_runs
+from .common import blocks, cut, in_runs, whole_ids
 from .components import connect, merge
 
 SEED = 42
@@ -43,16 +43,17 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``print`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``print`` (the fingerprint as a signed long) and ``check`` (a hash of the text) of every row."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             prints = np.array([fingerprint(t, words) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "print": prints.view(np.int64)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "print": prints.view(np.int64), "check": frame["check"]})
 
-    key = F.col(f"`{id_col}`").cast("string")  # text, so that null ids survive pandas
+    key = whole_ids(docs, id_col).cast("string")  # text, so that null ids survive pandas
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = docs.select(key.alias("doc_id"), text.alias("text")).mapInPandas(work, "doc_id string, print long")
+    rows = docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("check"))
+    found = rows.mapInPandas(work, "doc_id string, print long, check long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -118,10 +119,12 @@ def near_labels(points: np.ndarray, reach: int) -> np.ndarray:
 
 
 def near_classes(prints: DataFrame, reach: int = 3) -> DataFrame:
-    """``doc_id``, ``print``, ``component_id`` of rows with ids and fingerprints.
+    """Rows with ``doc_id`` and ``print``, and their ``component_id`` and ``component``.
 
-    Rows of one fingerprint are one class, named by its smallest id, so copies
-    never meet in pairs. A vantage-point tree, fitted on a bounded sample of the
+    Rows of one fingerprint are one class, so copies never meet in pairs; links
+    are between fingerprints, so rows of one id do not link their texts. A
+    ``component`` is named by one of its fingerprints, and its ``component_id`` is its
+    smallest id. A vantage-point tree, fitted on a bounded sample of the
     fingerprints, sends each class to every shard whose region it may reach.
     Shards, in blocks if they are large, are searched exactly with a tree of
     their own; a block returns at most one link per class, so links grow with the
@@ -139,29 +142,33 @@ def near_classes(prints: DataFrame, reach: int = 3) -> DataFrame:
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            points = frame["print"].to_numpy(np.int64).view(np.uint64)
-            for shard, at in tree.route(points):
-                yield pd.DataFrame({"shard": shard, "print": frame["print"].to_numpy()[at], "rep": frame["rep"].to_numpy()[at]})
+            points = frame["print"].to_numpy(np.int64)
+            for shard, at in tree.route(points.view(np.uint64)):
+                yield pd.DataFrame({"shard": shard, "print": points[at]})
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, rows in frame.groupby(["shard", "lo", "hi"], sort=False):
-            rows = rows.sort_values("rep")
-            reps = rows["rep"].to_numpy()
-            labels = near_labels(rows["print"].to_numpy(np.int64).view(np.uint64), reach)
+            points = np.sort(rows["print"].to_numpy(np.int64))
+            labels = near_labels(points.view(np.uint64), reach)
             linked = labels != np.arange(len(labels))
-            out.append(pd.DataFrame({"a": reps[linked], "b": reps[labels[linked]]}))
+            out.append(pd.DataFrame({"a": points[linked], "b": points[labels[linked]]}))
         return pd.concat(out, ignore_index=True)
 
-    routed = classes.mapInPandas(route, "shard int, print long, rep long")
-    paired = blocks(cut(routed), ["shard"], F.col("rep"), BLOCK).drop("chunk")
-    links = in_runs(paired, ["shard", "lo", "hi"], search, "a long, b long")
-    joined = connect(links)
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("print").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    known = prints.where("doc_id is not null").join(named, F.col("print") == F.col("of"))
-    unknown = prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long"))
-    return known.select("doc_id", "print", "component_id").unionByName(unknown)
+    routed = classes.select("print").mapInPandas(route, "shard int, print long")
+    paired = blocks(cut(routed), ["shard"], F.col("print"), BLOCK).drop("chunk")
+    joined = connect(in_runs(paired, ["shard", "lo", "hi"], search, "a long, b long"))
+    # Only classes with links need their component's smallest id.
+    linked = cut(joined.union(joined.select("component", "component").distinct()))
+    firsts = linked.join(classes, F.col("node") == F.col("print")).groupBy("component").agg(F.min("rep").alias("first"))
+    named = linked.join(firsts, "component").select(F.col("node").alias("of"), "component", "first")
+    named = classes.join(named, F.col("print") == F.col("of"), "left").select(
+        F.col("print").alias("of"), F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "print").alias("component")
+    )
+    known = prints.where("doc_id is not null").join(named, F.col("print") == F.col("of")).drop("of")
+    nothing = F.lit(None).cast("long")
+    unknown = prints.where("doc_id is null").select("*", nothing.alias("component_id"), nothing.alias("component"))
+    return known.unionByName(unknown)
 
 
 def simhash_classes(docs: DataFrame, words: int = 3, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,13 +189,13 @@ def simhash_classes(docs: DataFrame, words: int = 3, reach: int = 3, id_col: str
 def keep_one_per_class(docs: DataFrame, words: int = 3, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of every component, all columns as given.
 
-    Of repeated rows with one id, one stays; rows with a null id all stay.
+    Rows of one id whose texts are in different components are kept apart: of each
+    component one row with its smallest id stays. Rows with a null id all stay.
     """
-    classes = simhash_classes(docs, words, reach, id_col, text_col)
-    firsts = classes.where("doc_id = component_id").select("doc_id").distinct()
-    key = F.col(f"`{id_col}`")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"))
-    kept = rows.where("id is not null").join(firsts, F.col("id") == F.col("doc_id"), "left_semi")
-    order = Window.partitionBy("id").orderBy(F.xxhash64(f"row.`{text_col}`"))
-    kept = kept.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    return kept.union(rows.where("id is null")).select("row.*")
+    found = near_classes(fingerprints(docs, words, id_col, text_col), reach)
+    firsts = found.where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min("check").alias("check"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("check"))
+    kept = rows.where("doc_id is not null").join(firsts.select("doc_id", "check"), ["doc_id", "check"], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "check"])
+    return kept.select("row.*").union(rows.where("doc_id is null").select("row.*"))
