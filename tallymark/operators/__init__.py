@@ -8,6 +8,8 @@ from .agreement import (
     run_votes,
 )
 from .align import align_pair, align_runs, normalize_ids, pair_labels, pair_table, unmatched_ids
+from .asof import asof_join
+from .bits import all_sets_agreement_bits, bit_votes, pairwise_agreement_bits
 from .columns import (
     META_COLUMNS,
     canonical_id,
@@ -31,6 +33,8 @@ from .labeling import (
 )
 from .metrics import (
     binary_metrics,
+    compare_by,
+    compare_many,
     compare_metrics,
     compare_summary,
     confusion_counts,
@@ -40,6 +44,7 @@ from .metrics import (
     run_totals,
     with_averages,
 )
+from .pricing import price_usage
 from .resume import Resume, resume_match
 from .sampling import (
     allocate_samples,
@@ -50,6 +55,7 @@ from .sampling import (
     stratified_sample,
     top_up,
 )
+from .sketches import id_sketches, merge_ids, overlap, quantiles, value_sketches
 from .summaries import (
     classify_error,
     discrepancy_summary,

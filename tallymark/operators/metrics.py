@@ -6,15 +6,16 @@ optionally a ``_weight`` that says how many row pairs a row stands for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coercion import parse_number, ratio, round4, round_half_even
+from ..functions.identifiers import IdRule
 from .align import IN_LEFT, IN_RIGHT, WEIGHT
-from .columns import ID, binary, col
+from .columns import ID, ORDER, binary, col, order_column, resolve_column
 from .votes import confusion_cells
 
 # Names of the summary rows.
@@ -114,15 +115,15 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def with_averages(metrics: DataFrame, micro: bool = True) -> DataFrame:
-    """Append the macro row and, if asked, the micro row.
+def with_averages(metrics: DataFrame, micro: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Append the macro row and, if asked, the micro row; for every group of ``by``, if given.
 
     Macro is the mean of the rounded per-label values. Micro comes from summed
     counts and has no zero-support rule. The per-label rows (one per label
     column) are folded into one array, so the input is computed once.
     """
     fields = ["label_pos", "label", *RATES, *CELLS]
-    folded = metrics.agg(
+    folded = metrics.groupBy(*[col(c) for c in by]).agg(
         F.sort_array(F.collect_list(F.struct(*[col(f) for f in fields]))).alias("rows"),
         F.count("*").cast("int").alias("labels"),
         *[round4(F.avg(r)).alias(r) for r in RATES],
@@ -140,7 +141,73 @@ def with_averages(metrics: DataFrame, micro: bool = True) -> DataFrame:
     extra = [summary(0, MACRO, {r: col(r) for r in RATES})]
     if micro:
         extra.append(summary(1, MICRO, _rates(*[col(c) for c in CELLS], zero_support=False)))
-    return folded.select(F.inline(F.concat(col("rows"), F.array(*extra))))
+    return folded.select(*[col(c) for c in by], F.inline(F.concat(col("rows"), F.array(*extra))))
+
+
+def compare_many(
+    truth: DataFrame,
+    runs: Mapping[str, DataFrame],
+    labels: Sequence[str],
+    *,
+    id_col: str = ID,
+    rule: IdRule = IdRule(),
+    order_by: str | None = None,
+    micro: bool = True,
+) -> DataFrame:
+    """``compare_metrics`` of each run against one truth, with the ``run``'s name, from a single shuffle.
+
+    Truth and runs are stacked and reduced to the first row of every side per ID,
+    so the truth is read once and nothing is joined; four sums per run and label
+    over that table give all counts. As in ``align_pair``, an ID counts for the
+    runs that have it, whatever other runs have.
+    """
+    sides = [truth, *runs.values()]
+    stacked = None
+    for i, df in enumerate(sides):
+        values = F.struct(*[binary(df, resolve_column(df, x)).alias(f"v{j}") for j, x in enumerate(labels)])
+        slim = df.select(
+            rule.apply(col(resolve_column(df, id_col))).alias(ID),
+            F.lit(i).alias("_side"),
+            order_column(df, order_by).alias(ORDER),
+            values.alias("_values"),
+        )
+        stacked = slim if stacked is None else stacked.unionByName(slim)
+    firsts = stacked.groupBy(ID).agg(
+        *[F.min_by("_values", F.when(col("_side") == i, col(ORDER))).alias(f"_s{i}") for i in range(len(sides))]
+    )
+    sums, laid = [], []
+    for i, run in enumerate(runs, 1):
+        met = col("_s0").isNotNull() & col(f"_s{i}").isNotNull()
+        for j, x in enumerate(labels):
+            one = F.when(met, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            cells = confusion_cells(col("_s0")[f"v{j}"], col(f"_s{i}")[f"v{j}"], one)
+            sums += [F.coalesce(cell, F.lit(0)).cast("bigint").alias(f"_{name}{i}_{j}") for name, cell in zip(CELLS, cells)]
+            named = [F.lit(run).alias("run"), F.lit(j).alias("label_pos"), F.lit(x).alias("label")]
+            laid.append(F.struct(*named, *[col(f"_{name}{i}_{j}").alias(name) for name in CELLS]))
+    counts = firsts.agg(*sums).select(F.inline(F.array(*laid)))
+    return with_averages(binary_metrics(counts), micro, ["run"])
+
+
+def compare_by(aligned: DataFrame, labels: Sequence[str], dimensions: Sequence[str], micro: bool = True) -> DataFrame:
+    """``compare_metrics`` for every combination of ``dimensions``, each alone, and overall, in one pass.
+
+    Counts are grouped over all subsets of the dimensions (a cube) from one scan
+    and one shuffle; a column that is rolled up is null and ``_level`` is the
+    cube's grouping number (0: all dimensions, the largest: overall). Rows are
+    combined per task first, so a dimension with one frequent value is small.
+    """
+    matched = _matched(aligned)
+    cells, laid = [], []
+    for j, x in enumerate(labels):
+        found = confusion_cells(binary(matched, f"true_{x}"), binary(matched, f"pred_{x}"), _weight(matched))
+        cells += [F.coalesce(cell, F.lit(0)).cast("bigint").alias(f"_{name}{j}") for name, cell in zip(CELLS, found)]
+        named = [F.lit(j).alias("label_pos"), F.lit(x).alias("label")]
+        laid.append(F.struct(*named, *[col(f"_{name}{j}").alias(name) for name in CELLS]))
+    keys = [col(d) for d in dimensions]
+    counts = matched.cube(*keys).agg(F.grouping_id().cast("int").alias("_level"), *cells)
+    groups = ["_level", *dimensions]
+    counts = counts.select(*[col(g) for g in groups], F.inline(F.array(*laid)))
+    return with_averages(binary_metrics(counts), micro, groups)
 
 
 def compare_metrics(aligned: DataFrame, labels: Sequence[str], micro: bool = True) -> DataFrame:

@@ -113,6 +113,16 @@ ALIGNED = f"""{RUNS}, aligned AS (
   FROM run1 a JOIN run2 b USING (VolumeName) JOIN run3 c USING (VolumeName))"""
 
 
+def _grouped(groups: str, cells: str, micro: bool = True) -> str:
+    """Rows of metrics per group from a table of cells with ``groups`` and label."""
+    sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("tp", "fp", "fn", "tn"))
+    micro_row = f"UNION ALL SELECT {groups}, 'MICRO_AVERAGE', {_scores(False)}, tp, fp, fn, tn FROM (SELECT {groups}, {sums} FROM {cells} GROUP BY ALL)"
+    return f"""scored AS (SELECT {groups}, label, {_scores(True)}, tp, fp, fn, tn FROM {cells})
+  SELECT * FROM scored UNION ALL SELECT {groups}, 'MACRO_AVERAGE', round_even(avg(precision), 4), round_even(avg(recall), 4),
+    round_even(avg(f1), 4), round_even(avg(accuracy), 4), sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT,
+    sum(tn)::BIGINT FROM scored GROUP BY ALL {micro_row if micro else ''}"""
+
+
 def _ballots(source: str, labels: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT {i} AS pos, '{x}' AS label, run1__{x} AS v1, run2__{x} AS v2, run3__{x} AS v3 FROM {source}"
@@ -330,13 +340,15 @@ ORACLE = {
     "dedupe_first": f"""WITH {RECON} SELECT VolumeName, lang, Impressions, _ord FROM (
       SELECT {_norm('VolumeName')} AS VolumeName, lang, Impressions, ord AS _ord,
         row_number() OVER (PARTITION BY {_norm('VolumeName')} ORDER BY ord) AS rn FROM recon) WHERE rn = 1""",
-    "coerce_binary": r"""WITH noisy AS (SELECT event_id, value, CASE event_id % 8 WHEN 0 THEN props->>'k'
-        WHEN 1 THEN concat(' ', event_id, ' ') WHEN 2 THEN concat(event_id, '.9') WHEN 3 THEN 'True'
-        WHEN 4 THEN concat(event_id, 'd') WHEN 5 THEN concat('-', event_id, 'e0') WHEN 6 THEN NULL
-        ELSE concat(event_type, event_id) END AS raw FROM events),
-      parsed AS (SELECT *, CASE WHEN regexp_full_match(trim(raw), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
-        THEN try_cast(trim(raw) AS DOUBLE) END AS num FROM noisy)
-      SELECT event_id, coalesce(trunc(num), 0)::INT AS as_int, coalesce(num, -1.0)::DOUBLE AS as_number,
+    "coerce_binary": r"""WITH noisy AS (SELECT event_id, value, props->>'k' AS stored, CASE event_id % 7
+        WHEN 0 THEN concat(event_type, event_id) WHEN 1 THEN concat(' ', event_id, ' ') WHEN 2 THEN concat(event_id, '.9')
+        WHEN 3 THEN 'True' WHEN 4 THEN concat(event_id, 'd') WHEN 5 THEN concat('-', event_id, 'e0') END AS noisy FROM events),
+      parsed AS (SELECT *, CASE WHEN regexp_full_match(trim(stored), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+          THEN try_cast(trim(stored) AS DOUBLE) END AS s,
+        CASE WHEN regexp_full_match(trim(noisy), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+          THEN try_cast(trim(noisy) AS DOUBLE) END AS n FROM noisy)
+      SELECT event_id, coalesce(trunc(s), 0)::INT AS stored_int, coalesce(s, -1.0)::DOUBLE AS stored_number,
+        coalesce(trunc(n), 0)::INT AS noisy_int, coalesce(n, -1.0)::DOUBLE AS noisy_number,
         coalesce(trunc(value), 0)::INT AS value_int FROM parsed""",
     "normalize_run_rows": """SELECT concat('event_', event_id) AS VolumeName, (props->>'k')::INT AS positive,
         (CASE WHEN event_type = 'view' THEN 0 ELSE event_id END)::BIGINT AS prompt_tokens,
@@ -375,6 +387,19 @@ ORACLE = {
     "top_discrepancies": f"WITH {SUMMARY} SELECT * FROM summary ORDER BY count DESC, Label, error_type LIMIT 3",
     "metrics_mean_std": MEAN_STD,
     "metrics_files_mean_std": MEAN_STD,
+    "compare_by_language_and_source": f"""WITH {_pair()}, told AS (SELECT pair.*, lang, source FROM pair
+        JOIN documents ON VolumeName = concat('doc_', doc_id)),
+      long AS ({" UNION ALL ".join(f"SELECT '{x}' AS label, t_{x} AS t, p_{x} AS p, lang, source FROM told" for x in L)}),
+      cells AS (SELECT grouping(lang, source)::INT AS level, lang, source, label, {CELLS} FROM long GROUP BY label, CUBE (lang, source)),
+      {_grouped('level, lang, source', 'cells')}""",
+    "compare_many_runs": f"""WITH {RUNS}, truth AS (SELECT concat('doc_', doc_id) AS VolumeName, quality, toxic FROM labels),
+      stacked AS (SELECT 'run1' AS run, * FROM run1 UNION ALL SELECT 'run2', * FROM run2
+          WHERE regexp_extract(VolumeName, '[0-9]+')::BIGINT % 3 > 0 UNION ALL SELECT 'run3', * FROM run3),
+      met AS (SELECT run, a.quality AS t_quality, a.toxic AS t_toxic, b.quality AS p_quality, b.toxic AS p_toxic
+        FROM truth a JOIN stacked b USING (VolumeName)),
+      long AS ({" UNION ALL ".join(f"SELECT run, '{x}' AS label, t_{x} AS t, p_{x} AS p FROM met" for x in L)}),
+      cells AS (SELECT run, label, {CELLS} FROM long GROUP BY ALL),
+      {_grouped('run', 'cells')}""",
     "align_runs": f"WITH {ALIGNED} SELECT * FROM aligned",
     "pairwise_agreement": f"WITH {ALIGNED}, {_pairwise('aligned', L)} SELECT * EXCLUDE (pos) FROM pairwise",
     "pairwise_agreement_summary": f"""WITH {ALIGNED}, {_pairwise('aligned', L)}
@@ -428,9 +453,51 @@ ORACLE = {
       CASE WHEN event_type IN ('error', 'purchase') THEN 'error' ELSE 'success' END AS status,
       (CASE WHEN event_type IN ('view', 'click') THEN (props->>'k')::INT <> 0
         WHEN event_type = 'signup' THEN value >= 20 ELSE false END)::INT AS k FROM events""",
-    "normalize_binary": """SELECT event_id, (CASE event_id % 8 WHEN 0 THEN (props->>'k')::INT <> 0
+    "normalize_binary": """SELECT event_id, ((props->>'k')::INT <> 0)::INT AS stored_k, (CASE event_id % 7 WHEN 0 THEN false
         WHEN 1 THEN false WHEN 2 THEN event_id % 3 = 1 WHEN 3 THEN event_type = 'view' WHEN 4 THEN true
-        WHEN 5 THEN false WHEN 6 THEN event_id % 5 <> 2 ELSE false END)::INT AS k FROM events""",
+        WHEN 5 THEN false ELSE event_id % 5 <> 2 END)::INT AS other_k FROM events""",
+    "label_in_force": """WITH states AS (SELECT user_id, ts, max((value, event_id)) AS held FROM events
+        WHERE event_type = 'purchase' GROUP BY ALL)
+      SELECT c.event_id, c.user_id, c.event_type, s.held[1] AS in_force, s.held[2] AS state_id
+      FROM (SELECT * FROM events WHERE event_type <> 'purchase') c ASOF LEFT JOIN states s
+        ON c.user_id = s.user_id AND c.ts >= s.ts""",
+    "align_runs_stored": f"WITH {ALIGNED} SELECT * FROM aligned",
+    "sketched_overlap": """WITH a AS (SELECT DISTINCT doc_id FROM labels), b AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0)
+      SELECT (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS matched, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS left_only,
+        (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS right_only,
+        (SELECT count(*) FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)) AS ids, 0.0::DOUBLE AS error""",
+    "sketched_quantiles": """SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.9) AS q90,
+        quantile_disc(value, 0.99) AS q99 FROM events GROUP BY event_type""",
+    "price_table": """WITH lines AS (SELECT l_orderkey, l_linenumber, l_shipdate AS called, l_suppkey AS completion_tokens,
+        concat('Vendor/MODEL-', l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE '-turbo' END) AS model,
+        l_quantity::BIGINT * 1000 AS prompt_tokens FROM lineitem),
+      prices AS (SELECT concat('model-', p_partkey) AS key, (p_partkey % 100) / 8.0::DOUBLE AS i, (p_partkey % 100) / 8.0::DOUBLE * 4 AS o,
+          TIMESTAMP '1900-01-01' AS f, TIMESTAMP '1995-06-17' AS u FROM part
+        UNION ALL SELECT concat('model-', p_partkey), (p_partkey % 100) / 8.0::DOUBLE / 2, (p_partkey % 100) / 8.0::DOUBLE,
+          TIMESTAMP '1995-06-17', TIMESTAMP '9999-01-01' FROM part WHERE p_partkey % 5 > 0),
+      names AS (SELECT DISTINCT model FROM lines),
+      matched AS (SELECT model, prices.* FROM names JOIN prices ON contains(lower(model), key)),
+      best AS (SELECT l_orderkey, l_linenumber, l.model, prompt_tokens, completion_tokens, called,
+          arg_max(i, length(key)) AS i, arg_max(o, length(key)) AS o, l.rn
+        FROM (SELECT *, row_number() OVER () AS rn FROM lines) l LEFT JOIN matched m ON l.model = m.model AND called >= f AND called < u
+        GROUP BY l_orderkey, l_linenumber, l.model, prompt_tokens, completion_tokens, called, l.rn)
+      SELECT l_orderkey, l_linenumber, model, prompt_tokens, completion_tokens, coalesce(round_even(
+        prompt_tokens::DOUBLE / 1000000.0::DOUBLE * i + completion_tokens::DOUBLE / 1000000.0::DOUBLE * o, 8), 0.0::DOUBLE)
+        AS estimated_cost_usd FROM best""",
+    "pairwise_agreement_many": f"""WITH runs AS (SELECT unnest(range(64)) AS i),
+      ballots AS (SELECT i, 'quality' AS label, doc_id, ((doc_id * (i + 3) + n_chars) % 7 < 2 + i % 4)::INT AS v FROM documents, runs
+        UNION ALL SELECT i, 'toxic', doc_id, ((n_chars + i) % (2 + i % 9) = 0)::INT FROM documents, runs),
+      paired AS (SELECT concat('m', a.i, ' vs m', b.i) AS pair, a.label AS label, {CELLS.replace("t = ", "a.v = ").replace("p = ", "b.v = ")}
+        FROM ballots a JOIN ballots b ON a.doc_id = b.doc_id AND a.label = b.label AND a.i < b.i GROUP BY ALL),
+      doubled AS (SELECT *, tp::DOUBLE AS a, fp::DOUBLE AS b, fn::DOUBLE AS c, tn::DOUBLE AS d,
+        (tp + fp + fn + tn)::DOUBLE AS n FROM paired)
+      SELECT pair, label, {PAIRWISE_SCORES.replace('(tp + fp + fn + tn) AS n', 'tp + fp + fn + tn AS n')} FROM doubled""",
+    "all_sets_agreement_many": """WITH runs AS (SELECT unnest(range(64)) AS i),
+      sums AS (SELECT doc_id, 'quality' AS label, sum((n_chars % 5 = 0 OR doc_id % (50 + i) = 0)::INT) AS v FROM documents, runs GROUP BY ALL
+        UNION ALL SELECT doc_id, 'toxic', sum((n_chars % 3 > 0 AND n_chars % (60 + i) > 0)::INT) FROM documents, runs GROUP BY ALL)
+      SELECT label, round_even(count(*) FILTER (v IN (0, 64))::DOUBLE / count(*)::DOUBLE, 4) AS all_sets_agreement,
+        count(*) FILTER (v = 64) AS all_positive_consensus, count(*) FILTER (v = 0) AS all_negative_consensus, count(*) AS n
+      FROM sums GROUP BY label""",
     "estimate_cost": """WITH usage AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'gpt-5-nano-2025'
         WHEN 'fr' THEN 'GPT-5-mini' WHEN 'de' THEN 'gpt-4.1' ELSE 'unknown' END AS model,
         n_chars // 4 AS prompt_tokens, 12 + doc_id % 5 AS completion_tokens FROM documents),

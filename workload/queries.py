@@ -60,20 +60,24 @@ def dedupe_first(spark, sf_dir):
 def _noisy_numbers(spark, sf_dir):
     return t.table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        "CASE event_id % 8 WHEN 0 THEN get_json_object(props, '$.k')"
+        "get_json_object(props, '$.k') AS stored",
+        "CASE event_id % 7 WHEN 0 THEN concat(event_type, event_id)"
         " WHEN 1 THEN concat(' ', event_id, ' ') WHEN 2 THEN concat(event_id, '.9')"
         " WHEN 3 THEN 'True' WHEN 4 THEN concat(event_id, 'd') WHEN 5 THEN concat('-', event_id, 'e0')"
-        " WHEN 6 THEN NULL ELSE concat(event_type, event_id) END AS raw",
+        " ELSE NULL END AS noisy",
         "value",
     )
 
 
 def coerce_binary(spark, sf_dir):
-    raw = F.col("raw")
+    """The stored cell of every event, and beside it a cell of another form."""
+    stored, noisy = F.col("stored"), F.col("noisy")
     return _noisy_numbers(spark, sf_dir).select(
         "event_id",
-        to_binary_int(raw, T.StringType()).alias("as_int"),
-        safe_number(raw, T.StringType(), -1.0).alias("as_number"),
+        to_binary_int(stored, T.StringType()).alias("stored_int"),
+        safe_number(stored, T.StringType(), -1.0).alias("stored_number"),
+        to_binary_int(noisy, T.StringType()).alias("noisy_int"),
+        safe_number(noisy, T.StringType(), -1.0).alias("noisy_number"),
         to_binary_int(F.col("value"), T.DoubleType()).alias("value_int"),
     )
 
@@ -184,11 +188,21 @@ def top_discrepancies(spark, sf_dir):
 
 
 def metrics_mean_std(spark, sf_dir):
-    stacked = reduce(
-        DataFrame.unionByName,
-        [ops.compare_metrics(_pair(spark, sf_dir, name), LABELS) for name in RUNS],
-    )
-    return ops.metrics_mean_std(stacked)
+    return ops.metrics_mean_std(ops.compare_many(t.truth(spark, sf_dir), t.runs(spark, sf_dir), LABELS))
+
+
+def compare_many_runs(spark, sf_dir):
+    """Three runs against the truth; the second one lacks a third of the IDs."""
+    runs = t.runs(spark, sf_dir)
+    runs["run2"] = runs["run2"].where("_ord % 3 > 0")
+    return ops.compare_many(t.truth(spark, sf_dir), runs, LABELS).drop("label_pos")
+
+
+def compare_by_language_and_source(spark, sf_dir):
+    """Metrics for each language and source, each alone, and overall."""
+    about = t.table(spark, sf_dir, "documents").selectExpr("concat('doc_', doc_id) AS VolumeName", "lang", "source")
+    aligned = _pair(spark, sf_dir).join(about, "VolumeName")
+    return ops.compare_by(aligned, LABELS, ["lang", "source"]).withColumnRenamed("_level", "level").drop("label_pos")
 
 
 def metrics_files_mean_std(spark, sf_dir):
@@ -207,6 +221,15 @@ def align_runs(spark, sf_dir):
     return ops.align_runs(t.runs(spark, sf_dir), LABELS)
 
 
+def align_runs_stored(spark, sf_dir):
+    """The three runs stored by ID, then aligned without a shuffle."""
+    stored = {}
+    for name, run in t.runs(spark, sf_dir).items():
+        place = t.scratch(spark, name)
+        stored[name] = sources.store_run(run, place.rsplit("/", 1)[1].replace("-", "_"), place, LABELS, buckets=8)
+    return sources.align_stored(stored, LABELS)
+
+
 def _votes(spark, sf_dir):
     return ops.run_votes(align_runs(spark, sf_dir), RUNS, LABELS)
 
@@ -353,16 +376,85 @@ def parse_responses(spark, sf_dir):
 
 
 def normalize_binary(spark, sf_dir):
-    """Every JSON value type, built from the event."""
+    """The stored JSON of every event, and beside it a body with another type of value."""
     body = F.expr(
-        "CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN concat('{\"k\": ', value, '}')"
+        "CASE event_id % 7 WHEN 0 THEN '{}' WHEN 1 THEN concat('{\"k\": ', value, '}')"
         " WHEN 2 THEN concat('{\"k\": \"', event_id % 3, '\"}')"
         " WHEN 3 THEN concat('{\"k\": ', event_type = 'view', '}')"
         " WHEN 4 THEN '{\"k\": null, \"K\": \"Positive\"}' WHEN 5 THEN '{\"k\": [1]}'"
-        " WHEN 6 THEN concat('{\"k\": 1, \"k\": ', event_id % 5 - 2, '}') ELSE '{}' END"
+        " ELSE concat('{\"k\": 1, \"k\": ', event_id % 5 - 2, '}') END"
+    )
+    events = t.table(spark, sf_dir, "events").select(
+        "event_id", parse_object(F.col("props")).alias("stored"), parse_object(body).alias("other")
+    )
+    return events.select("event_id", *[label_value(F.col(c), F.lit("k")).alias(f"{c}_k") for c in ("stored", "other")])
+
+
+def label_in_force(spark, sf_dir):
+    """Every event with the amount of its user's last purchase at or before it."""
+    events = t.table(spark, sf_dir, "events")
+    calls = events.where("event_type <> 'purchase'").select("event_id", "user_id", "event_type", "ts")
+    states = events.where("event_type = 'purchase'").selectExpr("user_id", "ts", "value AS in_force", "event_id AS state_id")
+    return ops.asof_join(calls, states, "user_id", "ts", ["in_force", "state_id"], ranges=16).drop("ts")
+
+
+def sketched_overlap(spark, sf_dir):
+    """IDs of the truth and of a run that lacks some, counted from sketches stored per part."""
+    folders = []
+    for name, df in (("truth", t.truth(spark, sf_dir)), ("run", t.run(spark, sf_dir, "run1").where("_ord % 3 > 0"))):
+        folders.append(t.scratch(spark, f"sketch-{name}"))
+        parts = ops.id_sketches(df.withColumn("part", F.col("_ord") % 5), ["part"], log_ids=20)
+        sources.write_table(parts, folders[-1])
+    return ops.overlap(*[spark.read.parquet(folder) for folder in folders], log_ids=20)
+
+
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles of event values per type from sketches stored per type and user group; exact at this size."""
+    events = t.table(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 3)
+    folder = t.scratch(spark, "quantiles")
+    sources.write_table(ops.value_sketches(events, "value", ["event_type", "part"], k=65_535), folder)
+    return ops.quantiles(spark.read.parquet(folder), [0.5, 0.9, 0.99], ["event_type"]).withColumnsRenamed(
+        {"q0.5": "q50", "q0.9": "q90", "q0.99": "q99"}
     )
-    events = t.table(spark, sf_dir, "events").select("event_id", parse_object(body).alias("parsed"))
-    return events.select("event_id", label_value(F.col("parsed"), F.lit("k")).alias("k"))
+
+
+def price_table(spark, sf_dir):
+    """Line items as calls of a model per part, priced by a key per part whose price changed once."""
+    lines = t.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "concat('Vendor/MODEL-', l_partkey, if(l_partkey % 3 = 0, '', '-turbo')) AS model",
+        "l_shipdate AS called", "CAST(l_quantity AS BIGINT) * 1000 AS prompt_tokens", "l_suppkey AS completion_tokens",
+    )
+    early, late = "timestamp_ntz '1995-06-17 00:00:00'", "CAST(NULL AS timestamp_ntz)"
+    key, rate = "concat('model-', p_partkey) AS model_key", "(p_partkey % 100) / 8.0D"
+    prices = t.table(spark, sf_dir, "part").selectExpr(key, f"{rate} AS input_per_million", f"{rate} * 4 AS output_per_million", f"{late} AS valid_from", f"{early} AS valid_to")
+    prices = prices.union(
+        t.table(spark, sf_dir, "part").where("p_partkey % 5 > 0").selectExpr(key, f"{rate} / 2 AS input_per_million", f"{rate} AS output_per_million", f"{early} AS valid_from", f"{late} AS valid_to")
+    )
+    return ops.price_usage(lines, prices, at="called").drop("called")
+
+
+MANY_RUNS = [f"m{i}" for i in range(64)]
+
+
+def _many_votes(spark, sf_dir):
+    """64 runs over all documents, side by side."""
+    votes = [f"CAST((doc_id * {i + 3} + n_chars) % 7 < {2 + i % 4} AS INT) AS m{i}__quality" for i in range(64)]
+    votes += [f"CAST((n_chars + {i}) % {2 + i % 9} = 0 AS INT) AS m{i}__toxic" for i in range(64)]
+    return t.table(spark, sf_dir, "documents").selectExpr("doc_id", *votes)
+
+
+def pairwise_agreement_many(spark, sf_dir):
+    words = ops.bit_votes(_many_votes(spark, sf_dir), MANY_RUNS, LABELS)
+    return ops.pairwise_agreement_bits(words, MANY_RUNS).drop("pair_pos", "label_pos")
+
+
+def all_sets_agreement_many(spark, sf_dir):
+    """64 runs whose first labels are alike on most rows."""
+    votes = [f"CAST(n_chars % 5 = 0 OR doc_id % {50 + i} = 0 AS INT) AS m{i}__quality" for i in range(64)]
+    votes += [f"CAST(n_chars % 3 > 0 AND n_chars % {60 + i} > 0 AS INT) AS m{i}__toxic" for i in range(64)]
+    rows = t.table(spark, sf_dir, "documents").selectExpr("doc_id", *votes)
+    words = ops.bit_votes(rows, MANY_RUNS, LABELS)
+    return ops.all_sets_agreement_bits(words, MANY_RUNS, rows.count()).drop("label_pos")
 
 
 def costs(spark, sf_dir):
@@ -647,6 +739,8 @@ QUERIES = {
     "discrepancy_totals": discrepancy_totals,
     "top_discrepancies": top_discrepancies,
     "metrics_mean_std": metrics_mean_std,
+    "compare_many_runs": compare_many_runs,
+    "compare_by_language_and_source": compare_by_language_and_source,
     "metrics_files_mean_std": metrics_files_mean_std,
     "align_runs": align_runs,
     "pairwise_agreement": pairwise_agreement,
@@ -684,6 +778,13 @@ QUERIES = {
     "prompt_messages_one_label": prompt_messages_one_label,
     "parse_responses": parse_responses,
     "normalize_binary": normalize_binary,
+    "label_in_force": label_in_force,
+    "align_runs_stored": align_runs_stored,
+    "sketched_overlap": sketched_overlap,
+    "sketched_quantiles": sketched_quantiles,
+    "price_table": price_table,
+    "pairwise_agreement_many": pairwise_agreement_many,
+    "all_sets_agreement_many": all_sets_agreement_many,
     "estimate_cost": costs,
     "combine_meta": combine_meta,
     "label_reports_multi": label_reports_multi,
