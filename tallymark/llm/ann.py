@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut, spread, whole_ids
 
 #: Vectors the index is fitted on at most, and those of them it is tuned with.
 SAMPLE, TUNING = 8_192, 256
+#: Rows of a length below which they are one cell.
+FITTED = 64
 #: Centroids of each half, at least and at most; cells are the square of it, and
 #: hold about so many entries.
 FEWEST, MOST, FILL = 8, 256, 1_000
@@ -149,84 +151,103 @@ def nearest(
     per query, and these are merged per query with a top-k before the shuffle.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the
-    smaller id. A query is not its own neighbour. Vectors that are null, empty,
-    zero, hold null or non-finite components, or differ in length from the first
-    of the sample take no part, nor do null ids; of rows repeating an id one is
-    taken. With fewer than ``k`` candidates all are returned. Empty tables give an
-    empty result.
+    smaller id. A query is not its own neighbour, but other rows with its id are,
+    also exact repetitions: equal rows are one entry with their number, which is
+    one less for the query's own, and queries that repeat get their rows each.
+    Vectors of different lengths have no product: each length is indexed apart,
+    and one with few rows is a single cell. Vectors that are null, empty, zero, or
+    hold null or non-finite components take no part, nor do null ids; ids that
+    are no integers raise. With fewer than ``k`` candidates all are returned.
+    Empty tables give an empty result.
     """
-    vector, key = F.col(f"`{vector_col}`"), F.col(f"`{id_col}`")
+    vector = F.col(f"`{vector_col}`")
 
     def clean(rows: DataFrame) -> DataFrame:
-        rows = rows.select(key.cast("long").alias("id"), vector.cast("array<double>").alias("vector"))
-        return rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).dropDuplicates(["id"])
+        rows = rows.select(whole_ids(rows, id_col).alias("id"), vector.cast("array<double>").alias("vector"))
+        rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
+        return rows.groupBy("id", "vector").agg(F.count("*").alias("times")).withColumn("own", F.xxhash64("vector"))
 
-    rows = clean(vectors)
-    sample = rows.orderBy(spread(F.col("id")), "id").limit(SAMPLE).select("vector").collect()
-    out = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return vectors.sparkSession.createDataFrame([], out)
-    width = len(sample[0][0])
-    index = fit_index(np.array([r[0] for r in sample if len(r[0]) == width]), k, rows.count())
+    rows = clean(vectors).withColumn("width", F.size("vector"))
+    indexes: dict[int, MultiIndex] = {}
+    for width, many in rows.groupBy("width").count().collect():  # one row per length
+        if many >= FITTED:
+            sample = rows.where(F.col("width") == width).orderBy(spread(F.col("id")), "id", "own").limit(SAMPLE)
+            indexes[width] = fit_index(np.array([r[0] for r in sample.select("vector").collect()]), k, many)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({"cell": index.cells(np.stack(frame["vector"].to_numpy())), "id": frame["id"], "vector": frame["vector"]})
-
-    entries = cut(rows.where(F.size("vector") == width).mapInPandas(place, "cell int, id long, vector array<double>"))
-    counts = entries.groupBy("cell").agg(F.count("*").alias("n")).collect()  # at most MOST^2
-    index.counts = np.zeros_like(index.counts)
+            for width, part in frame.groupby("width"):
+                cells = indexes[width].cells(np.stack(part["vector"].to_numpy())) if width in indexes else 0
+                yield part.assign(cell=cells)[["width", "cell", "id", "own", "times", "vector"]]
+
+    cell = ["width", "cell"]
+    entries = cut(rows.mapInPandas(place, "width int, cell int, id long, own long, times long, vector array<double>"))
+    counts = entries.groupBy(*cell).agg(F.count("*").alias("n")).collect()  # at most MOST^2 for a length, or one
+    for index in indexes.values():
+        index.counts = np.zeros_like(index.counts)
     for row in counts:
-        index.counts.reshape(-1)[row["cell"]] = row["n"]
-    parts = {row["cell"]: -(-row["n"] // ENTRIES) for row in counts}
+        if row["width"] in indexes:
+            indexes[row["width"]].counts.reshape(-1)[row["cell"]] = row["n"]
+    parts = {(row["width"], row["cell"]): -(-row["n"] // ENTRIES) for row in counts}
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["width", "cell", "part", "id", "own", "vector"]
         for frame in frames:
             found: list[tuple] = []
-            for query, values in zip(frame["id"], frame["vector"]):
-                for cell in index.probes(np.asarray(values), k + 1):
-                    found.extend((cell, part, query, values) for part in range(parts[cell]))
+            for query, own, values in zip(frame["id"], frame["own"], frame["vector"]):
+                width = len(values)
+                cells = indexes[width].probes(np.asarray(values), k + 1) if width in indexes else [0]
+                found.extend((width, at, part, query, own, values) for at in cells for part in range(parts.get((width, at), 0)))
             if found:
-                yield pd.DataFrame(found, columns=["cell", "part", "id", "vector"])
+                yield pd.DataFrame(found, columns=names)
 
-    asked = clean(queries).where(F.size("vector") == width)
-    probes = cut(asked.mapInPandas(probe, "cell int, part int, id long, vector array<double>"))
+    asked = cut(clean(queries))
+    probes = cut(asked.mapInPandas(probe, "width int, cell int, part int, id long, own long, vector array<double>"))
     # Queries of one cell are split as well; its entries go to each of the splits.
-    split = probes.groupBy("cell", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("splits"))
-    probes = probes.join(split, ["cell", "part"]).withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
-    sizes = vectors.sparkSession.createDataFrame(list(parts.items()), "cell int, parts int")
-    dealt = entries.join(F.broadcast(sizes), "cell")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.join(split, ["cell", "part"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    split = probes.groupBy(*cell, "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("splits"))
+    probes = probes.join(split, [*cell, "part"]).withColumn("split", F.pmod(F.xxhash64("id", "own"), F.col("splits")).cast("int"))
+    sizes = vectors.sparkSession.createDataFrame([(*at, n) for at, n in parts.items()], "width int, cell int, parts int")
+    dealt = entries.join(F.broadcast(sizes), cell)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "own"), F.col("parts")).cast("int"))
+    dealt = dealt.join(split, [*cell, "part"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    names = {"query_id": "int64", "query_own": "int64", "vec_id": "int64", "score": "float64", "times": "int64"}
 
     def rerank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        entries = entries.sort_values("id", ignore_index=True)
-        ids, values = entries["id"].to_numpy(), np.stack(entries["vector"].to_numpy())
-        questions = np.stack(asked["vector"].to_numpy())
+            return pd.DataFrame({name: [] for name in names}).astype(names)
+        entries = entries.sort_values(["id", "own"], ignore_index=True)
+        ids, owns, times = (entries[name].to_numpy() for name in ("id", "own", "times"))
+        values, questions = np.stack(entries["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
         rough = questions @ values.T
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at, query in enumerate(asked["id"].to_numpy()):
+        kept: list[tuple[np.ndarray, ...]] = []
+        for at, (query, own) in enumerate(zip(asked["id"].to_numpy(), asked["own"].to_numpy())):
             line = rough[at]
             # Ties and the last digits are settled on the exact sums of all that may be among the best.
             near = np.arange(len(line))
             if len(line) > k + 1:
                 floor = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
                 near = np.flatnonzero(line >= floor - 1e-9 * (1.0 + abs(floor)))
-            near = near[ids[near] != query]
+            left = times[near] - ((ids[near] == query) & (owns[near] == own))
+            near, left = near[left > 0], left[left > 0]
             exact = scores(values[near], questions[at])
             best = np.argsort(-exact, kind="stable")[:k]  # ids rise, so ties keep their order
-            kept.append((np.full(len(best), query), ids[near[best]], exact[best]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*kept)))))
+            kept.append((np.full(len(best), query), np.full(len(best), own), ids[near[best]], exact[best], left[best]))
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*kept)))))
 
-    steps = ["cell", "part", "split"]
+    steps = [*cell, "part", "split"]
     found = (
-        dealt.select(*steps, "id", "vector").groupBy(*steps)
-        .cogroup(probes.select(*steps, "id", "vector").groupBy(*steps))
-        .applyInPandas(rerank, "query_id long, vec_id long, score double")
+        dealt.select(*steps, "id", "own", "times", "vector").groupBy(*steps)
+        .cogroup(probes.select(*steps, "id", "own", "vector").groupBy(*steps))
+        .applyInPandas(rerank, "query_id long, query_own long, vec_id long, score double, times long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id")
+    first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    before = F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.least(F.col("times"), k - before)
+    copies = first.withColumn("before", before).withColumn("room", room).where(F.col("room") > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("room").cast("int"))))
+    ranked = copies.withColumn("rank", (F.col("before") + F.col("copy")).cast("int"))
+    again = asked.where("times > 1").select(F.col("id").alias("query_id"), F.col("own").alias("query_own"), F.col("times").alias("asked"))
+    ranked = ranked.join(again, ["query_id", "query_own"], "left")
+    ranked = ranked.withColumn("asked", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("asked"), F.lit(1)).cast("int"))))
     return ranked.select("query_id", "rank", "vec_id", "score")
