@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, finite
 
-#: Numbers in a block of the row matrix: 2 MB.
+#: Numbers in a block of the row matrix: 2 MB. Blocks are made where rows lie, without a shuffle.
 BLOCK = 1 << 18
 #: Integers beyond this count as this, so that sums of four billion rows fit into 64 bits.
 FARTHEST = 2**31
@@ -27,6 +30,60 @@ def _product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
     return BlockMatrix(found, left.rowsPerBlock, right.colsPerBlock)
 
 
+_BLOCKS = T.StructType(
+    [T.StructField("at", T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType())])), T.StructField("m", MatrixUDT())]
+)
+
+
+def _into_blocks(height: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (index, numbers), rising in index and with no block in two tasks, to matrix blocks; absent rows are zero."""
+
+    def block(number: int, values: np.ndarray) -> pa.RecordBatch:
+        at = pa.StructArray.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int64())], ["i", "j"])
+        none = pa.array([None], pa.list_(pa.int32()))
+        ends = pa.array([0, values.size], pa.int32())
+        parts = {
+            "type": pa.array([1], pa.int8()), "numRows": pa.array([len(values)], pa.int32()), "numCols": pa.array([width], pa.int32()),
+            "colPtrs": none, "rowIndices": none, "values": pa.ListArray.from_arrays(ends, pa.array(values.ravel())), "isTransposed": pa.array([True]),
+        }
+        return pa.RecordBatch.from_arrays([at, pa.StructArray.from_arrays(list(parts.values()), list(parts))], ["at", "m"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, values, last = -1, np.zeros((height, width)), 0
+        for batch in batches:
+            index = batch.column(0).to_numpy()
+            numbers = batch.column(1).flatten().to_numpy().reshape(len(index), width)
+            for number in np.unique(index // height).tolist():
+                if number != current:
+                    if current >= 0:
+                        yield block(current, values[: last + 1])
+                    current, values = number, np.zeros((height, width))
+                own = index // height == number
+                places = index[own] % height
+                values[places] = numbers[own]
+                last = int(places.max())
+        if current >= 0:
+            yield block(current, values[: last + 1])
+
+    return work
+
+
+def _out_of_blocks(height: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of one block column to rows (index, numbers)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows, columns = m["numRows"].as_py(), m["numCols"].as_py()
+                order = "C" if m["isTransposed"].as_py() else "F"
+                values = m["values"].values.to_numpy().reshape((rows, columns), order=order)
+                index = pa.array(np.arange(rows) + next(iter(at.values())) * height)
+                ends = pa.array(np.arange(rows + 1, dtype=np.int32) * columns)
+                yield pa.RecordBatch.from_arrays([index, pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(values).ravel()))], ["index", "white"])
+
+    return work
+
+
 def whiten(
     vectors: DataFrame,
     components: int = 8,
@@ -85,18 +142,18 @@ def whiten(
 
     y = F.zip_with("x", F.array(*[F.lit(m).cast("bigint") for m in mean]), lambda x, m: x - m)
     rows = rows.withColumn("y", y).withColumn("part", F.shiftright("place", 33))
-    first, starts = 0, []
+    height = max(1, BLOCK // width)
+    blocks, starts = 0, []
     for part, least, most in rows.groupBy("part").agg(F.min("place"), F.max("place")).orderBy("part").collect():  # one row per task
-        starts.append((part, first - least))
-        first += most - least + 1
+        starts.append((part, blocks * height - least))
+        blocks += -(-(most - least + 1) // height)
     rows = rows.join(F.broadcast(spark.createDataFrame(starts, "part bigint, first bigint")), "part")
     rows = rows.withColumn("index", F.col("first") + F.col("place"))
-
-    height = max(1, BLOCK // width)
     centred = F.zip_with("y", F.array(*[F.lit(t / n) for t in rest]), lambda y, t: y - t)
-    indexed = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector(centred).alias("vector")), "vector")
-    matrix = IndexedRowMatrix(indexed, first, width).toBlockMatrix(height, width)
-    splits = max(1, min(first // height, 16 * spark.sparkContext.defaultParallelism))
+    numbered = rows.select("index", centred.alias("centred")).mapInArrow(_into_blocks(height, width), _BLOCKS)
+    java = callMLlibFunc("createBlockMatrix", numbered, height, width, blocks * height, width)
+    matrix = BlockMatrix(java, height, width).persist(StorageLevel.MEMORY_AND_DISK)
+    splits = max(1, min(blocks, 16 * spark.sparkContext.defaultParallelism))
     covariance = _product(matrix.transpose(), matrix, splits).toLocalMatrix().toArray() / n
     values, directions = np.linalg.eigh((covariance + covariance.T) / 2)
     values, directions = values[::-1], directions[:, ::-1]
@@ -110,8 +167,8 @@ def whiten(
     spread = float(values.sum())
     explained = [float(v) / spread if spread > 0 else None for v in values[:kept]]
 
-    found = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    found = found.toDF("index", "vector").select("index", vector_to_array("vector").alias("white"))
+    found = callMLlibFunc("getMatrixBlocks", projected._java_matrix_wrapper._java_model).toDF("at", "m")
+    found = found.mapInArrow(_out_of_blocks(height), "index bigint, white array<double>")
     real = F.array(*[F.lit(is_real) for is_real in lively])
     whitened = F.zip_with("white", real, lambda w, is_real: F.when(is_real, w))
     return (
