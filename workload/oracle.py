@@ -468,6 +468,12 @@ ORACLE = {
         (SELECT count(*) FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b)) AS ids, 0.0::DOUBLE AS error""",
     "sketched_quantiles": """SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.9) AS q90,
         quantile_disc(value, 0.99) AS q99 FROM events GROUP BY event_type""",
+    "written_results": f"""WITH {DISCREPANCIES}, {_metrics('pair', L)}, counted AS (SELECT Label AS name, count(*) AS wrong FROM wrong GROUP BY ALL)
+      SELECT label, tp, fp, fn, tn, wrong, (SELECT sum(tp)::BIGINT FROM metrics) AS tp_sum
+      FROM metrics LEFT JOIN counted ON label = name""",
+    "metrics_listed_twice": MEAN_STD,
+    "shared_columns": f"""WITH {_pair()}, {_metrics('pair', L)}
+      SELECT * REPLACE (CASE label WHEN 'quality' THEN 'Quality' ELSE label END AS label) FROM metrics""",
     "price_table": """WITH lines AS (SELECT l_orderkey, l_linenumber, l_shipdate AS called, l_suppkey AS completion_tokens,
         concat('Vendor/MODEL-', l_partkey, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE '-turbo' END) AS model,
         l_quantity::BIGINT * 1000 AS prompt_tokens FROM lineitem),

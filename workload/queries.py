@@ -418,6 +418,45 @@ def sketched_quantiles(spark, sf_dir):
     )
 
 
+def written_results(spark, sf_dir):
+    """Discrepancies written as CSV and metrics as Parquet, each replaced once and read again; a summary as JSON."""
+    folder = t.scratch(spark, "results")
+    wrong, metrics = discrepancies(spark, sf_dir), compare_metrics(spark, sf_dir)
+    for rows in (wrong.limit(1), wrong):
+        sources.write_table(rows, f"{folder}/wrong", "csv")
+    for rows in (metrics.limit(1), metrics):
+        sources.write_table(rows, f"{folder}/metrics")
+    sources.write_summary(metrics.agg(F.sum("tp").alias("tp_sum"), F.lit(None).cast("string").alias("note")), f"{folder}/summary")
+    counted = spark.read.option("header", True).csv(f"{folder}/wrong").groupBy("Label").agg(F.count("*").alias("wrong"))
+    summary = spark.read.json(f"{folder}/summary")
+    told = spark.read.parquet(f"{folder}/metrics").withColumnRenamed("label", "name")
+    joined = told.join(counted, F.col("name") == F.col("Label"), "left").select(F.col("name").alias("label"), "tp", "fp", "fn", "tn", "wrong")
+    assert summary.columns == ["tp_sum"]
+    return joined.crossJoin(summary)
+
+
+def metrics_listed_twice(spark, sf_dir):
+    """Metric files named by a list and found by a pattern, some both ways: each counts once."""
+    folder = t.scratch(spark, "listed")
+    for name in RUNS:
+        metrics = ops.compare_metrics(_pair(spark, sf_dir, name), LABELS).drop("label_pos")
+        sources.write_table(metrics.coalesce(1), f"{folder}/{name}", "csv")
+    files = sources.list_files(spark, f"{folder}/**/*.csv")
+    stacked = sources.read_metrics(spark, paths=[*files[:2], files[0]], glob=f"{folder}/**/*.csv")
+    return ops.metrics_mean_std(stacked)
+
+
+def shared_columns(spark, sf_dir):
+    """Labels that runs spelt unlike each other share, after a table that lacks a column is refused."""
+    left = t.truth(spark, sf_dir).withColumnsRenamed({"quality": "Quality"}).withColumn("only here", F.lit(1))
+    right = t.run(spark, sf_dir, "run1").withColumnsRenamed({"toxic": "TOXIC", "VolumeName": "volumename"})
+    try:
+        ops.require_columns(right, ["VolumeName", "Quality"])
+    except ValueError:
+        labels = ops.shared_labels([left, right])
+        return ops.compare_metrics(ops.align_pair(left, right, labels), labels).drop("label_pos")
+
+
 def price_table(spark, sf_dir):
     """Line items as calls of a model per part, priced by a key per part whose price changed once."""
     lines = t.table(spark, sf_dir, "lineitem").selectExpr(
@@ -779,6 +818,9 @@ QUERIES = {
     "parse_responses": parse_responses,
     "normalize_binary": normalize_binary,
     "label_in_force": label_in_force,
+    "written_results": written_results,
+    "metrics_listed_twice": metrics_listed_twice,
+    "shared_columns": shared_columns,
     "align_runs_stored": align_runs_stored,
     "sketched_overlap": sketched_overlap,
     "sketched_quantiles": sketched_quantiles,
