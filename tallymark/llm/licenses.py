@@ -54,6 +54,28 @@ SENTENCES = {
     "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "GPLWarranty",
     "see the gnu general public license for more details": "GPLSee",
     "you should have received a copy of the gnu general public license along with this program": "GPLCopy",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "AGPL3Later",
+    "see the gnu affero general public license for more details": "AGPLSee",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLCopy",
+    "this program is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "LGPL3Later",
+    "this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version": "LGPL3Later",
+    # zlib
+    "this software is provided 'as-is', without any express or implied warranty": "ZlibWarranty",
+    "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented; you must not claim that you wrote the original software": "ZlibOrigin",
+    "altered source versions must be plainly marked as such, and must not be misrepresented as being the original software": "ZlibAltered",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    # Unlicense
+    "this is free and unencumbered software released into the public domain": "UnlicenseHead",
+    "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": "UnlicenseGrant",
+    # Boost
+    "boost software license - version 1.0 - august 17th, 2003": "BoostHead",
+    "distributed under the boost software license, version 1.0": "BoostRef",
+    "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"software\") to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following": "BoostGrant",
+    # Eclipse
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/": "EPL2Terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0": "EPL2Terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html": "EPL1Terms",
     # Mozilla
     "this source code form is subject to the terms of the mozilla public license, v. 2.0": "MPLSubject",
     "if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/": "MPLCopy",
@@ -62,6 +84,12 @@ SENTENCES = {
     "licensed under cc by-nc 4.0": "CCBYNC4Ref",
     "licensed under cc by-sa 4.0": "CCBYSA4Ref",
     "licensed under cc by 4.0": "CCBY4Ref",
+    "licensed under cc by-nd 4.0": "CCBYND4Ref",
+    "licensed under cc by-nc-sa 4.0": "CCBYNCSA4Ref",
+    "licensed under cc by-nc-nd 4.0": "CCBYNCND4Ref",
+    "this work is licensed under a creative commons attribution-noderivatives 4.0 international license": "CCBYND4Ref",
+    "this work is licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license": "CCBYNCSA4Ref",
+    "this work is licensed under a creative commons attribution-noncommercial-noderivatives 4.0 international license": "CCBYNCND4Ref",
     "this work is licensed under a creative commons attribution 4.0 international license": "CCBY4Ref",
     "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "CCBYSA4Ref",
     "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "CCBYNC4Ref",
@@ -96,6 +124,9 @@ RULES = (
     ("Apache-2.0", ("ApacheHead", "ApacheComply", "ApacheCopy")),
     ("Apache-2.0", ("ApacheHead",)),
     ("Apache-2.0", ("ApacheRef",)),
+    ("AGPL-3.0-or-later", ("AGPL3Later", "GPLWarranty", "AGPLSee", "AGPLCopy")),
+    ("AGPL-3.0-or-later", ("AGPL3Later",)),
+    ("LGPL-3.0-or-later", ("LGPL3Later",)),
     ("GPL-3.0-or-later", ("GPL3Later", "GPLWarranty", "GPLSee", "GPLCopy")),
     ("GPL-3.0-or-later", ("GPL3Later",)),
     ("GPL-2.0-or-later", ("GPL2Later", "GPLWarranty", "GPLSee", "GPLCopy")),
@@ -105,25 +136,35 @@ RULES = (
     ("GPL-2.0-only", ("GPL2Ref",)),
     ("MPL-2.0", ("MPLSubject", "MPLCopy")),
     ("MPL-2.0", ("MPLSubject",)),
+    ("Zlib", ("ZlibWarranty", "ZlibGrant", "ZlibOrigin", "ZlibAltered", "ZlibNotice")),
+    ("Zlib", ("ZlibGrant", "ZlibOrigin", "ZlibAltered", "ZlibNotice")),
+    ("Unlicense", ("UnlicenseHead", "UnlicenseGrant")),
+    ("Unlicense", ("UnlicenseHead",)),
+    ("BSL-1.0", ("BoostHead", "BoostGrant")),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("EPL-2.0", ("EPL2Terms",)),
+    ("EPL-1.0", ("EPL1Terms",)),
+    ("CC-BY-NC-SA-4.0", ("CCBYNCSA4Ref",)),
+    ("CC-BY-NC-ND-4.0", ("CCBYNCND4Ref",)),
+    ("CC-BY-ND-4.0", ("CCBYND4Ref",)),
     ("CC-BY-NC-4.0", ("CCBYNC4Ref",)),
     ("CC-BY-SA-4.0", ("CCBYSA4Ref",)),
     ("CC-BY-4.0", ("CCBY4Ref",)),
     ("CC0-1.0", ("CC0Ref",)),
 )
 
-#: Lines a sentence may run over.
-LINES = 16
-#: Characters a holder's name and what follows it may have.
-MOST_HELD = 600
-#: One of these is in every known sentence and tag, so texts without one have none.
-ANCHORS = ("license", "permission", "warrant", "liable", "redistribut", "free software", "the mpl", "endorse")
+#: One of these is in every known sentence and tag, within a word, so texts without one have none.
+ANCHORS = ("license", "permission", "warrant", "liable", "redistribut", "mpl", "endorse", "misrepresented", "altered", "unencumbered", "binary")
 _ANCHOR = re.compile("|".join(ANCHORS))
 _MARKS = re.compile(r"""^(?:[\s#*/%;>|!-]|<!--|<%--|\(\*|\{[-#*]|\"{3}|'{3}|'(?=\s)|@?rem\s|dnl\s)+""", re.IGNORECASE)
 #: Marks that close a comment end a piece wherever they stand; others only at the end of a line.
 _CLOSED = re.compile(r"""\*+/|-+->|-+%>|\*+\)|[-#*]\}|\"{3}|'{3}|\s[#*|]+\s*$""")
 _ITEM = re.compile(r"^(?:\d+\.|\([a-z\d]\)|[-*])\s+")
 _SPACE = re.compile(r"\s+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
+#: Sentences may end here; a known sentence that goes on is followed over it.
+_SENTENCE = re.compile(r"(?<=[.!?;:])(?<!(?i:identifier:))\s+(?=\S)")
+_ENDS = " .,:;!?"
 _TAG = "spdx-license-identifier:"
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 
@@ -132,7 +173,7 @@ def normal(sentence: str) -> str:
     """Lower case, single spaces, plain quotes, no list marks, no punctuation at the ends."""
     plain = sentence.replace("“", '"').replace("”", '"').replace("''", '"').replace("``", '"')
     plain = _SPACE.sub(" ", plain.lower()).strip()
-    return _ITEM.sub("", plain).strip(" .,:;!?")
+    return _ITEM.sub("", plain).strip(_ENDS)
 
 
 @dataclass(frozen=True)
@@ -144,45 +185,148 @@ class Found:
     unmatched: list[str]
 
 
-def expression(plain: str) -> list[str]:
-    """Licences and exceptions of an SPDX tag in normal form, in order; none if it is not one expression."""
-    if not plain.startswith(_TAG):
-        return []
-    found, depth, operand = [], 0, True  # operand: a licence or an opening bracket comes next
-    after_with = ended_with = False
-    for token in _TOKEN.findall(plain[len(_TAG) :]):
-        if operand and token == "(" and not after_with:
-            depth += 1
-        elif operand and token not in ("(", ")", "and", "or", "with"):
-            found.append(f"SPDX:{token.upper()}")
-            operand, after_with, ended_with = False, False, after_with
-            bare = True
-        elif not operand and token == ")" and depth:
-            depth, bare = depth - 1, False
-        elif not operand and token in ("and", "or"):
-            operand = True
-        elif not operand and token == "with" and bare and not ended_with:
-            operand = after_with = True
+class Expression:
+    """An SPDX expression, read token by token: licences and exceptions in order."""
+
+    def __init__(self) -> None:
+        self.found: list[str] = []
+        self.depth, self.operand = 0, True  # operand: a licence or an opening bracket comes next
+        self.after_with = self.ended_with = self.bare = False
+
+    def take(self, token: str) -> bool:
+        """Whether the expression can go on with ``token``."""
+        if self.operand and token == "(" and not self.after_with:
+            self.depth += 1
+        elif self.operand and token not in ("(", ")", "and", "or", "with"):
+            self.found.append(f"SPDX:{token.upper()}")
+            self.operand, self.after_with, self.ended_with, self.bare = False, False, self.after_with, True
+        elif not self.operand and token == ")" and self.depth:
+            self.depth, self.bare = self.depth - 1, False
+        elif not self.operand and token in ("and", "or"):
+            self.operand = True
+        elif not self.operand and token == "with" and self.bare and not self.ended_with:
+            self.operand = self.after_with = True
         else:
-            return []
-    return [] if depth or operand else found
+            return False
+        return True
 
+    @property
+    def whole(self) -> bool:
+        """Whether it may end here."""
+        return bool(self.found) and not self.depth and not self.operand
 
-def holder_sentence(plain: str) -> str | None:
-    """Identifier of a sentence of ``HOLDER`` that names any holder."""
-    for start, rest, name in _HELD:
-        if plain.startswith(start) and rest.fullmatch(plain, len(start)):
-            return name
-    return None
 
+@dataclass
+class Words:
+    """Words of a text in normal form, where pieces and paragraphs start, and the words that end pieces."""
 
-def goes_on(plain: str) -> bool:
-    """Whether more pieces may make ``plain`` a known sentence or a whole tag."""
-    if plain in _BEGINNINGS or any(b.startswith(plain) for b in _STARTS.get(plain[:12], ())):
-        return True
-    if plain.startswith(_TAG):
-        return plain.count("(") > plain.count(")")
-    return any(start.startswith(plain) or plain.startswith(start) and len(plain) < len(start) + MOST_HELD for start, _, _ in _HELD)
+    words: list[str]
+    starts: list[int]
+    paragraphs: list[int]  # of each start
+    ends: set[int]
+
+
+def split_words(text: str) -> Words:
+    """Words of all pieces: text between line ends, comment marks, and ends of sentences."""
+    out = Words([], [], [], set())
+    paragraph = 0
+    for line in text.split("\n"):
+        blank = True
+        for part in _CLOSED.split(line):
+            bare = _MARKS.sub("", part).strip()
+            for piece in _SENTENCE.split(bare) if bare else ():
+                plain = piece.replace("“", '"').replace("”", '"').replace("''", '"').replace("``", '"').lower()
+                words = _ITEM.sub("", _SPACE.sub(" ", plain).strip()).split(" ")
+                blank = False
+                out.starts.append(len(out.words))
+                out.paragraphs.append(paragraph)
+                out.words += words
+                out.ends.add(len(out.words) - 1)
+        paragraph += blank
+    return out
+
+
+def _trie(sentences: dict[str, str]) -> dict:
+    """Known sentences word by word; the identifier stands under the empty word."""
+    root: dict = {}
+    for sentence, name in sentences.items():
+        node = root
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = name
+    return root
+
+
+_KNOWN = _trie(SENTENCES)
+_HELD = [(start.strip().split(" "), re.compile(rest.strip()), name) for start, rest, name in HOLDER]
+
+
+def known_sentence(text: Words, at: int) -> tuple[int, str] | None:
+    """End and identifier of the longest known sentence that starts at a word and ends where a piece does."""
+    node, best = _KNOWN, None
+    for i in range(at, len(text.words)):
+        word = text.words[i].lstrip(_ENDS) if i == at else text.words[i]
+        if i in text.ends:
+            last = node.get(word.rstrip(_ENDS))
+            if last is not None and "" in last:
+                best = i + 1, last[""]
+        node = node.get(word)
+        if node is None:
+            break
+    return best
+
+
+def held_sentences(text: Words) -> dict[int, tuple[int, str]]:
+    """By start: end and identifier of sentences of ``HOLDER``, whatever they put for the holder.
+
+    A name lies between the words before it and the first that follow it, in one
+    paragraph and before the next such beginning; so each word is looked at once
+    per known sentence.
+    """
+    out: dict[int, tuple[int, str]] = {}
+    stops = [*text.starts[1:], len(text.words)]
+    last_of: dict[int, int] = dict(zip(text.paragraphs, stops))  # the end of each paragraph
+    for first, rest, name in _HELD:
+        begun = [(s, p) for s, p in zip(text.starts, text.paragraphs) if text.words[s : s + len(first)] == first]
+        for n, (start, paragraph) in enumerate(begun):
+            stop = last_of[paragraph]
+            if n + 1 < len(begun):
+                stop = min(stop, begun[n + 1][0])
+            begin = start + len(first)
+            if stop - begin < 2:
+                continue
+            flat = " ".join(text.words[begin:stop])
+            offsets = {0: begin}
+            where = 0
+            for i in range(begin, stop):
+                where += len(text.words[i]) + 1
+                offsets[where] = i + 1
+            for found in rest.finditer(flat):
+                end = found.end() + len(flat[found.end() :]) - len(flat[found.end() :].lstrip(_ENDS[1:]))
+                after = offsets.get(end + 1)
+                if found.start() > 0 and found.start() in offsets and after is not None and after - 1 in text.ends:
+                    if start not in out or out[start][0] < after:
+                        out[start] = after, name
+                    break
+    return out
+
+
+def tag(text: Words, at: int) -> tuple[int, list[str]] | None:
+    """End and identifiers of an SPDX tag at a word; the longest whole expression that ends where a piece does."""
+    if text.words[at] != _TAG and not text.words[at].startswith(_TAG):
+        return None
+    read, best = Expression(), None
+    for i in range(at, len(text.words)):
+        word = text.words[i].removeprefix(_TAG) if i == at else text.words[i]
+        ending = i in text.ends
+        tokens = _TOKEN.findall(word.rstrip(_ENDS) if ending else word)
+        if not all(read.take(token) for token in tokens):
+            break
+        if ending and read.whole:
+            best = i + 1, list(read.found)
+        if ending and not read.depth:
+            break  # only brackets go on over the end of a piece
+    return best
 
 
 def identify(text: str) -> list[str]:
@@ -192,47 +336,32 @@ def identify(text: str) -> list[str]:
     of ``HOLDER``. An SPDX tag gives an identifier for each licence and exception
     of its expression (AND, OR, WITH, brackets, which may run over lines).
 
-    Text is cut at sentence ends and line ends. From each piece on, the longest
-    run of pieces that is a known sentence counts; a run may pass line ends, and
-    sentence ends only where the known sentence has one inside.
+    Text is cut at line ends and where sentences may end. From the start of each piece
+    its words are followed in a trie of the known sentences, over as many
+    pieces as these have words for; the longest that ends where a piece does
+    counts, however the text is wrapped.
     """
     if not _ANCHOR.search(text.lower()):
         return []
-    pieces: list[str] = []
-    for line in text.split("\n"):
-        for part in _CLOSED.split(line):
-            bare = _MARKS.sub("", part).strip()
-            if bare:
-                pieces += _SENTENCE.split(bare)
-    found, at = [], 0
-    while at < len(pieces):
-        taken, run = 0, ""
-        for size in range(1, min(LINES, len(pieces) - at) + 1):
-            run = f"{run} {pieces[at + size - 1]}" if run else pieces[at]
-            if len(run) > 1_000:
-                break
-            plain = normal(run)
-            name = SENTENCES.get(plain) or holder_sentence(plain)
-            names = [name] if name else expression(plain)
-            if names:
-                taken, known = size, names
-            if not goes_on(plain):
-                break
-        if taken:
-            found += known
-        at += max(1, taken)
+    split = split_words(text)
+    held = held_sentences(split)
+    found: list[str] = []
+    free = 0
+    for at in split.starts:
+        if at < free:
+            continue
+        sentence, named = known_sentence(split, at), held.get(at)
+        if named and (sentence is None or named[0] > sentence[0]):
+            sentence = named
+        if sentence:
+            free = sentence[0]
+            found.append(sentence[1])
+        elif spdx := tag(split, at):
+            free = spdx[0]
+            found += spdx[1]
     return found
 
 
-#: Known sentences by how they begin, to stop a run that can no longer become one.
-_STARTS: dict[str, list[str]] = {}
-for _sentence in SENTENCES:
-    for _size in range(1, 13):
-        _STARTS.setdefault(_sentence[:_size], []).append(_sentence)
-_BEGINNINGS = frozenset(SENTENCES)
-_HELD = [(start, re.compile(rf"(?!.*{re.escape(start)}).{{1,200}}?{rest}"), name) for start, rest, name in HOLDER]
-
-
 def match(identifiers: list[str]) -> Found:
     """Apply the rules in order, each to every place where its whole sequence stands."""
     hits: list[tuple[int, str]] = [(i, name[5:]) for i, name in enumerate(identifiers) if name.startswith("SPDX:")]

@@ -1,6 +1,9 @@
 """Classifiers, licences, mixing and vector operators against plain versions, and their edge cases."""
 
 import math
+import random
+import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +16,7 @@ from tallymark.llm import embedding_dedup, queries
 from tallymark.llm.ann import MultiIndex, fit_index, nearest
 from tallymark.llm.embedding_dedup import filters_of, make_codes, near_vectors, unit
 from tallymark.llm.labelled import training_texts
-from tallymark.llm.licenses import ANCHORS, SENTENCES, identify, match, scan_licenses
+from tallymark.llm.licenses import ANCHORS, RULES, SENTENCES, identify, match, scan_licenses
 from tallymark.llm.mixing import mix, plan_mixture
 from tallymark.llm.quality import CHUNK, WIDTH, ByteNetwork, chunk_starts, score_quality
 from tallymark.llm.toxicity import Letters, keep_harmless, letter_counts, score_toxicity
@@ -168,6 +171,63 @@ THE SOFTWARE IS PROVIDED "AS IS" AND ISC DISCLAIMS ALL WARRANTIES WITH REGARD TO
     assert match(identify(isc)).licenses == ["ISC"]
 
 
+def plain_identify(text):
+    """Every run of words at a line start or sentence end that is a known sentence, tried one by one; the longest."""
+    words, starts, ends = [], [], set()
+    for line in text.split("\n"):
+        for piece in re.split(r"(?<=[.!?;:])\s+", re.sub(r"^[\s*#/]+", "", line).strip().lower()):
+            if piece:
+                starts.append(len(words))
+                words += piece.split()
+                ends.add(len(words))
+    found, free = [], 0
+    for start in starts:
+        runs = [(end, SENTENCES.get(" ".join(words[start:end]).strip(" .,:;!?"))) for end in sorted(ends) if end > start]
+        runs = [(end, name) for end, name in runs if name]
+        if start >= free and runs:
+            free, name = runs[-1]
+            found.append(name)
+    return found
+
+
+KNOWN = {name: sentence for sentence, name in SENTENCES.items()}
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda rule: f"{rule[0]}-{len(rule[1])}")
+def test_every_license_is_found_however_it_is_wrapped(rule):
+    license_name, sequence = rule
+    sentences = [KNOWN[name][0].upper() + KNOWN[name][1:] + "." for name in sequence]
+    assert match(identify(" ".join(sentences))).licenses == [license_name]
+    for width in (20, 24, 40, 80, 200):
+        wrapped = [textwrap.wrap(s, width, break_long_words=False, break_on_hyphens=False) for s in sentences]
+        text = "/*\n" + "\n *\n".join("\n".join(f" * {line}" for line in lines) for lines in wrapped) + "\n */\nint main;\n"
+        found = match(identify(text))
+        assert found.licenses == [license_name] and found.unmatched == []
+        assert found.identifiers == plain_identify(text)
+
+
+def test_licenses_without_caps():
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    assert identify(apache) == ["ApacheHead", "ApacheComply"] and match(identify(apache)).licenses == ["Apache-2.0"]
+    name = "The Very Long Holder Inc. and Others, Ltd. " * 60
+    clause = f"Neither the name of {name}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert identify(clause) == identify("\n".join(textwrap.wrap(clause, 30))) == ["BSDEndorse"]
+    # A name does not go on over a blank line, nor over another such beginning.
+    assert identify(clause.replace("Others", "\n\nOthers", 1)) == []
+    text = random.Random(4)
+    sentences = [*SENTENCES, "some other words about a license", "no warranty here"]
+    for _ in range(30):
+        body = " ".join(text.choice(sentences) + text.choice([".", ";", "\n", ".\n\n"]) for _ in range(12))
+        assert identify(body) == plain_identify(body)
+
+
+@pytest.mark.parametrize("unit", ["neither the name of x ", "license ( ", "SPDX-License-Identifier: (a or ", "in no event shall\n", "permission is hereby granted, free of charge, to any person obtaining a copy of\n"])
+def test_long_texts_take_linear_time(unit):
+    started = time.perf_counter()
+    identify(unit * (400_000 // len(unit)))
+    assert time.perf_counter() - started < 3
+
+
 def test_license_scan_of_all_documents(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op5_license_scan"](spark, MORE).collect()}
     lines = {
@@ -366,25 +426,59 @@ ODD_VECTORS = [
 ]
 
 
-def plain_nearest(ids, values, query, k):
-    at = {i: v for i, v in zip(ids, values)}
-    scored = sorted(((-float(np.dot(at[query], v)), i) for i, v in at.items() if i != query))
-    return [(rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+def plain_rows(rows, query, k):
+    """Ranks, ids and scores of all rows but the one at position ``query``."""
+    at = np.array(rows[query][1])
+    scored = [(-float((np.array(v) * at).sum()), i) for n, (i, v, _) in enumerate(rows) if n != query and len(v) == len(at)]
+    return [(rank + 1, i, -score) for rank, (score, i) in enumerate(sorted(scored)[:k])]
 
 
 def test_nearest_odd_rows(spark):
     table = vectors_of(spark, ODD_VECTORS)
     rows = nearest(table, table.where("vec_id % 20 = 0")).collect()  # more than there are
-    good = {i: np.array(v, np.float32).astype(float) for i, v, _ in ODD_VECTORS if i in (7, 8, 9, 10, 11, 12, 14, 20, 40)}
+    # Each of the two equal rows 7 is a row; number 13 is of another length.
+    good = [(i, np.array(v, np.float32).astype(float), None) for i, v, _ in ODD_VECTORS if i in (7, 8, 9, 10, 11, 12, 14, 20, 40)]
     found = defaultdict(list)
     for r in rows:
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(found) == {20, 40}
     for query, got in found.items():
-        assert sorted(got) == plain_nearest(list(good), list(good.values()), query, 20)
+        at = next(n for n, (i, _, _) in enumerate(good) if i == query)
+        assert sorted(got) == plain_rows(good, at, 20)
     assert nearest(table.limit(0), table.limit(0)).collect() == []
 
 
+def test_nearest_counts_every_row_and_keeps_lengths_apart(spark):
+    """Ids that repeat with equal and other vectors, and vectors of three lengths in one table."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(150)]
+    rows += [(i, rng.normal(size=4).tolist(), 0) for i in range(0, 60)] + [(40, rows[40][1], 0)] * 2 + [(33, rows[33][1], 0)] * 3
+    rows += [(200 + i, rng.normal(size=3).tolist(), 0) for i in range(100)] + [(300, [1.0, 2.0], 0), (320, [3.0, 1.0], 0), (340, [1.0] * 7, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = defaultdict(list)
+    for r in nearest(table, table.where("vec_id % 20 = 0"), k=250).collect():  # more than there are: all cells are seen
+        found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    expected = defaultdict(list)
+    for n, (i, _, _) in enumerate(rows):
+        if i % 20 == 0:
+            expected[i] += plain_rows(rows, n, 250)
+    assert set(found) == {i for i in expected if expected[i]}
+    for i, got in found.items():
+        assert [(a, b) for a, b, _ in sorted(got)] == [(a, b) for a, b, _ in sorted(expected[i])]
+        assert np.allclose([c for *_, c in sorted(got)], [c for *_, c in sorted(expected[i])], rtol=1e-12, atol=1e-12)
+    with pytest.raises(ValueError, match="integers"):
+        nearest(table.withColumn("vec_id", F.col("vec_id").cast("string")), table)
+
+
+def test_one_odd_vector_changes_no_other_row(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label")
+    before = {tuple(r) for r in nearest(table, table.where("vec_id % 20 = 0"), k=5).collect()}
+    odd = spark.createDataFrame([(i, [1.0, 2.0, 3.0], 0) for i in range(-7, 0)], table.schema)
+    both = table.union(odd)
+    after = {tuple(r) for r in nearest(both, both.where("vec_id % 20 = 0 and vec_id >= 0"), k=5).collect()}
+    assert after == before
+
+
 def test_nearest_recall_and_ties(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     copies = table.where("vec_id < 60").withColumn("vec_id", F.col("vec_id") + 1_000_000)
@@ -473,6 +567,24 @@ def clusters():
     return [(int(i), [float(x) for x in v], int(i % 2 == 0 and i < 300 and i > 200)) for i, v in enumerate(values.astype(np.float32))]
 
 
+@pytest.mark.parametrize("sizes", [(1, 2, 3), (4, 5, 8), (12, 15, 16)])
+def test_no_link_is_lost_with_few_dimensions(spark, sizes):
+    """Vectors of several lengths in one table, against all pairs."""
+    rng = np.random.default_rng(sum(sizes))
+    rows, expected = [], Counter()
+    for size in sizes:
+        centres = rng.normal(size=(40, size))
+        values = centres[rng.integers(0, 40, 300)] + rng.normal(size=(300, size)) * 0.25
+        labels, first = rng.integers(0, 3, 300), len(rows)
+        units = unit(values)
+        linked = (units @ units.T >= 0.93) & (labels[:, None] == labels[None, :])
+        np.fill_diagonal(linked, False)
+        expected.update({first + i: int(n) for i, n in enumerate(linked.sum(axis=1))})
+        rows += [(first + i, v.tolist(), int(label)) for i, (v, label) in enumerate(zip(values, labels))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r["row"]["vec_id"]: r["n_links"] for r in near_vectors(table, least=0.93).collect()} == expected
+
+
 @pytest.mark.parametrize("block", [2048, 40])
 def test_near_vectors_of_clusters(spark, clusters, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
