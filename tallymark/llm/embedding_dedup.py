@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .common import blocks, cut, in_runs
+from .common import blocks, cut, in_runs, whole_ids
 from .components import connect, merge
 
 #: Independent codes, parts of a vector.
@@ -24,8 +24,11 @@ WORDS, FEWEST_WORDS = 256, 64
 FILTERS, LEAST = 50, 3
 #: Vectors of a filter that are compared at once, and vectors decoded at once.
 BLOCK, BATCH = 2_048, 512
-#: Filters with more vectors than this are compared by matrix products.
-SMALL = 32
+#: Filters with more vectors than this are compared by matrix products, so many filters at once.
+SMALL, COLUMNS = 32, 2_048
+#: With fewer dimensions the caps of a code leave gaps, or tie by the hundred; filters are then boxes of
+#: the first turned coordinates.
+FEW_DIMENSIONS, SIDES = 16, 6
 SEED = 23
 
 
@@ -91,14 +94,32 @@ def filters_of(units: np.ndarray, codes: list[ProductCode]) -> list[np.ndarray]:
     return found
 
 
+def boxes_of(units: np.ndarray, least: float) -> list[np.ndarray]:
+    """Sorted numbers of the boxes a unit vector may share with one of cosine ``least`` or more; none is lost.
+
+    Boxes are as wide as such vectors can be apart, and a vector is in all that come within half
+    of that: two of them are both in the box of the point between them.
+    """
+    count, dimensions = units.shape
+    turned = units @ np.linalg.qr(np.random.default_rng(SEED).normal(size=(dimensions, dimensions)))[0]
+    width = max(np.sqrt(max(0.0, 2.0 - 2.0 * least)), 1e-3) * (1 + 1e-9)
+    many = int(2 / width) + 4  # boxes along a side, from just below -1 on
+    sides = min(SIDES, dimensions, int(62 / np.log2(many)))
+    numbers = np.zeros((count, 1), np.int64)
+    for side in turned.T[:sides]:
+        ends = np.stack([np.floor((side + shift) / width) for shift in (1 - width / 2, 1 + width / 2)], axis=1).astype(np.int64) + 1
+        numbers = (numbers[:, :, None] * many + ends[:, None, :]).reshape(count, -1)
+    return [np.unique(row) for row in numbers]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length one; scaled first, so that squares stay finite."""
     vectors = vectors / np.abs(vectors).max(axis=-1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(axis=-1, keepdims=True))
 
 
-def small_pairs(bucket: np.ndarray, units: np.ndarray, filters: list[np.ndarray], current: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of rows in runs of equal ``bucket``, each only in the first filter both have."""
+def small_pairs(bucket: np.ndarray, units: np.ndarray, smaller: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows in runs of equal ``bucket``, without those that share a ``smaller`` filter."""
     left, right = [], []
     for step in range(1, len(bucket)):
         at = np.flatnonzero(bucket[step:] == bucket[:-step])
@@ -111,22 +132,30 @@ def small_pairs(bucket: np.ndarray, units: np.ndarray, filters: list[np.ndarray]
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     left, right = np.concatenate(left), np.concatenate(right)
-    first = np.fromiter(
-        (np.intersect1d(filters[i], filters[j], assume_unique=True)[0] for i, j in zip(left, right)), np.int64, len(left)
-    )
-    return left[first == current[left]], right[first == current[right]]
+    first = np.fromiter((not len(np.intersect1d(smaller[i], smaller[j], assume_unique=True)) for i, j in zip(left, right)), bool, len(left))
+    return left[first], right[first]
 
 
-def large_pairs(units: np.ndarray, filters: list[np.ndarray], current: int, least: float) -> np.ndarray:
-    """Matrix of linked pairs of one filter, without those that share a smaller filter."""
+def large_pairs(units: np.ndarray, smaller: list[np.ndarray], least: float) -> np.ndarray:
+    """Matrix of linked pairs of one filter, without those that share a ``smaller`` filter.
+
+    Filters that two of the vectors have are looked at some thousand at a time.
+    """
     linked = units @ units.T >= least
-    smaller = [f[f < current] for f in filters]
-    names, column = np.unique(np.concatenate(smaller), return_inverse=True)
-    if len(names):
-        has = np.zeros((len(units), len(names)), np.float32)
-        has[np.repeat(np.arange(len(units)), [len(s) for s in smaller]), column] = 1.0
-        linked &= has @ has.T == 0
     np.fill_diagonal(linked, False)
+    names, column, times = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(units)), [len(s) for s in smaller])
+    place = np.cumsum(times > 1) - 1  # of the filters held twice or more
+    row, column = row[times[column] > 1], place[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(place[-1]) + 1 if len(names) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(units), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - start] = 1.0
+        linked &= has @ has.T == 0
+        if not linked.any():
+            break
     return linked
 
 
@@ -140,8 +169,8 @@ def near_vectors(
     """Links and component of every vector, between equal labels with cosine >= ``least``.
 
     Equal vectors of a label are one class with a count, named by its smallest
-    id. Each class is decoded to the spherical-cap filters it exceeds, classes
-    meet in the filters they share (blocks of them where a filter has many), and
+    id. Each class is decoded to the spherical-cap filters it exceeds (or, under 16
+    dimensions, to boxes that lose no link), classes meet in the filters they share (blocks of them where a filter has many), and
     cosines are verified in double precision. A pair counts in the first filter
     it shares only, so links are summed per vector without listing pairs, and a
     block passes on no more than one link per vector to the components.
@@ -161,7 +190,7 @@ def near_vectors(
     joined = F.to_json(F.struct(label, exact))
     rows = vectors.select(
         F.struct(*[F.col(f"`{c}`") for c in vectors.columns]).alias("row"),
-        key.cast("long").alias("id"),
+        whole_ids(vectors, id_col).alias("id"),
         F.when(good, F.md5(joined.cast("binary"))).alias("of"),
         label.cast("string").alias("label"),
         exact.alias("vector"),
@@ -180,14 +209,18 @@ def near_vectors(
         for frame in frames:
             sizes = frame["vector"].str.len()
             for size, part in frame.groupby(sizes, sort=False):
-                if size not in codes:
-                    codes[size] = make_codes(size, number)
                 units = unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+                if size < FEW_DIMENSIONS:
+                    filters = boxes_of(units, least)
+                else:
+                    if size not in codes:
+                        codes[size] = make_codes(size, number)
+                    filters = filters_of(units, codes[size])
                 yield pd.DataFrame(
                     {
                         "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(),
                         "label": part["label"].to_numpy() + f" {size}",
-                        "unit": [u.tobytes() for u in units], "filters": filters_of(units, codes[size]),
+                        "unit": [u.tobytes() for u in units], "filters": filters,
                     }
                 )
 
@@ -195,13 +228,15 @@ def near_vectors(
     slim = decoded.select("label", F.explode("filters").alias("filter"), F.col("rep").alias("member"))
     meeting = blocks(slim, ["label", "filter"], F.col("member"), BLOCK)
     meeting = meeting.join(decoded.select("rep", "n", "unit", "filters"), F.col("member") == F.col("rep")).drop("member")
+    # A pair counts in the first filter it shares: only the filters before this one are looked at.
+    meeting = meeting.withColumn("filters", F.filter("filters", lambda f: f < F.col("filter")))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["label", "filter", "lo", "hi", "rep"], ignore_index=True)
         bucket = frame.groupby(["label", "filter", "lo", "hi"], sort=False).ngroup().to_numpy()
         reps, n = frame["rep"].to_numpy(), frame["n"].to_numpy()
         chunk, lo, hi = (frame[c].to_numpy() for c in ("chunk", "lo", "hi"))
-        filters, current = frame["filters"].to_numpy(), frame["filter"].to_numpy()
+        smaller = frame["filters"].to_numpy()
         links, labels = np.zeros(len(frame), np.int64), np.arange(len(frame))
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         sizes = np.diff(np.append(starts, len(bucket)))
@@ -217,7 +252,7 @@ def near_vectors(
             width = frame["unit"].iloc[at].str.len().to_numpy()
             for one in np.unique(width):
                 part = at[width == one]
-                left, right = small_pairs(bucket[part], units_of(part), filters[part], current[part], least)
+                left, right = small_pairs(bucket[part], units_of(part), smaller[part], least)
                 left, right = part[left], part[right]
                 np.add.at(links, left, n[right])
                 np.add.at(links, right, n[left])
@@ -228,7 +263,7 @@ def near_vectors(
             few(np.flatnonzero(few_rows))
         for start, size in zip(starts[~few_rows[starts]], sizes[~few_rows[starts]]):
             at = np.arange(start, start + size)
-            linked = large_pairs(units_of(at), filters[at], current[start], least)
+            linked = large_pairs(units_of(at), smaller[at], least)
             if lo[start] != hi[start]:  # pairs of one chunk meet in that chunk's own block
                 linked &= chunk[at][:, None] != chunk[at][None, :]
             links[at] += linked @ n[at]
