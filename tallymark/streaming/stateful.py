@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -16,15 +15,25 @@ from ..functions.costs import Pricing
 from ..functions.prompts import PromptSpec, user_message, user_message_for
 from ..functions.text import report_hash
 from ..operators.columns import ID, ORDER, canonical_id, col, require_columns, run_columns
-from ..operators.labeling import CALL_SCHEMA, ModelFactory, caller, collect_labels, leading_by_label, with_answers
+from ..operators.labeling import ModelFactory, caller, collect_labels, leading_by_label
 
 BATCH = "batch_id"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# Frames of a stateful operator rename columns that start with an underscore.
 _REPORTS = f"place bigint, {ID} string, report_hash string, users array<string>"
-_COLUMNS = ["place", ID, "report_hash", "users"]
-_SLIM = _COLUMNS[:3]
+_REPORT = Row("place", ID, "report_hash", "users")
+# A report leaves Python as one row; its calls are told apart by Spark.
+_ANSWERED = f"place bigint, {ID} string, report_hash string, reuse string, outcomes string"
+_ANSWER = Row("place", ID, "report_hash", "reuse", "outcomes")
+_NUMBERS = ("prompt_tokens", "completion_tokens", "reported_total", "retry_count", "messages_count")
+_TEXTS = (
+    "outcome", "content", "finish_reason", "call_error", "request_id",
+    "model_version", "started_at_utc", "ended_at_utc",
+)
+_OUTCOMES = (
+    f"array<struct<{', '.join(f'{n}: bigint' for n in _NUMBERS)}, {', '.join(f'{n}: string' for n in _TEXTS)},"
+    " latency_seconds: double, tool_calls_present: boolean>>"
+)
 
 
 class _FirstOfId(StatefulProcessor):
@@ -33,20 +42,18 @@ class _FirstOfId(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "was boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         if key[1]:  # without an ID it is no one's repetition
-            for frame in rows:
-                yield frame[_COLUMNS]
+            for row in rows:
+                yield _REPORT(row.place, row[ID], row.report_hash, row.users)
             return
         known, first = self.seen.exists(), None
-        for frame in rows:  # to their end, also if none is wanted
-            if not known:
-                row = frame.nsmallest(1, "place")
-                if first is None or row["place"].iloc[0] < first["place"].iloc[0]:
-                    first = row
+        for row in rows:  # to their end, also if none is wanted
+            if not known and (first is None or row.place < first.place):
+                first = row
         if first is not None:
             self.seen.update((True,))
-            yield first[_COLUMNS]
+            yield _REPORT(first.place, first[ID], first.report_hash, first.users)
 
     def close(self) -> None:
         pass
@@ -63,49 +70,67 @@ class _AnswerOfText(StatefulProcessor):
         self.answers = handle.getValueState("answers", "outcomes string")
         self.ask = None
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         if key[1]:  # a blank report: one skipped row, no call
-            for frame in rows:
-                outcomes = [{"outcome": "skipped", "messages_count": 0}] * len(frame)
-                yield self._calls(frame[_SLIM].assign(label_pos=0, label=self.names[0]), outcomes, "none")
+            skipped = _packed([{"outcome": "skipped", "messages_count": 0}])
+            for row in rows:
+                yield _ANSWER(row.place, row[ID], row.report_hash, "none", skipped)
             return
-        held = json.loads(self.answers.get()[0]) if self.answers.exists() else None
-        users, slim = None, []
-        for frame in rows:  # equal texts: one is kept
-            users = frame["users"].iloc[0] if users is None else users
-            slim.append(frame[_SLIM])
-        reports = pd.concat(slim).sort_values("place", ignore_index=True)
-        asking = 0
-        while held is None and asking < len(reports):
+        known = self.answers.get()
+        held = known[0] if known else None
+        users, reports = None, []
+        for row in rows:  # equal texts: one is kept
+            users = row.users if users is None else users
+            reports.append((row.place, row[ID], row.report_hash))
+        reports.sort(key=lambda report: report[0])
+        for report in reports:
+            if held is not None:
+                yield _ANSWER(*report, "hash", held)
+                continue
             outcomes = [self._ask(name, user) for name, user in zip(self.names, users)]
+            packed = _packed(outcomes)
             if all(o["outcome"] == "answered" for o in outcomes):
-                held = outcomes
-                self.answers.update((json.dumps(held),))
-            yield self._rows(reports.iloc[asking : asking + 1], outcomes, "none")
-            asking += 1
-        if asking < len(reports):
-            yield self._rows(reports.iloc[asking:], held, "hash")
+                held = packed
+                self.answers.update((held,))
+            yield _ANSWER(*report, "none", packed)
 
     def _ask(self, label: str, user: str) -> dict[str, Any]:
         if self.ask is None:
             self.ask = caller(*self.setting)
         return self.ask(label, user)
 
-    def _rows(self, reports: pd.DataFrame, outcomes: list[dict[str, Any]], reuse: str) -> pd.DataFrame:
-        """A row per report and call."""
-        many = len(self.names)
-        calls = reports.loc[reports.index.repeat(many)]
-        calls = calls.assign(label_pos=list(range(many)) * len(reports), label=self.names * len(reports))
-        return self._calls(calls, outcomes * len(reports), reuse)
-
-    @staticmethod
-    def _calls(rows: pd.DataFrame, outcomes: list[dict[str, Any]], reuse: str) -> pd.DataFrame:
-        return with_answers(rows.rename(columns={"place": ORDER}).assign(_user=None), outcomes).assign(reuse=reuse)
-
     def close(self) -> None:
         pass
 
 
+def _packed(outcomes: Sequence[dict[str, Any]]) -> str:
+    """Outcomes of a report's calls as JSON with every field."""
+    return json.dumps(
+        [
+            {n: int(o.get(n, 0)) for n in _NUMBERS}
+            | {n: o.get(n, "") for n in _TEXTS}
+            | {"latency_seconds": float(o.get("latency_seconds", 0.0)), "tool_calls_present": bool(o.get("tool_calls_present"))}
+            for o in outcomes
+        ]
+    )
+
+
+def _calls(answered: DataFrame, prompt: PromptSpec) -> DataFrame:
+    """A row per report and call."""
+    names = prompt.labels if prompt.mode == "single" else [""]
+    listed = answered.select("*", F.posexplode(F.from_json("outcomes", _OUTCOMES)).alias("label_pos", "_outcome"))
+    return listed.select(
+        col("place").alias(ORDER),
+        ID,
+        "report_hash",
+        "label_pos",
+        F.get(F.array(*[F.lit(name) for name in names]), "label_pos").alias("label"),
+        "_outcome.*",
+        F.lit(None).cast("string").alias("user_message"),
+        "reuse",
+    )
+
+
 def incremental_label_state(
     reports: DataFrame,
     output: str,
@@ -156,14 +181,13 @@ def incremental_label_state(
         report_hash(text).alias("report_hash"),
         F.when(~is_blank(text), F.array(*asked)).alias("users"),
     )
-    kept = rows.groupBy("known_id", "alone").transformWithStateInPandas(
-        _FirstOfId(), _REPORTS, "append", "none"
-    )
+    kept = rows.groupBy("known_id", "alone").transformWithState(_FirstOfId(), _REPORTS, "append", "none")
     kept = kept.select("*", F.when(col("users").isNull(), col("place").cast("string")).otherwise("").alias("alone"))
     policy = (model, max_retries, retry_on, wait_seconds)
-    calls = kept.groupBy("report_hash", "alone").transformWithStateInPandas(
-        _AnswerOfText(prompt, model_factory, policy), f"{CALL_SCHEMA}, reuse string", "append", "none"
+    answered = kept.groupBy("report_hash", "alone").transformWithState(
+        _AnswerOfText(prompt, model_factory, policy), _ANSWERED, "append", "none"
     )
+    calls = _calls(answered, prompt)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # The whole batch is always computed: that is what moves the state on.

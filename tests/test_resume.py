@@ -274,3 +274,19 @@ def test_state_forgets_failed_calls_and_asks_per_label(spark, tmp_path, calls):
     assert run_state(spark, tmp_path, calls, single, factory)[2:] == [("v3", "none", "success"), ("v4", "hash", "success")]
     rows = {r["VolumeName"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert (rows["v4"]["a"], rows["v4"]["b"], rows["v4"]["prompt_tokens"]) == (1, 1, 6) and rows["v1"]["b"] == 0
+
+
+def test_state_makes_no_frame_per_text(spark, tmp_path, calls, monkeypatch):
+    """Most texts come once, so what is made per text counts; every row comes out, once."""
+    from pyspark.sql import GroupedData
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a pandas frame for every ID and text")
+
+    for name in ("transformWithStateInPandas", "applyInPandasWithState"):
+        monkeypatch.setattr(GroupedData, name, refuse)
+    arrive(spark, tmp_path, "p1", *[(f"v{i % 250}", f"text {i % 120}", i) for i in range(300)])
+    rows = run_state(spark, tmp_path, calls)
+    assert len(rows) == 250 and sum(r[1] == "none" for r in rows) == 120 == len(list(calls.iterdir()))
+    told = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert all(r["latency_seconds"] >= 0 and r["started_at_utc"] and r["retry_count"] == 1 for r in told)
