@@ -83,6 +83,31 @@ def test_prices_by_longest_key_in_force(spark, monkeypatch):
     assert ops.price_usage(usage, prices.limit(0)).where("estimated_cost_usd > 0").count() == 0
 
 
+def test_parts_that_are_no_key_go_before_the_join(spark):
+    """No key is lost, also where bits are few, and what else stays is little."""
+    from tallymark.operators import pricing
+
+    keys = spark.range(3000).selectExpr("concat('model-', id * 7) AS _key")
+    parts = spark.range(21000).selectExpr("id", "concat('model-', id) AS _key")
+    kept = pricing._perhaps_keys(parts, keys, 3000)
+    ids = {r["id"] for r in kept.collect()}
+    assert kept.columns == ["id", "_key"] and ids >= set(range(0, 21000, 7)) and len(ids) < 4500
+
+
+def test_prices_of_shorter_keys_count_in_the_gaps_of_longer_ones(spark):
+    prices = spark.createDataFrame(
+        [("m", 1.0, None, None), ("m-1", 2.0, None, "2024-01-01"), ("m-1", 3.0, "2024-02-01", None),
+         ("m-12", 4.0, None, "2023-06-01"), ("m-12", 5.0, "2023-01-01", "2023-09-01"), ("m-123", 6.0, "2025-01-01", "2024-01-01")],
+        "model_key string, input_per_million double, valid_from string, valid_to string",
+    ).selectExpr("*", "0D AS output_per_million")
+    days = ["2022-01-01", "2023-03-01", "2023-07-01", "2023-10-01", "2024-01-15", "2024-03-01"]
+    usage = spark.createDataFrame([(d, f"v/M-1{tail}", 1_000_000) for d in days for tail in ("", "23")], "called string, model string, prompt_tokens bigint")
+    rows = ops.price_usage(usage.selectExpr("*", "0L AS completion_tokens"), prices, at="called").collect()
+    found = {(r["called"], r["model"]): r["estimated_cost_usd"] for r in rows}
+    assert [found[d, "v/M-1"] for d in days] == [2.0, 2.0, 2.0, 2.0, 1.0, 3.0]
+    assert [found[d, "v/M-123"] for d in days] == [4.0, 5.0, 5.0, 2.0, 1.0, 3.0]
+
+
 def test_sketches_stay_within_their_errors(spark):
     """Far more IDs than a sketch holds, in parts; exact while it holds them all."""
     left = spark.range(60_000).selectExpr("concat('v', id) AS VolumeName", "id % 4 AS part", "id * 1.5 AS seconds")
