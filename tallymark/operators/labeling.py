@@ -1,7 +1,7 @@
 """Batch labelling: one model call per report, or per report and label.
 
 Prompt text and response handling are native expressions. Only the call itself
-runs in Python, once per row, inside ``mapInPandas``; the part of the prompt
+runs in Python, once per row, inside ``mapInArrow``; the part of the prompt
 that never changes is added there, so it is not shipped with every row.
 
 Calls are paid for and not repeatable: write the result (see
@@ -37,6 +37,9 @@ CALL_SCHEMA = """
     model_version string, retry_count bigint, started_at_utc string, ended_at_utc string,
     user_message string
 """
+_CALL_FIELDS = [tuple(field.split()) for field in CALL_SCHEMA.split(",")]
+#: Calls whose texts and answers a task holds as Python objects, and at least so many for every thread.
+AT_ONCE, AT_ONCE_EACH = 256, 32
 
 
 def call_model(
@@ -101,6 +104,7 @@ def call_model(
     requests = rows.select(ORDER, ID, "report_hash", "label_pos", "label", asked.alias("_user"))
     leads = leading_by_label(prompt)
     policy = (model, max_retries, retry_on, wait_seconds)
+    most = max(AT_ONCE, AT_ONCE_EACH * side_by_side)
 
     def run(batches):
         from concurrent.futures import ThreadPoolExecutor
@@ -108,10 +112,11 @@ def call_model(
         ask = caller(model_factory, leads, *policy)
         with ThreadPoolExecutor(side_by_side) as pool:
             for batch in batches:
-                answered = with_answers(batch, list(pool.map(ask, batch["label"], batch["_user"])))
-                yield answered if keep_request else answered.assign(user_message=None)
+                for start in range(0, batch.num_rows, most):
+                    part = batch.slice(start, most)
+                    yield with_answers(part, list(pool.map(ask, part["label"].to_pylist(), part["_user"].to_pylist())), keep_request)
 
-    return requests.mapInPandas(run, CALL_SCHEMA)
+    return requests.mapInArrow(run, CALL_SCHEMA)
 
 
 def leading_by_label(prompt: PromptSpec) -> dict[str, Messages]:
@@ -186,23 +191,27 @@ def caller(
     return ask
 
 
-def with_answers(batch: Any, results: Sequence[Mapping[str, Any]]) -> Any:
-    """A pandas batch of requests with the fields of their outcomes; ``_user`` becomes ``user_message``."""
-    import pandas as pd
+def with_answers(batch: Any, results: Sequence[Mapping[str, Any]], keep_request: bool = False) -> Any:
+    """An Arrow batch of requests with the fields of their outcomes; ``_user`` becomes ``user_message``, if kept."""
+    import pyarrow as pa
 
-    numbers = ("prompt_tokens", "completion_tokens", "reported_total", "retry_count", "messages_count")
-    texts = (
-        "outcome", "content", "finish_reason", "call_error", "request_id",
-        "model_version", "started_at_utc", "ended_at_utc",
-    )
-    out = batch.rename(columns={"_user": "user_message"}).reset_index(drop=True)
-    for name in numbers:
-        out[name] = pd.Series([int(r.get(name, 0)) for r in results], dtype="int64")
-    for name in texts:
-        out[name] = pd.Series([r.get(name, "") for r in results], dtype="object")
-    out["latency_seconds"] = pd.Series([float(r.get("latency_seconds", 0.0)) for r in results], dtype="float64")
-    out["tool_calls_present"] = pd.Series([bool(r.get("tool_calls_present")) for r in results], dtype="bool")
-    return out
+    kinds = {
+        "bigint": (pa.int64(), lambda r, name: int(r.get(name, 0))),
+        "int": (pa.int32(), lambda r, name: int(r.get(name, 0))),
+        "double": (pa.float64(), lambda r, name: float(r.get(name, 0.0))),
+        "boolean": (pa.bool_(), lambda r, name: bool(r.get(name, False))),
+        "string": (pa.string(), lambda r, name: str(r.get(name, ""))),
+    }
+    columns = []
+    for name, kind in _CALL_FIELDS:
+        type_, read = kinds[kind]
+        if name in batch.schema.names:
+            columns.append(batch.column(name))
+        elif name == "user_message":
+            columns.append(batch.column("_user") if keep_request else pa.nulls(batch.num_rows, type_))
+        else:
+            columns.append(pa.array([read(r, name) for r in results], type_))
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in _CALL_FIELDS])
 
 
 def read_answers(calls: DataFrame) -> DataFrame:

@@ -410,3 +410,29 @@ def test_slices_with_history_and_wrong_settings(spark, tmp_path):
         plans.generate_labels(df, PromptSpec("D", ("a",)), scripted({}), slices=2)
     with pytest.raises(ValueError):
         plans.generate_labels(df, PromptSpec("D", ("a",)), scripted({}), slices=2, output=first, on_change="maybe")
+
+
+def test_a_task_holds_few_calls_at_once(spark, monkeypatch):
+    """However many rows Spark sends at once, texts and answers become Python objects a few at a time."""
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([("v", "text", 0)], "VolumeName string, report_text string, o bigint")
+    made, told = [], []
+
+    def factory():
+        return lambda messages: made.append(1) or {"content": '{"L": 1}', "request_id": len(made)}
+
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: told.append((run, self.schema)) or self)
+    ops.call_model(rows, PromptSpec("Decide.", ("L",)), factory, order_by="o", keep_request=True)
+    run, schema = told[0]
+    n = 1000
+    columns = [list(range(n)), ["v"] * n, ["h"] * n, [0] * n, [""] * n, ["ask", None] * (n // 2)]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+    parts = run(iter([batch]))
+    first = next(parts)
+    assert len(made) == first.num_rows / 2 <= 128
+    rest = [first, *parts]
+    assert [x for p in rest for x in p["_ord"].to_pylist()] == list(range(n)) and len(made) == n / 2
+    assert first["outcome"].to_pylist()[:2] == ["answered", "skipped"] and first["user_message"].to_pylist()[:2] == ["ask", None]
+    assert first["request_id"].to_pylist()[:2] == ["1", ""] and first["latency_seconds"][1].as_py() == 0.0
