@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ GROUP_BYTES = 8 << 20
 #: Bytes of words and ids that a worker keeps, twice: those met lately, and those met before them.
 KEPT_BYTES = 48 << 20
 #: Bytes that are split into words at once, and ids that leave a task at once.
-AT_ONCE, IDS_AT_ONCE = 1 << 20, 1 << 20
+AT_ONCE, IDS_AT_ONCE = 4 << 20, 1 << 20
 _PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _SPACE = re.compile(rb"\s")
 
@@ -71,25 +73,43 @@ class WordIds:
         return out
 
     def _encode_batch(self, raws: list[bytes]) -> list[bytes]:
-        split = [raw.split() for raw in raws]
-        recent, earlier = self.recent, self.earlier
-        found: dict[bytes, bytes] = {}
-        new: list[bytes] = []
-        for word in set().union(*split):
-            ids = recent.get(word)
+        """Arrow splits texts into words and numbers the distinct ones; only those are looked up."""
+        if not raws:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(raws, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        found = self._find(words.dictionary.cast(pa.large_binary()).to_pylist())
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        data = ids.buffers()[2].to_pybytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _find(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words; words of letters are kept without the punctuation at their end."""
+        found = list(map(self.recent.get, words))
+        new: list[int] = []
+        for i, ids in enumerate(found):
             if ids is None:
-                ids = earlier.get(word)
+                ids = self.earlier.get(words[i])
                 if ids is None:
-                    new.append(word)
-                    continue
-                self._keep(word, ids)
-            found[word] = ids
+                    new.append(i)
+                else:
+                    self._keep(words[i], ids)
+                    found[i] = ids
         if new:
-            for word, ids in self._encode_words(new).items():
-                found[word] = ids
+            encoded = self._encode_words([words[i] for i in new])
+            for i in new:
+                found[i] = encoded[words[i]]
+        return found
+
+    def _kept(self, word: bytes) -> bytes | None:
+        ids = self.recent.get(word)
+        if ids is None:
+            ids = self.earlier.get(word)
+            if ids is not None:
                 self._keep(word, ids)
-        look = found.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return ids
 
     def _keep(self, word: bytes, ids: bytes) -> None:
         """Words that are not met while as many others are go first."""
@@ -101,22 +121,36 @@ class WordIds:
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
         plain: dict[bytes, None] = {}  # in order of first sight
-        whole: set[bytes] = set()
+        whole: dict[bytes, None] = {}
         tails: dict[bytes, tuple[bytes, bytes]] = {}
+
+        def asked(part: bytes, among: dict[bytes, None]) -> None:
+            if part not in found and part not in among:
+                ids = self._kept(part)
+                if ids is None:
+                    among[part] = None
+                else:
+                    found[part] = ids
+
         for word in words:
             core = word.rstrip(_PUNCTUATION)
             text = core.decode()
             if core and text.isalpha() and text.lower().isalpha():
-                plain[core] = None
-                if core != word:
+                if core == word:
+                    plain[core] = None  # looked for already
+                else:
+                    asked(core, plain)
                     tails[word] = (core, word[len(core) :])
-                    whole.add(word[len(core) :])
+                    asked(word[len(core) :], whole)
             else:
-                whole.add(word)
-        found.update(self._encode_together(list(plain)))
+                whole[word] = None
+        new = self._encode_together(list(plain))
         rest = list(whole)
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        new.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        for word, ids in new.items():
+            self._keep(word, ids)
+        found.update(new)
         for word, (core, tail) in tails.items():
             found[word] = found[core] + found[tail]
         return found

@@ -363,3 +363,16 @@ def test_digest_of_kept_text(spark):
     assert sorted((r["doc_id"], r["kept_sha256"]) for r in rows) == sorted(
         (i, hashlib.sha256(kept.encode()).hexdigest()) for i, _, _, kept in plain_line_dedup(docs)
     )
+
+
+def test_a_word_is_encoded_once_whatever_follows_it():
+    words = WordIds(queries.tokenizer_path())
+    texts = ["House, garden.", "house. (garden) GARDEN!", " house?\n\tgarden\x0bhouse,garden ", "", " \r\n"]
+    expected = [WordIds(queries.tokenizer_path()).encode([text])[0] for text in texts]
+    sent = []
+    encode = words._encode_together
+    words._encode_together = lambda new: sent.extend(new) or encode(new)
+    assert [words.encode([text])[0] for text in texts] == expected
+    assert sent == [b"house", b"garden"]
+    plain = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert expected == [np.array(e.ids, "<u4").tobytes() for e in plain]
