@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..durable import remove
+from .common import cut, shared_folder
 
 # What the format calls its parts.
 LINE, END, MAGIC = "\r\n", "\r\n\r\n", "WARC/1."
@@ -200,18 +203,30 @@ def reachable(chain: DataFrame) -> DataFrame:
     marked ones point to, so a file of n records needs log2(n) rounds of two joins
     on place, whatever its size. Starts rise along a chain, so no place is
     reached twice. Only a count per round reaches the driver.
+
+    A round is kept as Parquet, so the next one starts from the size of its files.
+    A checkpoint keeps the size Spark guessed of the plan it was made by, here the
+    product of three tables, so its digits would grow threefold a round: a chain of
+    300 links gave a number of 1.1 million digits, a copy in each plan on the driver.
     """
+    spark = chain.sparkSession
+    folder = f"{shared_folder(spark)}/reached-{uuid.uuid4().hex}"
     state = chain.select("file", "start", F.col("next").alias("jump"), (F.col("start") == 0).alias("reached"))
-    state, known = cut(state), 0
+    state, known, rounds = cut(state, f"{folder}/0"), 0, 0
     while True:
         found = state.where("reached").count()
         if found == known:
-            return state.where("reached").select("file", "start")
+            break
         known = found
         met = state.where("reached and jump is not null").select("file", F.col("jump").alias("start"), F.lit(True).alias("met"))
         ahead = state.select("file", F.col("start").alias("jump"), F.col("jump").alias("further"))
         state = state.join(met, ["file", "start"], "left").join(ahead, ["file", "jump"], "left")
-        state = cut(state.select("file", "start", F.col("further").alias("jump"), (F.col("reached") | F.col("met").isNotNull()).alias("reached")))
+        state = state.select("file", "start", F.col("further").alias("jump"), (F.col("reached") | F.col("met").isNotNull()).alias("reached"))
+        state, rounds = cut(state, f"{folder}/{rounds + 1}"), rounds + 1
+        remove(spark, f"{folder}/{rounds - 1}")
+    kept = cut(state.where("reached").select("file", "start"))
+    remove(spark, folder)
+    return kept
 
 
 def _contents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:

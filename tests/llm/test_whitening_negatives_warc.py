@@ -286,3 +286,11 @@ def test_pointer_jumping_follows_long_chains(spark):
     chain = spark.createDataFrame(rows, "file string, start long, next long")
     found = sorted(map(tuple, warc.reachable(chain).collect()))
     assert found == sorted([("f", 10 * i) for i in range(200)] + [("h", 0)])
+
+
+def test_pointer_jumping_keeps_size_estimates_small(spark):
+    """Estimates that multiply from round to round took the driver's memory (they had 1.1 million digits here)."""
+    chain = spark.createDataFrame([("f", 10 * i, 10 * i + 10) for i in range(300)], "file string, start long, next long")
+    found = warc.reachable(chain)
+    assert found.count() == 300
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**60
