@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, spread, whole_ids
 
@@ -22,8 +24,12 @@ FITTED = 64
 FEWEST, MOST, FILL = 8, 256, 1_000
 #: Recall on the tuning sample that decides how far the cells are traversed.
 RECALL = 0.95
-#: Entries and queries that meet in one step at most.
-ENTRIES, QUERIES = 4_096, 2_048
+#: A length has about ``BLOCKS`` blocks of entries, or more, of so many entries at least and at most.
+BLOCKS, FEW, MANY = 16, 8_192, 262_144
+#: Queries that meet a block in one task at most; numbers in their vectors, and their neighbours, at most.
+QUERIES, NUMBERS, FOUND = 32_768, 2**21, 2**20
+#: Products computed at once, about.
+TILE = 2**21
 SEED = 11
 
 
@@ -84,18 +90,28 @@ class MultiIndex:
                     pushed.add((x, y))
                     heapq.heappush(heap, (-(a[first[x]] + b[second[y]]), x, y))
 
-    def probes(self, query: np.ndarray, least: int) -> list[int]:
-        """Cells that hold entries, until the share of all entries (and ``least``) is seen."""
+    def sums(self, queries: np.ndarray) -> np.ndarray:
+        """Sum of the halves' inner products with the centroids: a row per query, a column per cell."""
+        a, b = queries[:, : self.half] @ self.left.T, queries[:, self.half :] @ self.right.T
+        return (a[:, :, None] + b[:, None, :]).reshape(len(queries), -1)
+
+    def bounds(self, queries: np.ndarray, least: int) -> np.ndarray:
+        """Least sum of the cells a query sees: by falling sum, until the share of all entries (and ``least``) is seen.
+
+        Lower by more than the last digits of a sum, which depend on how many are computed at once.
+        """
         flat = self.counts.reshape(-1)
+        filled = np.flatnonzero(flat)
         wanted = max(self.share * flat.sum(), least)
-        found, seen = [], 0
-        for cell in self.traverse(query):
-            if flat[cell]:
-                found.append(cell)
-                seen += flat[cell]
-                if seen >= wanted:
-                    break
-        return found
+        found = np.full(len(queries), -np.inf)
+        for at in range(len(queries)):
+            sums = self.sums(queries[at : at + 1])[0, filled]
+            order = np.argsort(-sums, kind="stable")
+            last = np.searchsorted(np.cumsum(flat[filled][order]), wanted)
+            if last < len(order):
+                found[at] = sums[order[last]]
+        longest = max(np.linalg.norm(half, axis=1).max(initial=0) for half in (self.left, self.right))
+        return found - 1e-12 * longest * np.linalg.norm(queries, axis=1)
 
 
 def fit_index(vectors: np.ndarray, k: int, rows: int, recall: float = RECALL) -> MultiIndex:
@@ -130,6 +146,148 @@ def scores(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (entries * query).sum(axis=1)
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of each length apart."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+        for width in np.unique(lengths).tolist():
+            yield width, batch.filter(pa.array(lengths == width))
+
+
+def mixed(ids: np.ndarray, owns: np.ndarray) -> np.ndarray:
+    """Hash of each row, to deal rows with; neither many equal ids nor equal vectors make it uneven."""
+    found = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + owns.astype(np.uint64)
+    found = (found ^ (found >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (found ^ (found >> np.uint64(32))).astype(np.int64) & 0x7FFFFFFF
+
+
+@dataclass
+class Layout:
+    """Blocks of one length: each range of cells is one, or several if it is a single large cell."""
+
+    starts: np.ndarray  # first cell of each range
+    first: np.ndarray  # first block of each range
+    parts: np.ndarray  # blocks of each range
+
+
+def lay_out(counts: np.ndarray, first: int) -> Layout:
+    """Ranges of cells with about as many entries each; blocks are numbered from ``first``."""
+    size = min(MANY, max(FEW, -(-int(counts.sum()) // BLOCKS)))
+    starts: list[int] = []
+    parts: list[int] = []
+    held = 0
+    for cell, n in enumerate(counts.tolist()):
+        if not starts or parts[-1] > 1 or held + n > size:
+            starts.append(cell)
+            parts.append(max(1, -(-n // size)))
+            held = 0
+        held += n
+    blocks = np.array(parts)
+    return Layout(np.array(starts), first + np.cumsum(blocks) - blocks, blocks)
+
+
+class Panel:
+    """Queries that meet a block of entries, and the ``k`` best entries of each so far.
+
+    Entries pass by, a run of one cell at a time. What is held are the queries,
+    ``k`` entries for each, and one tile of products, whatever the block holds.
+    """
+
+    def __init__(self, index: MultiIndex | None, k: int):
+        self.index, self.k = index, k
+        self.asked: list[tuple[np.ndarray, ...]] = []
+        self.kept = self.none = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.fresh: list[tuple[np.ndarray, ...]] = []
+        self.ids = self.floor = np.empty(0)
+
+    def ask(self, *queries: np.ndarray) -> None:
+        """Add queries: ids, owns, bounds and vectors."""
+        self.asked.append(queries)
+
+    def meet(self, cell: int, ids: np.ndarray, owns: np.ndarray, times: np.ndarray, values: np.ndarray) -> None:
+        """Compare entries of ``cell`` with the queries that see it."""
+        if self.asked:
+            self.ids, self.owns, self.bounds, self.vectors = map(np.concatenate, zip(*self.asked))
+            self.floor, self.asked = np.full(len(self.ids), -np.inf), []
+        if not len(self.ids):
+            return
+        seen = np.arange(len(self.ids))
+        if self.index is not None:
+            half, (i, j) = self.index.half, divmod(cell, len(self.index.right))
+            sums = self.vectors[:, :half] @ self.index.left[i] + self.vectors[:, half:] @ self.index.right[j]
+            seen = np.flatnonzero(sums >= self.bounds)
+        some = self.first_of_equals(ids, owns, values)
+        ids, owns, times, values = ids[some], owns[some], times[some], values[some]
+        step = max(1, TILE // len(ids))
+        for start in range(0, len(seen), step):
+            self.tile(seen[start : start + step], ids, owns, times, values)
+
+    def first_of_equals(self, ids: np.ndarray, owns: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Positions without rows that ``k`` + 1 rows with the same vector and a smaller id precede."""
+        order = np.lexsort((ids, owns))
+        same = np.zeros(len(order), bool)
+        same[1:] = owns[order][1:] == owns[order][:-1]
+        at = np.flatnonzero(same)
+        if len(at) <= self.k:
+            return order
+        same[at] = (values[order[at]] == values[order[at - 1]]).all(axis=1)
+        places = np.arange(len(order))
+        return order[places - np.maximum.accumulate(np.where(same, 0, places)) <= self.k]
+
+    def tile(self, asked: np.ndarray, ids: np.ndarray, owns: np.ndarray, times: np.ndarray, values: np.ndarray) -> None:
+        questions, floor, k = self.vectors[asked], self.floor[asked], self.k
+        rough = questions @ values.T
+
+        def above(rows: np.ndarray | slice) -> np.ndarray:
+            # Ties and the last digits are settled on the exact sums of all that may be among the best.
+            return rough[rows] >= (floor[rows] - 1e-9 * (1.0 + abs(floor[rows])))[:, None]
+
+        hits = above(slice(None))
+        many = np.flatnonzero(np.count_nonzero(hits, axis=1) > 2 * (k + 1))
+        if len(many):
+            # The query itself may be one of the k + 1.
+            least = np.partition(rough[many], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+            floor[many] = np.maximum(floor[many], least)
+            hits[many] = above(many)
+            self.floor[asked] = floor
+        all_rows, all_columns = np.nonzero(hits)
+        step = max(1, NUMBERS // values.shape[1])
+        for start in range(0, len(all_rows), step):
+            rows, columns = all_rows[start : start + step], all_columns[start : start + step]
+            exact, who = scores(values[columns], questions[rows]), asked[rows]
+            left = times[columns] - ((ids[columns] == self.ids[who]) & (owns[columns] == self.owns[who]))
+            real = left > 0
+            self.fresh.append((who[real], exact[real], ids[columns[real]], left[real]))
+            if sum(len(x[0]) for x in self.fresh) > max(2**17, len(self.kept[0]) // 2):
+                self.settle()
+
+    def settle(self) -> None:
+        """Keep the best of each query; the last of ``k`` is the floor for others."""
+        who, exact, ids, left = map(np.concatenate, zip(self.kept, *self.fresh))
+        order = np.lexsort((ids, -exact, who))
+        who = who[order]
+        places = np.arange(len(who))
+        starts = np.maximum.accumulate(np.where(np.r_[True, who[1:] != who[:-1]], places, 0)) if len(who) else places
+        order, who, places = (x[places - starts < self.k] for x in (order, who, places - starts))
+        self.kept, self.fresh = (who, exact[order], ids[order], left[order]), []
+        full = places == self.k - 1
+        self.floor[who[full]] = np.maximum(self.floor[who[full]], exact[order][full])
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        """The best entries of all queries, and an end."""
+        self.settle()
+        who, exact, ids, left = self.kept
+        for start in range(0, len(who), 2**16):
+            part = slice(start, start + 2**16)
+            columns = [self.ids[who[part]], self.owns[who[part]], ids[part], exact[part], left[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query_own", "vec_id", "score", "times"])
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -146,9 +304,11 @@ def nearest(
     true neighbours in a bounded sample. Entries of the cells seen are reranked
     exactly. All rows are indexed; only the fit uses a sample.
 
-    A cell is dealt to steps of at most some thousand entries and queries, so a
-    cell with a third of all rows is many tasks. A step returns at most ``k`` rows
-    per query, and these are merged per query with a top-k before the shuffle.
+    Ranges of cells are blocks of entries, and a large cell is several, so a cell with
+    a third of all rows is many tasks. A query goes once to each block it sees cells of,
+    with the least sum of its cells. A task holds some thousand queries with at most
+    ``k`` rows each while a block's entries pass by; these rows are merged per query with
+    a top-k. Vectors of floats travel as floats, and all sums are in double precision.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the
     smaller id. A query is not its own neighbour, but other rows with its id are,
@@ -161,85 +321,131 @@ def nearest(
     Empty tables give an empty result.
     """
     vector = F.col(f"`{vector_col}`")
+    kinds = [rows.schema[vector_col].dataType for rows in (vectors, queries)]
+    number = "float" if all(isinstance(getattr(kind, "elementType", None), T.FloatType) for kind in kinds) else "double"
 
     def clean(rows: DataFrame) -> DataFrame:
-        rows = rows.select(whole_ids(rows, id_col).alias("id"), vector.cast("array<double>").alias("vector"))
+        rows = rows.select(whole_ids(rows, id_col).alias("id"), vector.cast(f"array<{number}>").alias("vector"))
         rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
-        return rows.groupBy("id", "vector").agg(F.count("*").alias("times")).withColumn("own", F.xxhash64("vector"))
+        rows = rows.groupBy("id", "vector").agg(F.count("*").alias("times"))
+        return rows.select("id", F.xxhash64(F.col("vector").cast("array<double>")).alias("own"), "times", "vector")
 
-    rows = clean(vectors).withColumn("width", F.size("vector"))
+    rows = cut(clean(vectors))
+    width = F.size("vector").alias("width")
     indexes: dict[int, MultiIndex] = {}
-    for width, many in rows.groupBy("width").count().collect():  # one row per length
+    lengths = dict(rows.groupBy(width).count().collect())  # one row per length
+    for length, many in lengths.items():
         if many >= FITTED:
-            sample = rows.where(F.col("width") == width).orderBy(spread(F.col("id")), "id", "own").limit(SAMPLE)
-            indexes[width] = fit_index(np.array([r[0] for r in sample.select("vector").collect()]), k, many)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for width, part in frame.groupby("width"):
-                cells = indexes[width].cells(np.stack(part["vector"].to_numpy())) if width in indexes else 0
-                yield part.assign(cell=cells)[["width", "cell", "id", "own", "times", "vector"]]
-
-    cell = ["width", "cell"]
-    entries = cut(rows.mapInPandas(place, "width int, cell int, id long, own long, times long, vector array<double>"))
-    counts = entries.groupBy(*cell).agg(F.count("*").alias("n")).collect()  # at most MOST^2 for a length, or one
+            sample = rows.where(F.size("vector") == length).orderBy(spread(F.col("id")), "id", "own").limit(SAMPLE)
+            indexes[length] = fit_index(np.array([r[0] for r in sample.select("vector").collect()]), k, many)
+
+    def cells(length: int, batch: pa.RecordBatch) -> np.ndarray:
+        return indexes[length].cells(matrix(batch.column("vector"))) if length in indexes else np.zeros(len(batch), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for length, batch in by_length(batches):
+            held, n = np.unique(cells(length, batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), length, np.int32)), pa.array(held), pa.array(n)], ["width", "cell", "n"])
+
+    counts = rows.mapInArrow(count, "width int, cell long, n long").groupBy("width", "cell").agg(F.sum("n").alias("n"))
     for index in indexes.values():
         index.counts = np.zeros_like(index.counts)
-    for row in counts:
+    for row in counts.collect():  # at most MOST^2 for a length, or one
         if row["width"] in indexes:
             indexes[row["width"]].counts.reshape(-1)[row["cell"]] = row["n"]
-    parts = {(row["width"], row["cell"]): -(-row["n"] // ENTRIES) for row in counts}
-
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["width", "cell", "part", "id", "own", "vector"]
-        for frame in frames:
-            found: list[tuple] = []
-            for query, own, values in zip(frame["id"], frame["own"], frame["vector"]):
-                width = len(values)
-                cells = indexes[width].probes(np.asarray(values), k + 1) if width in indexes else [0]
-                found.extend((width, at, part, query, own, values) for at in cells for part in range(parts.get((width, at), 0)))
-            if found:
-                yield pd.DataFrame(found, columns=names)
-
-    asked = cut(clean(queries))
-    probes = cut(asked.mapInPandas(probe, "width int, cell int, part int, id long, own long, vector array<double>"))
-    # Queries of one cell are split as well; its entries go to each of the splits.
-    split = probes.groupBy(*cell, "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("splits"))
-    probes = probes.join(split, [*cell, "part"]).withColumn("split", F.pmod(F.xxhash64("id", "own"), F.col("splits")).cast("int"))
-    sizes = vectors.sparkSession.createDataFrame([(*at, n) for at, n in parts.items()], "width int, cell int, parts int")
-    dealt = entries.join(F.broadcast(sizes), cell)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "own"), F.col("parts")).cast("int"))
-    dealt = dealt.join(split, [*cell, "part"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    names = {"query_id": "int64", "query_own": "int64", "vec_id": "int64", "score": "float64", "times": "int64"}
-
-    def rerank(entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(entries) or not len(asked):
-            return pd.DataFrame({name: [] for name in names}).astype(names)
-        entries = entries.sort_values(["id", "own"], ignore_index=True)
-        ids, owns, times = (entries[name].to_numpy() for name in ("id", "own", "times"))
-        values, questions = np.stack(entries["vector"].to_numpy()), np.stack(asked["vector"].to_numpy())
-        rough = questions @ values.T
-        kept: list[tuple[np.ndarray, ...]] = []
-        for at, (query, own) in enumerate(zip(asked["id"].to_numpy(), asked["own"].to_numpy())):
-            line = rough[at]
-            # Ties and the last digits are settled on the exact sums of all that may be among the best.
-            near = np.arange(len(line))
-            if len(line) > k + 1:
-                floor = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
-                near = np.flatnonzero(line >= floor - 1e-9 * (1.0 + abs(floor)))
-            left = times[near] - ((ids[near] == query) & (owns[near] == own))
-            near, left = near[left > 0], left[left > 0]
-            exact = scores(values[near], questions[at])
-            best = np.argsort(-exact, kind="stable")[:k]  # ids rise, so ties keep their order
-            kept.append((np.full(len(best), query), np.full(len(best), own), ids[near[best]], exact[best], left[best]))
-        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*kept)))))
-
-    steps = [*cell, "part", "split"]
-    found = (
-        dealt.select(*steps, "id", "own", "times", "vector").groupBy(*steps)
-        .cogroup(probes.select(*steps, "id", "own", "vector").groupBy(*steps))
-        .applyInPandas(rerank, "query_id long, query_own long, vec_id long, score double, times long")
-    )
+    layouts: dict[int, Layout] = {}
+    most: list[int] = []  # queries that meet each block in a task
+    for length, n in lengths.items():
+        layouts[length] = lay_out(indexes[length].counts.reshape(-1) if length in indexes else np.array([n]), len(most))
+        most += [max(1, min(QUERIES, NUMBERS // length, FOUND // k))] * int(layouts[length].parts.sum())
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for length, batch in by_length(batches):
+            bounds = indexes[length].bounds(matrix(batch.column("vector")), k + 1) if length in indexes else np.full(len(batch), -np.inf)
+            yield batch.append_column("bound", pa.array(bounds))
+
+    asked = cut(clean(queries).mapInArrow(bound, f"id long, own long, times long, vector array<{number}>, bound double"))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Queries and the blocks they see cells of."""
+        for length, batch in by_length(batches):
+            if length not in layouts:
+                continue
+            index, layout = indexes.get(length), layouts[length]
+            step = max(1, min(TILE // (index.counts.size if index else 1), TILE // (64 * len(layout.starts))))
+            for start in range(0, len(batch), step):
+                part = batch.slice(start, step)
+                hits = np.ones((len(part), 1), bool)
+                if index:
+                    sees = index.sums(matrix(part.column("vector"))) >= part.column("bound").to_numpy()[:, None]
+                    hits = np.logical_or.reduceat(sees & (index.counts.reshape(-1) > 0), layout.starts, axis=1)
+                at, ranges = np.nonzero(hits)
+                parts = layout.parts[ranges]
+                blocks = np.repeat(layout.first[ranges] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())
+                yield part.take(pa.array(np.repeat(at, parts))), blocks
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in sent(batches):
+            held, n = np.unique(blocks, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["block", "n"])
+
+    # Queries of one block are split as well; its entries go to each of the splits, if there are any.
+    splits = np.zeros(len(most), np.int64)
+    for row in asked.mapInArrow(tell, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect():
+        splits[row["block"]] = -(-row["n"] // most[row["block"]])
+    names = ["block", "split", "cell", "id", "own", "times", "bound", "vector"]
+    table = f"block int, split int, cell int, id long, own long, times long, bound double, vector array<{number}>"
+
+    def dealt(batch: pa.RecordBatch, blocks: np.ndarray, split: np.ndarray, cells: np.ndarray, bounds: pa.Array) -> pa.RecordBatch:
+        first = [pa.array(x.astype(np.int32)) for x in (blocks, split, cells)]
+        return pa.RecordBatch.from_arrays([*first, *(batch.column(c) for c in ("id", "own", "times")), bounds, batch.column("vector")], names)
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return mixed(batch.column("id").to_numpy(), batch.column("own").to_numpy())
+
+    def deal_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, blocks in sent(batches):
+            yield dealt(batch, blocks, hashes(batch) % splits[blocks], np.full(len(batch), -1), batch.column("bound"))
+
+    def deal_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries with the number of splits their block has."""
+        for length, batch in by_length(batches):
+            layout, at = layouts[length], cells(length, batch)
+            ranges = np.searchsorted(layout.starts, at, side="right") - 1
+            blocks = layout.first[ranges] + hashes(batch) % layout.parts[ranges]
+            out = dealt(batch, blocks, splits[blocks], at, pa.nulls(len(batch), pa.float64()))
+            yield out.filter(pa.array(splits[blocks] > 0))
+
+    entries = rows.mapInArrow(deal_entries, table)
+    entries = entries.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    # Queries come before the entries: no cell is below 0.
+    both = entries.select(names).union(asked.mapInArrow(deal_queries, table))
+    tasks = int(min(4_000, max(1, 4 * splits.sum())))
+    both = both.repartition(tasks, "block", "split").sortWithinPartitions("block", "split", "cell")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        panel, place = None, None
+        for batch in batches:
+            blocks, parts, at = (batch.column(c).to_numpy() for c in names[:3])
+            turns = np.flatnonzero((blocks[1:] != blocks[:-1]) | (parts[1:] != parts[:-1]) | (at[1:] != at[:-1])) + 1
+            for start, end in zip([0, *turns.tolist()], [*turns.tolist(), len(batch)]):
+                if start == end:
+                    continue
+                run = batch.slice(start, end - start)
+                values = matrix(run.column("vector"))
+                if place != (blocks[start], parts[start]):
+                    if panel:
+                        yield from panel.best()
+                    panel, place = Panel(indexes.get(values.shape[1]), k), (blocks[start], parts[start])
+                ids, owns = run.column("id").to_numpy(), run.column("own").to_numpy()
+                if at[start] < 0:
+                    panel.ask(ids, owns, run.column("bound").to_numpy(), values)
+                else:
+                    panel.meet(int(at[start]), ids, owns, run.column("times").to_numpy(), values)
+        if panel:
+            yield from panel.best()
+
+    found = both.mapInArrow(rerank, "query_id long, query_own long, vec_id long, score double, times long")
     order = Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id")
     first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     before = F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.llm import embedding_dedup, queries
-from tallymark.llm.ann import MultiIndex, fit_index, nearest
+from tallymark.llm import ann, embedding_dedup, queries
+from tallymark.llm.ann import MultiIndex, Panel, fit_index, nearest
 from tallymark.llm.embedding_dedup import filters_of, make_codes, near_vectors, unit
 from tallymark.llm.labelled import training_texts
 from tallymark.llm.licenses import ANCHORS, RULES, SENTENCES, identify, match, scan_licenses
@@ -499,6 +499,48 @@ def test_nearest_recall_and_ties(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_makes_no_row_per_query_and_cell(spark, monkeypatch):
+    """Tables kept are no longer than the input, and blocks of any size give the same rows."""
+    rng, sizes, cut = np.random.default_rng(4), [], ann.cut
+
+    def recorded(df):
+        done = cut(df)
+        sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(ann, "cut", recorded)
+    rows = [(i, rng.normal(size=8).tolist(), 0) for i in range(1_200)] + [(i, [0.5] * 8, 0) for i in range(2_000, 2_300)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    asked = table.where("vec_id % 10 = 0")
+    whole = sorted(map(tuple, nearest(table, asked, k=6).collect()))
+    assert max(sizes) <= len(rows)  # 150 queries that see some 45 of 64 cells would be 7,000
+    for name, value in (("FEW", 40), ("MANY", 60), ("QUERIES", 7)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, nearest(table, asked, k=6).collect())) == whole
+    assert len(whole) == 6 * 150
+
+
+def test_a_panel_keeps_the_best_of_all_that_pass(monkeypatch):
+    """Runs of any size, many equal vectors, and queries among the entries."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(ann, "TILE", 500)
+    values = np.concatenate([rng.integers(-3, 4, (400, 5)).astype(float), np.ones((200, 5))])
+    ids, owns, times = rng.permutation(600), values @ 7 ** np.arange(5).astype(np.int64), np.ones(600, np.int64)
+    owns = owns.astype(np.int64)
+    panel, asked = Panel(None, 9), np.arange(0, 600, 7)
+    for part in np.array_split(asked, 3):
+        panel.ask(ids[part], owns[part], np.full(len(part), -np.inf), values[part])
+    for part in np.array_split(np.arange(600), 11):
+        panel.meet(0, ids[part], owns[part], times[part], values[part])
+    found = defaultdict(list)
+    for batch in panel.best():
+        for r in batch.to_pylist():
+            found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    for at in asked:
+        plain = sorted((-float(values[n] @ values[at]), int(ids[n])) for n in range(600) if n != at)
+        assert found[ids[at]] == plain[:9]
+
+
 def test_cells_are_traversed_in_order():
     rng = np.random.default_rng(1)
     index = fit_index(rng.normal(size=(500, 8)), 5, 100_000)
