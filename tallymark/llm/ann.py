@@ -27,7 +27,7 @@ RECALL = 0.95
 #: A length has about ``BLOCKS`` blocks of entries, or more, of so many entries at least and at most.
 BLOCKS, FEW, MANY = 16, 8_192, 262_144
 #: Queries that meet a block in one task at most; numbers in their vectors, and their neighbours, at most.
-QUERIES, NUMBERS, FOUND = 32_768, 2**21, 2**20
+QUERIES, NUMBERS, FOUND = 65_536, 2**22, 2**21
 #: Products computed at once, about.
 TILE = 2**21
 SEED = 11
@@ -256,7 +256,7 @@ class Panel:
             hits[many] = above(many)
             self.floor[asked] = floor
         all_rows, all_columns = np.nonzero(hits)
-        step = max(1, NUMBERS // values.shape[1])
+        step = max(1, TILE // values.shape[1])
         for start in range(0, len(all_rows), step):
             rows, columns = all_rows[start : start + step], all_columns[start : start + step]
             exact, who = scores(values[columns], questions[rows]), asked[rows]
